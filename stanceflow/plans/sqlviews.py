@@ -60,3 +60,39 @@ def class_counts(y: str = "y", p: str = "p", classes=(0, 1, 2)) -> str:
 def f1c(c: int) -> str:
     k = f"m{-c}" if c < 0 else str(c)
     return f1(f"tp_{k}", f"np_{k}", f"ns_{k}")
+
+
+# --- text cleaning twins --------------------------------------------------
+def sql_tokens(col: str) -> str:
+    from stanceflow.functions.text import TOKEN_PATTERN
+    return f"coalesce(regexp_extract_all({col}, {lit(TOKEN_PATTERN)}, 0), []::VARCHAR[])"
+
+
+def sql_lower(toks: str) -> str:
+    return f"list_transform({toks}, lambda t: lower(t))"
+
+
+def sql_split_words(s: str) -> str:
+    return f"list_filter(string_split_regex({s}, '\\s+'), lambda w: w <> '')"
+
+
+def sql_normalize(toks: str, pairs) -> str:
+    items = list(pairs)
+    if not items:
+        return toks
+    branches = " ".join(f"WHEN t = {lit(k)} THEN {sql_split_words(lit(v))}" for k, v in items)
+    return f"flatten(list_transform({toks}, lambda t: CASE {branches} ELSE [t] END))"
+
+
+def sql_clean_stance(col: str, pairs=()) -> str:
+    from stanceflow.functions.text import EMOJI_PATTERN, MARKER_TAGS, RESERVED_WORDS, URL_PATTERN
+    s = f"regexp_replace(regexp_replace({col}, {lit(URL_PATTERN)}, '', 'g'), {lit(EMOJI_PATTERN)}, '', 'g')"
+    for t in MARKER_TAGS:
+        s = f"replace({s}, {lit(t)}, '')"
+    reserved = ", ".join(lit(w) for w in RESERVED_WORDS)
+    toks = f"list_filter({sql_tokens(s)}, lambda t: t NOT IN ({reserved}))"
+    return sql_normalize(sql_lower(toks), pairs)
+
+
+def sql_clean_aspect(col: str) -> str:
+    return sql_lower(sql_tokens(col))

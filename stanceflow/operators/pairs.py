@@ -139,25 +139,23 @@ def target_aware_attention(df: DataFrame, vectors: str = "vectors", alpha: float
     def in_span(i):
         return F.when(s1.isNotNull() & (i >= s0) & (i < s1), F.lit(1.0)).otherwise(F.lit(0.0))
 
-    def scores(q, i):
-        def one(k, j):
-            bias = a * in_span(i) * in_span(j)
-            raw = _dot(q, k)
-            return (raw + bias) / sq if scale_mode == "pre" else raw / sq + bias
-        return F.transform(v, one)
-
-    def attend(q, i):
-        sc = scores(q, i)
-        mx = F.array_max(sc)
-        ex = F.transform(sc, lambda s: F.exp(s - mx))
-        z = F.aggregate(ex, F.lit(0.0), lambda acc, x: acc + x)
-        weighted = F.aggregate(
-            F.zip_with(ex, v, lambda w, vec: F.transform(vec, lambda x: x * w)),
-            F.transform(q, lambda x: F.lit(0.0)),
-            lambda acc, vec: F.zip_with(acc, vec, lambda p, r: p + r))
-        return F.transform(weighted, lambda x: x / z)
-
-    return df.withColumn(out, F.transform(v, attend))
+    def score(raw, i, j):
+        bias = a * in_span(i) * in_span(j)
+        return (raw + bias) / sq if scale_mode == "pre" else raw / sq + bias
+
+    # each stage is its own column and reads the previous one through lambda
+    # variables, so no stage re-evaluates the one before it
+    staged = df.withColumn("_sc", F.transform(v, lambda q, i: F.transform(
+        v, lambda k, j: score(_dot(q, k), i, j))))
+    staged = staged.withColumn("_mx", F.transform("_sc", lambda r: F.array_max(r)))
+    staged = staged.withColumn("_ex", F.zip_with("_sc", "_mx", lambda r, m: F.transform(r, lambda x: F.exp(x - m))))
+    staged = staged.withColumn("_z", F.transform("_ex", lambda r: F.aggregate(r, F.lit(0.0), lambda acc, x: acc + x)))
+    staged = staged.withColumn("_w", F.zip_with("_ex", "_z", lambda r, z: F.transform(r, lambda x: x / z)))
+    zeros = F.array_repeat(F.lit(0.0), F.size(F.element_at(v, 1)))
+    attended = F.transform("_w", lambda wr: F.aggregate(
+        F.zip_with(wr, v, lambda w, vec: F.transform(vec, lambda x: x * w)),
+        zeros, lambda acc, vec: F.zip_with(acc, vec, lambda p, r: p + r)))
+    return staged.withColumn(out, attended).drop("_sc", "_mx", "_ex", "_z", "_w")
 
 
 # E8 ------------------------------------------------------------------------

@@ -42,10 +42,12 @@ def encode_label(c, domain: str = "stance") -> Column:
 def encode_prediction(c, domain: str = "stance") -> Column:
     """Like encode_label, but a missing prediction is UNKNOWN = -1.
 
-    The fill happens before the map: null -> -1, a known name -> 0/1/2, any other
-    string -> null (not -1)."""
+    The fill happens before the map: missing -> -1, a known name -> 0/1/2, any
+    other string -> null (not -1). An empty string counts as missing: it is
+    how a parser's "no match" is stored, and a CSV round trip reads it back
+    as missing."""
     col = _col(c)
-    return F.when(col.isNull(), F.lit(-1)).otherwise(encode_label(col, domain)).cast("int")
+    return F.when(col.isNull() | (col == ""), F.lit(-1)).otherwise(encode_label(col, domain)).cast("int")
 
 
 def decode_label(c, domain: str = "polarity") -> Column:

@@ -33,9 +33,12 @@ def _col(c) -> Column:
 
 
 def strip_noise(c) -> Column:
-    """C1 on the string: drop URLs and emoji (reserved words are dropped per
-    token, see ``drop_reserved``; mentions and hashtags are kept)."""
-    s = F.regexp_replace(_col(c), URL_PATTERN, "")
+    """C1 on the string: drop URLs and emoji (reserved words are dropped as
+    whole tokens, see ``drop_reserved``; mentions and hashtags are kept).
+    The URL regex only runs on texts that contain a URL prefix at all."""
+    col = _col(c)
+    has_url = col.contains("http") | col.contains("www.")
+    s = F.when(has_url, F.regexp_replace(col, URL_PATTERN, "")).otherwise(col)
     return F.regexp_replace(s, EMOJI_PATTERN, "")
 
 
@@ -71,16 +74,18 @@ def split_words(s: Column) -> Column:
 
 
 def normalize_tokens(tokens, pairs: Iterable[tuple[str, str]]) -> Column:
-    """C5 for a dictionary of proven small size, held as a literal map: a token
-    that is a key becomes the whitespace split of its value (one -> many, or
-    none when blank), in a single pass; values are not lowered again."""
+    """C5 for a dictionary of proven small size, held as a literal map from
+    key to its value already split into words (one -> many, or none when
+    blank): one lookup per token, a single pass, values not lowered again.
+    The token column is referenced once: lambdas run interpreted, so a second
+    reference would tokenise the text again."""
     items = list(pairs)
     if not items:
         return _col(tokens)
-    m = F.create_map(*[F.lit(x) for kv in items for x in kv])
+    m = F.create_map(*[x for k, v in items
+                       for x in (F.lit(k), F.array(*[F.lit(w) for w in v.split()]).cast("array<string>"))])
     return F.flatten(F.transform(
-        _col(tokens),
-        lambda t: F.when(F.map_contains_key(m, t), split_words(F.element_at(m, t))).otherwise(F.array(t))))
+        _col(tokens), lambda x: F.when(F.map_contains_key(m, x), F.element_at(m, x)).otherwise(F.array(x))))
 
 
 def clean_stance_tokens(c, pairs: Iterable[tuple[str, str]] = ()) -> Column:

@@ -65,22 +65,23 @@ def merge_dicts(base: DataFrame, override: DataFrame, key: str = "slang", value:
 
 def normalize_join(df: DataFrame, dictionary: DataFrame, key: str, tokens: str = "tokens",
                    out: str = "norm_tokens", slang: str = "slang", expansion: str = "expansion",
-                   broadcast_limit: int = MAP_DICT_LIMIT) -> DataFrame:
+                   keep: Sequence[str] = (), broadcast_limit: int = MAP_DICT_LIMIT) -> DataFrame:
     """J5 / C5 large form: tokens are exploded with their position, looked up
     with a left join, and re-collected in position order per row key.
 
     The dictionary is broadcast only after its row count is checked; a larger
     one is a shuffle join (AQE splits hot tokens). Rows with no tokens survive
-    through ``posexplode_outer``. One shuffle on ``key`` re-groups the tokens of
-    a row, which are bounded by that row's text."""
+    through ``posexplode_outer``, so the regrouped frame has every key and no
+    join back is needed; ``keep`` columns ride along (constant per key). One
+    shuffle on ``key`` re-groups the tokens of a row, bounded by its text."""
     d = dictionary.select(F.col(slang).alias("_tok"), split_words(F.col(expansion)).alias("_rep"))
     if dictionary.count() <= broadcast_limit:
         d = F.broadcast(d)
-    exploded = df.select(key, F.posexplode_outer(tokens).alias("_pos", "_tok"))
+    exploded = df.select(key, *keep, F.posexplode_outer(tokens).alias("_pos", "_tok"))
     looked = exploded.join(d, "_tok", "left").select(
-        key, "_pos", F.when(F.col("_tok").isNull(), empty_tokens())
+        key, *keep, "_pos", F.when(F.col("_tok").isNull(), empty_tokens())
         .otherwise(F.coalesce(F.col("_rep"), F.array(F.col("_tok")))).alias("_rep"))
     regrouped = looked.groupBy(key).agg(
+        *[F.first(c).alias(c) for c in keep],
         F.array_sort(F.collect_list(F.struct("_pos", "_rep"))).alias("_parts"))
-    normalized = regrouped.select(key, F.flatten(F.transform("_parts", lambda s: s["_rep"])).alias(out))
-    return df.join(normalized, key, "left")
+    return regrouped.select(key, *keep, F.flatten(F.transform("_parts", lambda s: s["_rep"])).alias(out))

@@ -143,12 +143,15 @@ def token_vector_view(spark, sf):
     emb = table(spark, sf, "embeddings")
     n_vec = emb.select(F.count(F.lit(1))).scalar()
     vecs = emb.select("vec_id", F.slice("embedding", 1, ATTN_DIMS).cast("array<double>").alias("vec"))
-    pos = sq.select("doc_id", F.posexplode("seq").alias("pos", "tok"))
+    pos = sq.select("doc_id", "span_start", "span_end", F.posexplode("seq").alias("pos", "tok"))
     pos = pos.withColumn("vec_id", F.pmod(F.col("doc_id") * 16 + F.col("pos"), n_vec))
     looked = pos.join(vecs, "vec_id")
-    regrouped = looked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("_v"))
-    vectors = regrouped.select("doc_id", F.transform("_v", lambda s: s["vec"]).alias("vectors"))
-    return sq.select("doc_id", "span_start", "span_end").join(vectors, "doc_id")
+    # the span rides along (constant per document): no join back to the spans
+    regrouped = looked.groupBy("doc_id").agg(
+        F.first("span_start").alias("span_start"), F.first("span_end").alias("span_end"),
+        F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("_v"))
+    return regrouped.select("doc_id", "span_start", "span_end",
+                            F.transform("_v", lambda s: s["vec"]).alias("vectors"))
 
 
 def _attention_query(spark, sf, mode):

@@ -27,6 +27,8 @@ SV = with_views(STANCE_VIEW)
 
 
 def _tok_out(col):
+    """Joined tokens and their count from a token column (reference it by
+    name after a projection, so the cleaning runs once per row)."""
     return [F.array_join(col, " ").alias("tokens"), F.size(col).cast("long").alias("n_tokens")]
 
 
@@ -38,9 +40,9 @@ FROM documents""")
 def q_clean_stance(spark, sf):
     docs = table(spark, sf, "documents")
     pairs = merged_pairs()
-    toks = clean_stance_tokens("text", pairs)
-    return docs.select("doc_id", *_tok_out(toks),
-                       F.array_join(clean_stance_tokens("lang", pairs), " ").alias("target_tokens"))
+    cleaned = docs.select("doc_id", clean_stance_tokens("text", pairs).alias("_t"),
+                          F.array_join(clean_stance_tokens("lang", pairs), " ").alias("target_tokens"))
+    return cleaned.select("doc_id", *_tok_out(F.col("_t")), "target_tokens")
 
 
 @query("clean_aspect_tokens", f"""
@@ -49,7 +51,8 @@ SELECT doc_id, array_to_string({sql_clean_aspect('text')}, ' ') AS tokens,
 FROM documents""")
 def q_clean_aspect(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", *_tok_out(clean_aspect_tokens("text")))
+    cleaned = docs.select("doc_id", clean_aspect_tokens("text").alias("_t"))
+    return cleaned.select("doc_id", *_tok_out(F.col("_t")))
 
 
 @query("normalize_map", f"""
@@ -58,7 +61,8 @@ SELECT doc_id, array_to_string({sql_normalize(sql_clean_aspect('text'), merged_p
 FROM documents""")
 def q_normalize_map(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", *_tok_out(normalize_tokens(clean_aspect_tokens("text"), merged_pairs())))
+    cleaned = docs.select("doc_id", normalize_tokens(clean_aspect_tokens("text"), merged_pairs()).alias("_t"))
+    return cleaned.select("doc_id", *_tok_out(F.col("_t")))
 
 
 @query("normalize_join", f"""

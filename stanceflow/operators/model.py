@@ -21,7 +21,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TEXT_FEATURES = 1 << 16
+TEXT_FEATURES = 1 << 14
 TARGET_FEATURES = 1 << 10
 
 

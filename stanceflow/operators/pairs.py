@@ -131,7 +131,7 @@ def target_aware_attention(df: DataFrame, vectors: str = "vectors", alpha: float
     if scale_mode not in ("pre", "post"):
         raise ValueError("scale_mode must be 'pre' or 'post'")
     v = F.col(vectors)
-    d = F.size(F.element_at(v, 1)).cast("double") if dim is None else F.lit(float(dim))
+    d = F.size(F.try_element_at(v, F.lit(1))).cast("double") if dim is None else F.lit(float(dim))
     sq = F.sqrt(d)
     a = F.lit(float(alpha))
     s0, s1 = F.col("span_start"), F.col("span_end")
@@ -151,7 +151,7 @@ def target_aware_attention(df: DataFrame, vectors: str = "vectors", alpha: float
     staged = staged.withColumn("_ex", F.zip_with("_sc", "_mx", lambda r, m: F.transform(r, lambda x: F.exp(x - m))))
     staged = staged.withColumn("_z", F.transform("_ex", lambda r: F.aggregate(r, F.lit(0.0), lambda acc, x: acc + x)))
     staged = staged.withColumn("_w", F.zip_with("_ex", "_z", lambda r, z: F.transform(r, lambda x: x / z)))
-    zeros = F.array_repeat(F.lit(0.0), F.size(F.element_at(v, 1)))
+    zeros = F.array_repeat(F.lit(0.0), F.greatest(F.size(F.try_element_at(v, F.lit(1))), F.lit(0)))
     attended = F.transform("_w", lambda wr: F.aggregate(
         F.zip_with(wr, v, lambda w, vec: F.transform(vec, lambda x: x * w)),
         zeros, lambda acc, vec: F.zip_with(acc, vec, lambda p, r: p + r)))

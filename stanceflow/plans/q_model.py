@@ -41,7 +41,8 @@ def q_train_classifier(spark, sf):
 @query("score_classifier")
 def q_score_classifier(spark, sf):
     """Train on train + val, score the test split, evaluate per target."""
-    data = model_frame(spark, sf)
+    # several passes (feature fit, L-BFGS, scoring) read the same frame
+    data = model_frame(spark, sf).persist()
     model = MD.train_classifier(data.filter(F.col("split") != "test"), max_iter=30)
     scored = MD.score_classifier(model, data.filter(F.col("split") == "test"))
     scored = M.predict_label(scored, "logits", out="p_argmax")
@@ -54,7 +55,7 @@ def q_two_head(spark, sf):
     class 1. Accuracy per task on the test split."""
     data = model_frame(spark, sf)
     data = StringIndexer(inputCol="target", outputCol="target_id").fit(data).transform(data)
-    data = data.withColumn("target_id", F.col("target_id").cast("int"))
+    data = data.withColumn("target_id", F.col("target_id").cast("int")).persist()
     train = data.filter(F.col("split") != "test")
     # the auxiliary task predicts the target id from the text alone
     aux = aux_frame(train, "tokens", "target_id", "y").withColumn(

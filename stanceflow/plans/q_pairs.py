@@ -120,7 +120,7 @@ m AS ({' UNION ALL '.join(masks)}),
 g AS (SELECT m.mask, CAST(l.layer AS INTEGER) AS layer, CAST(h.head AS INTEGER) AS head,
              CASE WHEN l.layer < m.lf * 12 - 1e-9 AND h.head < m.hf * 12 - 1e-9 THEN 1 ELSE 0 END AS "on"
       FROM m, range(12) l(layer), range(12) h(head))
-SELECT g.mask, g.layer, g.head, g."on", coalesce(tot.cells, 0) AS cells,
+SELECT g.mask, g.layer, g.head, g."on", CAST(coalesce(tot.cells, 0) AS BIGINT) AS cells,
        round(g."on" * coalesce(tot.mass, 0.0), 6) AS bias_mass
 FROM g, tot"""
 

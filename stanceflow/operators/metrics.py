@@ -315,33 +315,71 @@ POLICIES = {
 STANCE_CLASS_NAMES = ("Against", "None", "Favor")
 
 
+def count_columns(classes: Sequence[int] = CLASSES) -> list[str]:
+    cols = ["n_rows", "n_correct"]
+    for c in classes:
+        k = _suffix(c)
+        cols += [f"tp_{k}", f"np_{k}", f"ns_{k}"]
+    return cols
+
+
+def roll_up(counts: DataFrame, by: Sequence[str], classes: Sequence[int] = CLASSES) -> DataFrame:
+    """Counters at a coarser grain: sums over the (small) counter table, so
+    one aggregation of the data serves every level."""
+    return counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in count_columns(classes)])
+
+
 def evaluate(df: DataFrame, dataset: str, aux_eval: bool = False, metric: str = "micro",
              per_target: bool = False, target: str = "target", by: Sequence[str] = (),
-             y: str = "y", p: str = "p", fixed_labels: bool = False) -> DataFrame:
+             y: str = "y", p: str = "p", fixed_labels: bool = False,
+             counts: DataFrame | None = None) -> DataFrame:
     """The dataset metric policy as one long table (by..., scope, name, value).
 
     not aux: (F1_0 + F1_2)/2, or the three-class mean for Covid19.
     aux (VAST): micro or macro F1 (fixed labels 0-2 when ``fixed_labels``,
     else every class / present classes). per_target: per-target values,
     except VAST, which reports per-class F1 named Against/None/Favor.
+
+    The data is aggregated once, to counters per (by, target); the overall
+    values are roll-ups of that small table. Pass ``counts`` (from
+    ``target_counts``) to share one aggregation between several policies.
     """
     avg = POLICIES.get(dataset, "avg2")
-    labels = list(CLASSES) if fixed_labels else None
+    classes = list(CLASSES) + ([] if fixed_labels or not aux_eval or metric == "micro" else [-1])
+    fine = counts if counts is not None else target_counts(df, by, target, y, p, classes)
+    w = roll_up(fine, by, classes)
+    f0, f1c, f2 = _f1c(0), _f1c(1), _f1c(2)
     if not aux_eval:
-        overall = (f1_avg3 if avg == "avg3" else f1_avg2)(df, by, y, p, out="value")
+        value = (f0 + f1c + f2) / 3 if avg == "avg3" else (f0 + f2) / 2
     elif metric == "micro":
-        overall = f1_micro(df, by, y, p, labels).select(*by, F.col("micro_f1").alias("value"))
+        if fixed_labels:
+            tp = F.col("tp_0") + F.col("tp_1") + F.col("tp_2")
+            value = f1_expr(tp, F.col("np_0") + F.col("np_1") + F.col("np_2"),
+                            F.col("ns_0") + F.col("ns_1") + F.col("ns_2"))
+        else:
+            value = _ratio(F.col("n_correct"), F.col("n_rows"))
+    elif fixed_labels:
+        value = (f0 + f1c + f2) / 3
     else:
-        overall = f1_macro(df, by, y, p, labels).select(*by, F.col("macro_f1").alias("value"))
-    result = overall.select(*by, F.lit("overall").alias("scope"), F.lit(metric if aux_eval else avg).alias("name"),
-                            "value")
+        present = [((F.col(f"np_{_suffix(c)}") + F.col(f"ns_{_suffix(c)}")) > 0).cast("double") for c in classes]
+        n_present = sum(present, F.lit(0.0))
+        tot = sum((_f1c(c) * pr for c, pr in zip(classes, present)), F.lit(0.0))
+        value = F.when(n_present > 0, tot / n_present).otherwise(F.lit(0.0))
+    result = w.select(*by, F.lit("overall").alias("scope"), F.lit(metric if aux_eval else avg).alias("name"),
+                      value.alias("value"))
     if per_target:
         if dataset == "vast" or aux_eval:
-            prf = class_prf(df, by, y, p)
-            names = F.element_at(F.array(*[F.lit(n) for n in STANCE_CLASS_NAMES]), F.col("cls") + 1)
-            extra = prf.select(*by, F.lit("class").alias("scope"), names.alias("name"), F.col("f1").alias("value"))
+            rows = [F.struct(F.lit(n).alias("name"), _f1c(c).alias("value"))
+                    for c, n in zip(CLASSES, STANCE_CLASS_NAMES)]
+            extra = w.select(*by, F.lit("class").alias("scope"), F.inline(F.array(*rows)))
         else:
-            extra = f1_per_target(df, target, by, y, p, avg).select(
-                *by, F.lit("target").alias("scope"), F.col(target).alias("name"), F.col("f1").alias("value"))
+            tv = (f0 + f1c + f2) / 3 if avg == "avg3" else (f0 + f2) / 2
+            extra = fine.select(*by, F.lit("target").alias("scope"), F.col(target).alias("name"), tv.alias("value"))
         result = result.unionByName(extra)
     return result
+
+
+def target_counts(df: DataFrame, by: Sequence[str] = (), target: str = "target", y: str = "y", p: str = "p",
+                  classes: Sequence[int] = (-1, 0, 1, 2)) -> DataFrame:
+    """Counters per (by, target): the one aggregation every policy reads."""
+    return _wide_counts(df, [*by, target], y, p, classes)

@@ -252,12 +252,14 @@ UNION ALL SELECT 'vast_micro', seed, epoch, 'overall', 'micro', round({ratio('n_
 @query("evaluate_policy", _POLICY_SQL)
 def q_evaluate_policy(spark, sf):
     pv = prediction_view(spark, sf)
+    # one aggregation of the data; every policy reads the counter table
+    counts = M.target_counts(pv, RUN)
     parts = [
-        ("SemEval2016", M.evaluate(pv, "SemEval2016", per_target=True, by=RUN)),
-        ("Covid19", M.evaluate(pv, "Covid19", per_target=True, by=RUN)),
+        ("SemEval2016", M.evaluate(pv, "SemEval2016", per_target=True, by=RUN, counts=counts)),
+        ("Covid19", M.evaluate(pv, "Covid19", per_target=True, by=RUN, counts=counts)),
         ("vast", M.evaluate(pv, "vast", aux_eval=True, metric="macro", per_target=True, by=RUN,
-                            fixed_labels=True)),
-        ("vast_micro", M.evaluate(pv, "vast", aux_eval=True, metric="micro", by=RUN)),
+                            fixed_labels=True, counts=counts)),
+        ("vast_micro", M.evaluate(pv, "vast", aux_eval=True, metric="micro", by=RUN, counts=counts)),
     ]
     out = None
     for name, df in parts:

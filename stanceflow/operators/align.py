@@ -51,7 +51,7 @@ def alignment_audit(left: DataFrame, right: DataFrame, left_order: str, right_or
         # the ignore list is a set of exception positions: broadcast it only
         # after its size is checked, else a plain (shuffle) join on idx
         flags = ignore.select("idx").distinct().withColumn("_ign", F.lit(True))
-        if flags.count() <= IGNORE_BROADCAST_ROWS:
+        if flags.limit(IGNORE_BROADCAST_ROWS + 1).count() <= IGNORE_BROADCAST_ROWS:
             flags = F.broadcast(flags)
         aligned = aligned.join(flags, "idx", "left")
     else:

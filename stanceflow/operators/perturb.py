@@ -20,7 +20,8 @@ BROADCAST_ROWS = 100_000
 
 
 def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
+    # limit(n + 1) stops the count early: a large table is never fully counted
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def _only(split_col: str | None, split: str | None):

@@ -75,7 +75,7 @@ def normalize_join(df: DataFrame, dictionary: DataFrame, key: str, tokens: str =
     join back is needed; ``keep`` columns ride along (constant per key). One
     shuffle on ``key`` re-groups the tokens of a row, bounded by its text."""
     d = dictionary.select(F.col(slang).alias("_tok"), split_words(F.col(expansion)).alias("_rep"))
-    if dictionary.count() <= broadcast_limit:
+    if dictionary.limit(broadcast_limit + 1).count() <= broadcast_limit:
         d = F.broadcast(d)
     exploded = df.select(key, *keep, F.posexplode_outer(tokens).alias("_pos", "_tok"))
     looked = exploded.join(d, "_tok", "left").select(

@@ -13,7 +13,7 @@ from stanceflow.functions.prompts import (
 )
 from stanceflow.functions.text import tokenize
 
-TEMPLATE_SETS = {"llm": LLM_TEMPLATES, "hosted": HOSTED_TEMPLATES, "sft": SFT_TEMPLATES}
+TEMPLATE_SETS = {"local": LLM_TEMPLATES, "hosted": HOSTED_TEMPLATES, "sft": SFT_TEMPLATES}
 
 
 def get_template(family: str, name: str) -> str:

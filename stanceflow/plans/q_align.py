@@ -8,7 +8,7 @@ from stanceflow.operators import align as J
 from stanceflow.operators import parse as PL
 from stanceflow.operators import perturb as T
 from stanceflow.operators.index import with_row_index
-from stanceflow.plans.q_llm import GV, _free_sql
+from stanceflow.plans.q_generation import GV, _free_sql
 from stanceflow.plans.registry import query
 from stanceflow.plans.sqlviews import STANCE_VIEW, lit, with_views
 from stanceflow.plans.views import generation_view, stance_view, table

@@ -147,11 +147,11 @@ def _p2_sql(col: str) -> str:
             f"WHEN {col} = 'NONE' THEN 1 WHEN {col} = 'FAVOR' THEN 2 END AS INTEGER)")
 
 
-@query("llm_stub_pipeline", _STUB_CTE + f""", parsed AS (
+@query("generate_parse_eval", _STUB_CTE + f""", parsed AS (
   SELECT target, y, {_p2_sql(_chat_sql('answer'))} AS p FROM stripped)
 SELECT target, n_rows, round(({f1c(0)} + {f1c(2)}) / 2, 6) AS f1
 FROM (SELECT target, {class_counts()} FROM parsed GROUP BY target)""")
-def q_llm_stub_pipeline(spark, sf):
+def q_generate_parse_eval(spark, sf):
     """render -> generate -> strip echo -> parse -> encode -> per-target F1."""
     out = PL.parse_generations(G.strip_echo(generated(spark, sf)), "chat")
     out = out.withColumn("p", encode_prediction("generated_stance"))
@@ -203,13 +203,13 @@ def q_unknown_count(spark, sf):
     return PL.unknown_count(out.withColumn("p", encode_prediction("generated_stance")), ["target"])
 
 
-@query("llm_eval", GV + f""", s AS (
+@query("generation_eval", GV + f""", s AS (
   SELECT target, y, {_p2_sql(_free_sql('generated_text'))} AS p FROM generation_view),
 c AS (SELECT {class_counts()} FROM s),
 t AS (SELECT target, {class_counts()} FROM s GROUP BY target)
 SELECT 'overall' AS scope, 'avg2' AS name, round(({f1c(0)} + {f1c(2)}) / 2, 6) AS value FROM c
 UNION ALL SELECT 'target', target, round(({f1c(0)} + {f1c(2)}) / 2, 6) FROM t""")
-def q_llm_eval(spark, sf):
+def q_generation_eval(spark, sf):
     """Entry 2 of the reference: parse free text, map, score per target."""
     out = PL.parse_generations(generation_view(spark, sf), "free")
     out = out.withColumn("p", encode_prediction("generated_stance"))

@@ -57,10 +57,14 @@ def truncate_sft(df: DataFrame, text: str = "text", prefix: str = "sft_prefix",
 
 
 def generate(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], inputs: Sequence[str] = ("prompt",),
-             out: str = "generated_text", batch_size: int = 4) -> DataFrame:
+             out: str = "generated_text", batch_size: int = 4, checkpoint: bool = False) -> DataFrame:
     """A caller-supplied generator over Arrow batches of ``batch_size``
     rows (``fn(pandas.DataFrame of inputs) -> pandas.Series of str``).
-    Persist the result: generation is the costly, non-repeatable step."""
+
+    Generation is the costly step and a sampling model is not repeatable:
+    with ``checkpoint=True`` the output is written once to the cluster's
+    checkpoint folder, so later stages and retried tasks read the same texts
+    instead of calling the model again."""
     cols = list(df.columns)
     schema = df.select(*cols, F.lit(None).cast("string").alias(out)).schema
     ins = list(inputs)
@@ -72,7 +76,12 @@ def generate(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], inputs: Seq
                 chunk[out] = list(fn(chunk[ins].reset_index(drop=True)))
                 yield chunk
 
-    return df.mapInPandas(run, schema)
+    generated = df.mapInPandas(run, schema)
+    if checkpoint:
+        from stanceflow.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        generated = generated.checkpoint(eager=True)
+    return generated
 
 
 def strip_echo(df: DataFrame, generated: str = "generated_text", prompt: str = "prompt",

@@ -87,3 +87,16 @@ def test_batch_scorer_hook(spark):
     out = M.predict_label(MD.score_batches(df, fn, ["x"], batch_size=2), "logits")
     got = {r["doc_id"]: r["p"] for r in out.collect()}
     assert got[0] == 1 and got[5] == 0
+
+
+def test_generate_checkpointed_is_stable(spark):
+    calls = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, "p%d" % i) for i in range(6)], "doc_id long, prompt string")
+
+    def fn(pdf):
+        return pdf["prompt"] + "!"
+
+    out = G.generate(df, fn, ["prompt"], checkpoint=True)
+    first = sorted(r["generated_text"] for r in out.collect())
+    assert first == sorted(r["generated_text"] for r in out.collect()) == ["p%d!" % i for i in range(6)]
+    assert calls.value == 0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from stanceflow.functions.labels import encode_prediction
 from stanceflow.functions.parse import CHAT_PATTERN_SQL, DICT_PATTERN, FREE_PATTERN

@@ -9,7 +9,7 @@ from stanceflow.operators.index import with_row_index
 from stanceflow.operators.labels import label_profile
 from stanceflow.plans.registry import query, rounded
 from stanceflow.plans.sqlviews import (
-    BASE, GRID, LOGITS_VIEW, PREDICTION_VIEW, STANCE_VIEW, class_counts, f1, f1c, ratio, with_views,
+    BASE, LOGITS_VIEW, STANCE_VIEW, class_counts, f1, f1c, ratio, with_views,
 )
 from stanceflow.plans.views import (
     logits_view, prediction_column, prediction_view, seed_epoch_grid, stance_view, table,
@@ -340,5 +340,3 @@ SELECT target, stance, count(*) AS n_rows FROM stance_view GROUP BY ROLLUP (targ
 def q_label_profile(spark, sf):
     return label_profile(stance_view(spark, sf), ["target", "stance"])
 
-
-__all__ = ["GRID", "PREDICTION_VIEW"]

@@ -3,8 +3,6 @@ parity with Python's ``re`` over whole documents."""
 
 import re
 
-from pyspark.sql import functions as F
-
 from conftest import SF_SMALL
 from stanceflow.functions.text import (
     TOKEN_PATTERN, clean_aspect_tokens, clean_stance_tokens, normalize_tokens, tokenize,
@@ -22,7 +20,7 @@ def test_markers_and_case(spark):
 
 
 def test_backslash_and_accents_split(spark):
-    assert _tokens(spark, r"a\b cafés 12ab") == ["a", "b", "caf", "s", "12", "ab"] or True
+    assert _tokens(spark, "cafés 12ab") == ["caf", "s", "12", "ab"]
     assert _tokens(spark, "a\\b") == ["a", "b"]
     assert _tokens(spark, "café") == ["caf"]
     assert _tokens(spark, "x,y!?&/<>=$z") == ["x", ",", "y", "!", "?", "&", "/", "<", ">", "=", "$", "z"]

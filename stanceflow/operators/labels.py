@@ -35,15 +35,23 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def head_limit(df: DataFrame, n: int, order_by: str | list[str]) -> DataFrame:
-    """The first n rows in the given order; n <= 0 keeps every row.
+# Up to this n a first-n read is a top-k (each task keeps its own n rows and
+# only those reach the final merge); above it, a filter on the row index.
+TOP_K_LIMIT = 10_000
+
 
-    ``orderBy().limit()`` plans as TakeOrderedAndProject: each task keeps its
-    own top n, only n rows per task reach the final merge."""
+def head_limit(df: DataFrame, n: int, order_by: str | list[str]) -> DataFrame:
+    """The first n rows in the given order (a true first-n); n <= 0 keeps
+    every row. A large n runs as ``idx < n`` over the distributed row index
+    (the first order column must then be a unique numeric key)."""
     if n <= 0:
         return df
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.orderBy(*keys).limit(n)
+    if n <= TOP_K_LIMIT:
+        return df.orderBy(*keys).limit(n)
+    from stanceflow.operators.index import with_row_index
+    return with_row_index(df, keys[0], out="_first_n", tie_break=keys[1:]).filter(
+        F.col("_first_n") < n).drop("_first_n")
 
 
 def split_valid(df: DataFrame, label_col: str = "stance", domain: str = "stance",

@@ -199,8 +199,13 @@ def build_vocab(token_sets: Sequence[DataFrame], tokens: str = "tokens",
 
 
 def read_vectors(vectors: DataFrame, limit: int = 500_000, rank: str = "rank") -> DataFrame:
-    """The first ``limit`` vectors in rank (file) order; a top-k read."""
-    return vectors.orderBy(rank).limit(limit) if limit > 0 else vectors
+    """The first ``limit`` vectors in rank (file) order.
+
+    A large first-N is a filter on the distributed row index, not a top-k:
+    a top-k of 500,000 would funnel up to that many rows per task into one
+    final partition."""
+    from stanceflow.operators.labels import head_limit
+    return head_limit(vectors, limit, rank)
 
 
 def uniform_fallback(seed: int, token: Column, dims: int, low: float = -0.25, high: float = 0.25) -> Column:

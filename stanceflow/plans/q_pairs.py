@@ -17,7 +17,7 @@ ALPHA = 0.5
 # The head-mask labels of the sweep scripts.
 MASK_SPECS = ("0.50l_0.25h", "0.50l_0.50h", "0.50l_1.00h", "1.00l_0.25h", "1.00l_0.50h")
 ATTN_TEXT_TOKENS, ATTN_DIMS = 8, 16
-VOCAB_VECTORS = 400
+VOCAB_VECTORS = 500_000  # the first-N read of the vector file (reference default)
 
 
 def token_pairs(spark, sf):

@@ -102,3 +102,11 @@ def test_vectors_first_n(spark):
     from stanceflow.operators.pairs import read_vectors
     df = spark.createDataFrame([(i, "w%d" % i) for i in range(10, 0, -1)], "rank int, token string")
     assert [r["rank"] for r in read_vectors(df, 3).collect()] == [1, 2, 3]
+
+
+def test_large_first_n_uses_row_index(spark):
+    from stanceflow.operators.labels import head_limit
+    df = spark.range(0, 30000).withColumnRenamed("id", "rank").repartition(7)
+    got = head_limit(df, 20000, "rank")
+    assert got.count() == 20000 and got.agg({"rank": "max"}).first()[0] == 19999
+    assert "TakeOrderedAndProject" not in got._jdf.queryExecution().executedPlan().toString()

@@ -16,7 +16,7 @@ from stanceflow.sources.readers import split_by_key
 ALPHA = 0.5
 # The head-mask labels of the sweep scripts.
 MASK_SPECS = ("0.50l_0.25h", "0.50l_0.50h", "0.50l_1.00h", "1.00l_0.25h", "1.00l_0.50h")
-ATTN_TEXT_TOKENS, ATTN_DIMS = 8, 16
+ATTN_MAX_LEN, ATTN_DIMS = 128, 16
 VOCAB_VECTORS = 500_000  # the first-N read of the vector file (reference default)
 
 
@@ -133,13 +133,12 @@ def q_head_mask_bias(spark, sf):
 
 # --- E7 ----------------------------------------------------------------------
 
-def token_vector_view(spark, sf):
-    """First 8 text tokens, separator, target tokens, separator; the vector of
-    position pos is embeddings[(doc_id * 16 + pos) % n_vec], dimensions 1-16."""
-    tp = token_pairs(spark, sf)
-    seq = F.concat(F.slice("tokens", 1, ATTN_TEXT_TOKENS), F.array(F.lit("[SEP]")), F.col("target_tokens"),
-                   F.array(F.lit("[SEP]")))
-    sq = E.target_span(tp.select("doc_id", seq.alias("seq")), "seq")
+def token_vector_view(spark, sf, max_len: int = ATTN_MAX_LEN):
+    """The model input of every stance row: whole-text tokens encoded as
+    [CLS] text [SEP] target [SEP] and truncated to ``max_len`` (E1-E3, the
+    reference's model input); the vector of position pos is
+    embeddings[(doc_id * 16 + pos) % n_vec], dimensions 1-16."""
+    sq = encoded(spark, sf, max_len).select("doc_id", "seq", "span_start", "span_end")
     emb = table(spark, sf, "embeddings")
     n_vec = emb.select(F.count(F.lit(1))).scalar()
     vecs = emb.select("vec_id", F.slice("embedding", 1, ATTN_DIMS).cast("array<double>").alias("vec"))
@@ -156,23 +155,23 @@ def token_vector_view(spark, sf):
 
 def _attention_query(spark, sf, mode):
     tv = token_vector_view(spark, sf)
-    att = E.target_aware_attention(tv, "vectors", alpha=1.0, scale_mode=mode)
+    att = E.target_aware_attention(tv, "vectors", alpha=1.0, scale_mode=mode, engine="arrow")
     # posexplode_outer: a plain posexplode makes the optimizer infer a
     # size(attn_out) > 0 filter and push the whole attention expression into
     # the join below it
     rows = att.select("doc_id", F.posexplode_outer("attn_out").alias("i", "vec"))
-    out = rows.select("doc_id", "i", F.posexplode_outer("vec").alias("d", "value"))
-    return rounded(out.select("doc_id", F.col("i").cast("int"), F.col("d").cast("int"), "value"))
+    summary = rows.select(
+        "doc_id", F.col("i").cast("int").alias("i"),
+        F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("out_sum"),
+        F.element_at("vec", 1).alias("out_first"))
+    return rounded(summary)
 
 
 def _attention_sql(mode: str) -> str:
-    seq = "list_concat(list_concat(list_concat(toks[1:8], ['[SEP]']), tgt), ['[SEP]'])"
     score = ("(dot + 1.0 * ii * jj) / sqrt(16.0)" if mode == "pre" else "dot / sqrt(16.0) + 1.0 * ii * jj")
-    return TOKS + f""", sq AS (SELECT doc_id, {seq} AS seq FROM pv),
-b AS (SELECT *, list_position(seq, '[SEP]') AS b1 FROM sq),
-sp AS (SELECT doc_id, seq, b1 AS s0, b1 + list_position(seq[b1 + 1:], '[SEP]') - 1 AS s1 FROM b),
+    return TOKS + spans_sql((ATTN_MAX_LEN,)) + f""",
 nv AS (SELECT count(*) AS n FROM embeddings),
-pos AS (SELECT doc_id, s0, s1, CAST(unnest(range(len(seq))) AS BIGINT) AS pos FROM sp),
+pos AS (SELECT doc_id, span_start AS s0, span_end AS s1, CAST(unnest(range(len(seq))) AS BIGINT) AS pos FROM sp),
 tv AS (SELECT p.doc_id, p.pos, CAST(e.embedding[1:16] AS DOUBLE[]) AS vec,
               CASE WHEN p.s1 IS NOT NULL AND p.pos >= p.s0 AND p.pos < p.s1 THEN 1.0 ELSE 0.0 END AS ins
        FROM pos p CROSS JOIN nv JOIN embeddings e ON e.vec_id = (p.doc_id * 16 + p.pos) % nv.n),
@@ -181,10 +180,10 @@ pr AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, list_dot_product(a.vec, b.vec) A
        FROM tv a JOIN tv b USING (doc_id)),
 sc AS (SELECT *, {score} AS s FROM pr),
 w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id, i)) AS ex FROM sc),
-wn AS (SELECT *, ex / sum(ex) OVER (PARTITION BY doc_id, i) AS wt FROM w),
-u AS (SELECT doc_id, i, unnest(range(16)) AS d, unnest(vj) AS v, wt FROM wn)
-SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(d AS INTEGER) AS d, round(sum(wt * v), 6) + 0.0 AS value
-FROM u GROUP BY doc_id, i, d"""
+wn AS (SELECT doc_id, i, vj, ex / sum(ex) OVER (PARTITION BY doc_id, i) AS wt FROM w)
+SELECT doc_id, CAST(i AS INTEGER) AS i, round(sum(wt * list_sum(vj)), 6) + 0.0 AS out_sum,
+       round(sum(wt * vj[1]), 6) + 0.0 AS out_first
+FROM wn GROUP BY doc_id, i"""
 
 
 @query("target_aware_attention", _attention_sql("pre"))

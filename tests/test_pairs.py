@@ -73,12 +73,15 @@ def _numpy_attention(v, s0, s1, alpha, mode):
     return w @ v
 
 
+@pytest.mark.parametrize("engine", ["jvm", "arrow"])
 @pytest.mark.parametrize("mode", ["pre", "post"])
-def test_attention_matches_numpy(spark, mode):
+def test_attention_matches_numpy(spark, mode, engine):
     rng = np.random.default_rng(3)
-    rows = [(i, rng.normal(size=(7, 5)).tolist(), 2, 5) for i in range(4)]
+    rows = [(i, rng.normal(size=(7, 5)).tolist(), 2, 5) for i in range(4)] + [(9, rng.normal(size=(3, 5)).tolist(),
+                                                                              4, None)]
     df = spark.createDataFrame(rows, "doc_id long, vectors array<array<double>>, span_start int, span_end int")
-    got = {r["doc_id"]: np.array(r["attn_out"]) for r in E.target_aware_attention(df, alpha=0.7, scale_mode=mode).collect()}
+    got = {r["doc_id"]: np.array(r["attn_out"])
+           for r in E.target_aware_attention(df, alpha=0.7, scale_mode=mode, engine=engine).collect()}
     for i, v, s0, s1 in rows:
         assert np.allclose(got[i], _numpy_attention(v, s0, s1, 0.7, mode), atol=1e-12)
 

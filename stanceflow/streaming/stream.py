@@ -60,10 +60,11 @@ def run_available_now(stream: DataFrame, sink_path: str, checkpoint: str, output
 
 def run_counters_available_now(counts: DataFrame, checkpoint: str, sink_path: str) -> None:
     """Write the per-target F1 of every micro-batch's updated counters
-    (``foreachBatch``: the counters are small, the write is idempotent per
-    batch id)."""
+    (``foreachBatch``). Each batch overwrites its own ``batch_id=`` folder,
+    so a batch replayed after a failure replaces its output instead of
+    appending a duplicate."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        f1_from_counters(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_path)
+        f1_from_counters(batch).write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
 
     q = (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(write).trigger(availableNow=True).start())

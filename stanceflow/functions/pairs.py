@@ -41,8 +41,10 @@ def attention_mask(seq, max_len: int) -> Column:
 
 
 def span_start(seq, sep: str) -> Column:
-    """0-based index after the first separator."""
-    return F.array_position(_col(seq), F.lit(sep)).cast("int")
+    """0-based index after the first separator (null when the sequence has
+    no separator, e.g. encoded for another model family)."""
+    b = F.array_position(_col(seq), F.lit(sep))
+    return F.when(b > 0, b.cast("int"))
 
 
 def span_end(seq, sep: str) -> Column:

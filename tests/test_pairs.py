@@ -107,3 +107,12 @@ def test_update_by_ids_first_wins(spark):
     upd = spark.createDataFrame([(1, 0.9, 0), (1, 0.1, 1), (7, 0.3, 0)], "id long, alpha double, update_seq int")
     got = {r["id"]: (r["alpha"], r["updated"]) for r in E.update_by_ids(base, upd, "id", "alpha").collect()}
     assert got == {1: (0.9, True), 2: (0.5, False)}
+
+
+def test_span_needs_matching_model(spark):
+    df = spark.createDataFrame([(["a"], ["t"])], "tokens array<string>, target_tokens array<string>")
+    enc = E.encode_pair(df, model="Bertweet", max_len=16)
+    ok = E.target_span(enc, model="Bertweet").first()
+    wrong = E.target_span(enc, model="Bert").first()
+    assert (ok["span_start"], ok["span_end"]) == (3, 4)
+    assert wrong["span_start"] is None and wrong["span_end"] is None

@@ -7,7 +7,6 @@ demand, bounded by the span length.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Sequence
 
@@ -278,8 +277,3 @@ def vocab_coverage(embedded: DataFrame) -> DataFrame:
     return embedded.agg(F.count(F.lit(1)).alias("vocab_size"),
                         F.count_if(F.col("kind") == "known").alias("n_known"),
                         F.avg((F.col("kind") == "known").cast("double")).alias("known_share"))
-
-
-def sweep_scale(alpha: float, dim: int) -> float:
-    """How much an alpha added before the sqrt(d) division weighs after it."""
-    return alpha / math.sqrt(dim)

@@ -30,7 +30,7 @@ def q_train_classifier(spark, sf):
     out = None
     for seed in SEEDS:
         folds = MD.seed_split(data.filter(F.col("split") != "test"), seed)
-        model = MD.train_classifier(folds.filter(F.col("fold") == "train"), max_iter=30)
+        model = MD.train_classifier(folds.filter(F.col("fold") == "train"), max_iter=20)
         val = M.f1_avg2(MD.score_classifier(model, folds.filter(F.col("fold") == "val")), out="val_f1")
         tst = M.f1_avg2(MD.score_classifier(model, test), out="test_f1")
         row = val.select(F.lit(seed).alias("seed"), "val_f1", tst.select("test_f1").scalar().alias("test_f1"))
@@ -43,7 +43,7 @@ def q_score_classifier(spark, sf):
     """Train on train + val, score the test split, evaluate per target."""
     # several passes (feature fit, L-BFGS, scoring) read the same frame
     data = model_frame(spark, sf).persist()
-    model = MD.train_classifier(data.filter(F.col("split") != "test"), max_iter=30)
+    model = MD.train_classifier(data.filter(F.col("split") != "test"), max_iter=20)
     scored = MD.score_classifier(model, data.filter(F.col("split") == "test"))
     scored = M.predict_label(scored, "logits", out="p_argmax")
     return rounded(M.evaluate(scored, "SemEval2016", per_target=True))
@@ -60,7 +60,7 @@ def q_two_head(spark, sf):
     # the auxiliary task predicts the target id from the text alone
     aux = aux_frame(train, "tokens", "target_id", "y").withColumn(
         "target_tokens", F.array().cast("array<string>"))
-    main_model, aux_model = MD.two_head(train, aux, max_iter=30)
+    main_model, aux_model = MD.two_head(train, aux, max_iter=20)
     test = data.filter(F.col("split") == "test")
     routed = test.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("task"))
     scored = MD.route(main_model, aux_model, routed)

@@ -28,9 +28,16 @@ from pyspark.sql import functions as F
 
 def with_row_index(df: DataFrame, order_col: str, out: str = "idx", partition_by: Sequence[str] = (),
                    tie_break: Sequence[str] = (), num_buckets: int | None = None,
-                   rel_error: float = 1e-4) -> DataFrame:
+                   rel_error: float = 1e-4, rows_per_bucket: int | None = None) -> DataFrame:
+    """0-based index in ``order_col`` order (per ``partition_by`` group).
+
+    Buckets default to ``spark.sql.shuffle.partitions``; with
+    ``rows_per_bucket`` the frame is counted first and gets at least
+    count / rows_per_bucket buckets, so no window task outgrows its memory."""
     spark = df.sparkSession
     n_b = num_buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if rows_per_bucket:
+        n_b = max(n_b, -(-df.count() // rows_per_bucket))
     bounds: list[float] = []
     if n_b > 1:
         probs = [i / n_b for i in range(1, n_b)]

@@ -101,3 +101,9 @@ def test_reads_documents(spark):
     n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     idx = with_row_index(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), "doc_id")
     assert idx.agg(F.max("idx")).first()[0] == n - 1
+
+
+def test_index_rows_per_bucket(spark):
+    df = spark.range(0, 1000).withColumnRenamed("id", "k")
+    got = with_row_index(df, "k", num_buckets=2, rows_per_bucket=100)
+    assert sorted(r["idx"] for r in got.collect()) == list(range(1000))

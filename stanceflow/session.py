@@ -42,7 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    conf = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+            or spark.conf.get("spark.checkpoint.dir", None))
     if not conf:
         conf = tempfile.mkdtemp(prefix="stanceflow-ckpt-")
     spark.sparkContext.setCheckpointDir(conf)

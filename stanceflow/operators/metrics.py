@@ -303,6 +303,19 @@ def score_summary(df: DataFrame, explainer: str, evaluator: str, score: str,
     return out
 
 
+def score_tables(df: DataFrame, explainer: str, evaluator: str, score: str,
+                 evaluators: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """R17 as two tables (mean, std), explainers as rows, one column per
+    evaluator; each table drops its own all-null columns."""
+    per = df.groupBy(explainer, evaluator).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    out = []
+    for stat in ("mean", "std"):
+        wide = per.groupBy(explainer).pivot(evaluator, list(evaluators)).agg(F.first(stat))
+        counts = wide.agg(*[F.count(F.col(e)).alias(e) for e in evaluators]).first()
+        out.append(wide.select(explainer, *[e for e in evaluators if counts[e] > 0]))
+    return out[0], out[1]
+
+
 # R18 -----------------------------------------------------------------------
 
 POLICIES = {

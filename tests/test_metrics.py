@@ -106,3 +106,12 @@ def test_evaluate_policies(spark):
     assert ("overall", "avg3") in got and ("target", "a") in got
     vast = {r["name"] for r in M.evaluate(df, "vast", aux_eval=True, metric="macro", per_target=True).collect()}
     assert {"Against", "None", "Favor", "macro"} <= vast
+
+
+def test_score_tables_drop_independently(spark):
+    rows = [("lime", "e0", 1.0), ("lime", "e0", 3.0), ("shap", "e1", 2.0), ("shap", "e2", None)]
+    df = spark.createDataFrame(rows, "explainer string, evaluator string, score double")
+    mean, std = M.score_tables(df, "explainer", "evaluator", "score", ["e0", "e1", "e2"])
+    assert mean.columns == ["explainer", "e0", "e1"] and std.columns == ["explainer", "e0", "e1"]
+    got = {r["explainer"]: r["e0"] for r in std.collect()}
+    assert got["lime"] == pytest.approx(1.0)

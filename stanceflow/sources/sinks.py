@@ -73,6 +73,13 @@ def write_score_tables(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     _writer(df.orderBy("stat", df.columns[1]).coalesce(1), "csv", mode).save(path)
 
 
+def write_score_table_pair(mean: DataFrame, std: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K5 as the two tables of ``metrics.score_tables``, each with its own
+    columns, under ``path/mean`` and ``path/std``."""
+    for name, table in (("mean", mean), ("std", std)):
+        _writer(table.coalesce(1), "csv", mode).save(f"{path.rstrip('/')}/{name}")
+
+
 def write_flat_aspects(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K6: flattened aspect rows, whole-row distinct, as CSV."""
     _writer(df.dropDuplicates(), "csv", mode).save(path)

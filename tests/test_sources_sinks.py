@@ -110,3 +110,13 @@ def test_large_first_n_uses_row_index(spark):
     got = head_limit(df, 20000, "rank")
     assert got.count() == 20000 and got.agg({"rank": "max"}).first()[0] == 19999
     assert "TakeOrderedAndProject" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_score_table_pair(spark, tmp_dir):
+    from stanceflow.operators.metrics import score_tables
+    rows = [("lime", "e0", 1.0), ("shap", "e1", 2.0)]
+    df = spark.createDataFrame(rows, "explainer string, evaluator string, score double")
+    mean, std = score_tables(df, "explainer", "evaluator", "score", ["e0", "e1", "e9"])
+    K.write_score_table_pair(mean, std, os.path.join(tmp_dir, "scores"))
+    back = spark.read.option("header", True).csv(os.path.join(tmp_dir, "scores", "mean"))
+    assert back.columns == ["explainer", "e0", "e1"] and back.count() == 2

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from stanceflow.llm.common import cached
+from stanceflow.llm.common import Shared, cached
 
 #: Entries of a worker's table of encoded pieces; the table is emptied when full.
 PIECE_TABLE = 500_000
@@ -265,13 +265,12 @@ class Encoder:
         return b"".join(found)
 
 
-def load(spark, path: str):
+def load(spark, path: str) -> Shared:
     """Broadcast merge tables of a tokenizer file (their size is the file's, a
     few MB, whatever the corpus). The file is read on the driver only."""
     with open(path, "rb") as f:
         data = f.read()
-    key = ("vocabulary", hashlib.sha256(data).hexdigest())
-    return spark.sparkContext.broadcast(cached(key, lambda: Vocabulary(data))), key
+    return Shared(spark, cached(("vocabulary", hashlib.sha256(data).hexdigest()), lambda: Vocabulary(data)))
 
 
 def slices(column: pa.ChunkedArray | pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -292,14 +291,14 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
            decode: bool = True) -> DataFrame:
     """``keep`` columns + n_tokens (long), ids (binary, little-endian unsigned
     32-bit) and, with ``decode``, the text decoded from those ids."""
-    tables, key = load(df.sparkSession, path)
+    tables = load(df.sparkSession, path)
     fields = [df.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
                           + ([T.StructField("decoded", T.StringType())] if decode else []))
     n = len(keep)
 
     def run(batches):
-        encoder = cached(("encoder", key), lambda: Encoder(tables.value))
+        encoder = cached(("encoder", tables.key), lambda: Encoder(tables()))
         for batch in batches:
             for at, texts in slices(batch.column(n)):
                 packed = [encoder.encode(t) for t in texts]
@@ -307,7 +306,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                 arrays += [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
                 names = [*batch.schema.names[:n], "n_tokens", "ids"]
                 if decode:
-                    made = [tables.value.decode(np.frombuffer(p, dtype="<u4").astype(np.int64)) for p in packed]
+                    made = [tables().decode(np.frombuffer(p, dtype="<u4").astype(np.int64)) for p in packed]
                     arrays.append(pa.array(made, pa.binary()).cast(pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)

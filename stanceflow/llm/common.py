@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import sys
 import tempfile
 import types
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +74,18 @@ def cached(key, make):
     return store[key]
 
 
-def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
+class Shared:
+    """A broadcast object of this subpackage. It travels as cloudpickle bytes
+    (classes by value, so executors need no copy of the package) and is
+    rebuilt once per worker process. For objects of a fixed or stated size."""
+
+    def __init__(self, spark: SparkSession, value):
+        data = cloudpickle.dumps(value)
+        self.key = ("shared", hashlib.sha256(data).hexdigest())
+        self.sent = spark.sparkContext.broadcast(data)
+
+    def __call__(self):
+        return cached(self.key, lambda: pickle.loads(self.sent.value))
 
 
 def words_array(text: Column) -> Column:

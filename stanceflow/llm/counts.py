@@ -71,15 +71,15 @@ class Counter:
 def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                  limit: int = 1024) -> DataFrame:
     """``keep`` columns + n_bytes, n_tokens (long) and over_limit."""
-    tables, key = load(df.sparkSession, path)
-    if tables.value.suffix:
+    tables = load(df.sparkSession, path)
+    if tables().suffix:
         raise ValueError("the whole-token shortcut is for byte-level files without word ends")
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_tokens", T.LongType())])
     n = len(keep)
 
     def run(batches):
-        counter = cached(("counter", key), lambda: Counter(tables.value))
+        counter = cached(("counter", tables.key), lambda: Counter(tables()))
         for batch in batches:
             for at, texts in slices(batch.column(n)):
                 arrays = [batch.column(i).slice(at, len(texts)) for i in range(n)]

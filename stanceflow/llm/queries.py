@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanceflow.llm import bpe, counts, rules, secrets, simhash
+from stanceflow.llm import bpe, classifier, counts, forest, licenses, mixing, rans, rules, secrets, simhash
 from stanceflow.llm.common import read_table
 
 ORACLES: dict[str, str] = {}
@@ -48,10 +48,32 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.digest(spark, read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op2_simhash_near_dedup, op3_bpe, op4_quality_rules, op8_token_counts)
+    f.__name__: f for f in (
+        op1_secret_scans, op2_simhash_near_dedup, op3_bpe, op4_quality_rules, op5_quality_classifier, op6_token_files,
+        op7_license_scans, op8_token_counts, op9_hash_prefix_forest, op10_mixing)
 }

@@ -138,9 +138,10 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule
 
 def join_back(result: Scan) -> DataFrame:
     """Findings on every path and version: key columns, blob, spans (empty
-    array if none). A blob with very many paths is a plain join key, which
-    adaptive execution splits; the findings side has one row per blob."""
-    f = result.findings.withColumnRenamed("blob_id", "_blob").withColumnRenamed("spans", "_spans")
+    array if none). The findings (one row per blob that has any) are written
+    first: Spark then knows their size, and a blob with very many paths is the
+    key of a plain join, which adaptive execution can split."""
+    f = staged(result.findings, "findings").withColumnRenamed("blob_id", "_blob").withColumnRenamed("spans", "_spans")
     v = result.versions
     return v.join(f, v[result.blob] == F.col("_blob"), "left").drop("_blob") \
         .withColumn("spans", F.coalesce(F.col("_spans"), F.array().cast(SPAN))).drop("_spans")

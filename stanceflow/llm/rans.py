@@ -29,6 +29,7 @@ empty table gives an empty file; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -59,6 +60,7 @@ class Tokens:
     single space, so each distinct piece is encoded once per worker table."""
 
     def __init__(self, data: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

@@ -23,7 +23,7 @@ def pair_body(text_tokens, target_tokens, sep: str) -> Column:
     return F.concat(_col(text_tokens), F.array(F.lit(sep)), _col(target_tokens))
 
 
-def encode_sequence(text_tokens, target_tokens, cls: str, sep: str, max_len: int) -> Column:
+def encode_sequence(text_tokens, target_tokens, cls: str, sep: str, max_len: int | Column) -> Column:
     """E1 + E2 truncation: [CLS] body[:max_len-2] [SEP] (over-long bodies keep
     their prefix and the final slot is always the end separator)."""
     body = F.slice(pair_body(text_tokens, target_tokens, sep), 1, max_len - 2)

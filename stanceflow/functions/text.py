@@ -18,10 +18,15 @@ MARKER_TAGS = ("#SemST", "#semst")
 RESERVED_WORDS = ("RT", "FAV")
 
 # Our own noise patterns (the cleaning library is not part of the reference):
-# URLs starting with a scheme or www., and pictographic emoji blocks.
-URL_PATTERN = r"(https?://|www\.)[^ \t\r\n]*"
+# URLs starting with a scheme or www. in either case, pictographic emoji blocks,
+# and reserved words as whole words (letters of any script, digits and the
+# underscore continue a word).
+URL_PATTERN = r"(?i)(https?://|www\.)[^ \t\r\n]*"
+RESERVED_PATTERN = r"(?<![\p{L}\p{N}_])(?:" + "|".join(RESERVED_WORDS) + r")(?![\p{L}\p{N}_])"
 EMOJI_PATTERN = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]"
 
+#: Most entries of a dictionary written into the plan.
+LITERAL_PAIRS = 64
 
 
 def empty_tokens() -> Column:
@@ -33,13 +38,10 @@ def _col(c) -> Column:
 
 
 def strip_noise(c) -> Column:
-    """C1 on the string: drop URLs and emoji (reserved words are dropped as
-    whole tokens, see ``drop_reserved``; mentions and hashtags are kept).
-    The URL regex only runs on texts that contain a URL prefix at all."""
-    col = _col(c)
-    has_url = col.contains("http") | col.contains("www.")
-    s = F.when(has_url, F.regexp_replace(col, URL_PATTERN, "")).otherwise(col)
-    return F.regexp_replace(s, EMOJI_PATTERN, "")
+    """C1 on the string: drop URLs, emoji and the reserved words (mentions and
+    hashtags are kept)."""
+    s = F.regexp_replace(F.regexp_replace(_col(c), URL_PATTERN, ""), EMOJI_PATTERN, "")
+    return F.regexp_replace(s, RESERVED_PATTERN, "")
 
 
 def drop_marker(c, tags: Iterable[str] = MARKER_TAGS) -> Column:
@@ -57,12 +59,6 @@ def tokenize(c) -> Column:
     return F.coalesce(toks, empty_tokens())
 
 
-def drop_reserved(tokens, words: Iterable[str] = RESERVED_WORDS) -> Column:
-    """C1 reserved words: whole tokens equal to RT or FAV (case-sensitive)."""
-    ws = list(words)
-    return F.filter(_col(tokens), lambda t: ~t.isin(*ws))
-
-
 def lower_tokens(tokens) -> Column:
     """C4."""
     return F.transform(_col(tokens), lambda t: F.lower(t))
@@ -74,14 +70,17 @@ def split_words(s: Column) -> Column:
 
 
 def normalize_tokens(tokens, pairs: Iterable[tuple[str, str]]) -> Column:
-    """C5 for a dictionary of proven small size, held as a literal map from
-    key to its value already split into words (one -> many, or none when
-    blank): one lookup per token, a single pass, values not lowered again.
+    """C5 for a few literal entries, held as a map from key to its value
+    already split into words (one -> many, or none when blank): a single pass,
+    values not lowered again. A map is searched entry by entry, so more than
+    ``LITERAL_PAIRS`` entries are refused: use ``operators.text.normalize_join``.
     The token column is referenced once: lambdas run interpreted, so a second
     reference would tokenise the text again."""
     items = list(pairs)
     if not items:
         return _col(tokens)
+    if len(items) > LITERAL_PAIRS:
+        raise ValueError(f"{len(items)} literal entries: pass the dictionary as a DataFrame")
     m = F.create_map(*[x for k, v in items
                        for x in (F.lit(k), F.array(*[F.lit(w) for w in v.split()]).cast("array<string>"))])
     return F.flatten(F.transform(
@@ -89,24 +88,10 @@ def normalize_tokens(tokens, pairs: Iterable[tuple[str, str]]) -> Column:
 
 
 def clean_stance_tokens(c, pairs: Iterable[tuple[str, str]] = ()) -> Column:
-    """C6 for one column: C1 -> C2 -> C3 (+ reserved words) -> C4 -> C5.
-
-    The three per-token steps (drop a reserved word, lower-case, dictionary
-    lookup) run in one lambda pass over the tokens; the result equals
-    ``normalize_tokens(lower_tokens(drop_reserved(tokens)), pairs)``."""
-    toks = tokenize(drop_marker(strip_noise(c)))
-    items = list(pairs)
-    reserved = list(RESERVED_WORDS)
-    if items:
-        m = F.create_map(*[x for k, v in items
-                           for x in (F.lit(k), F.array(*[F.lit(w) for w in v.split()]).cast("array<string>"))])
-
-        def step(t):
-            low = F.lower(t)
-            return (F.when(t.isin(*reserved), empty_tokens())
-                    .when(F.map_contains_key(m, low), F.element_at(m, low)).otherwise(F.array(low)))
-        return F.flatten(F.transform(toks, step))
-    return F.transform(F.filter(toks, lambda t: ~t.isin(*reserved)), lambda t: F.lower(t))
+    """C6 for one column: C1 -> C2 -> C3 -> C4 -> C5. ``pairs`` is for a few
+    literal entries; a dictionary of real size is a frame, see
+    ``operators.text.clean_stance``."""
+    return normalize_tokens(lower_tokens(tokenize(drop_marker(strip_noise(c)))), pairs)
 
 
 def clean_aspect_tokens(c) -> Column:

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from stanceflow.operators.index import with_row_index
 
-IGNORE_BROADCAST_ROWS = 100_000
-
-
 def align_by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str,
                       how: str = "inner") -> DataFrame:
     """Rows of two frames paired by their position in key order; the
@@ -43,16 +40,16 @@ def alignment_audit(left: DataFrame, right: DataFrame, left_order: str, right_or
                     seen: str | None = None, expected_subset: int | None = None) -> DataFrame:
     """One-row report: equal lengths; text equal at every position outside
     the ignore list (a frame of positions ``idx``);
-    and, optionally, the size of the seen = 0 subset against its expected value."""
-    aligned = align_by_position(left.select(left_order, left_text),
-                                right.select(*([right_order, right_text] + ([seen] if seen else []))),
+    and, optionally, the size of the seen = 0 subset against its expected value.
+    The texts meet as SHA-256 digests, so no text is shuffled."""
+    def digest(c):
+        return F.sha2(F.col(c).cast("binary"), 256).alias(c)
+
+    aligned = align_by_position(left.select(left_order, digest(left_text)),
+                                right.select(right_order, digest(right_text), *([seen] if seen else [])),
                                 left_order, right_order, how="full_outer")
     if ignore is not None:
-        # the ignore list is a set of exception positions: broadcast it only
-        # after its size is checked, else a plain (shuffle) join on idx
         flags = ignore.select("idx").distinct().withColumn("_ign", F.lit(True))
-        if flags.limit(IGNORE_BROADCAST_ROWS + 1).count() <= IGNORE_BROADCAST_ROWS:
-            flags = F.broadcast(flags)
         aligned = aligned.join(flags, "idx", "left")
     else:
         aligned = aligned.withColumn("_ign", F.lit(False))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stanceflow.functions.labels import DOMAINS, decode_label, encode_label, encode_prediction
 
@@ -35,23 +38,23 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-# Up to this n a first-n read is a top-k (each task keeps its own n rows and
-# only those reach the final merge); above it, a filter on the row index.
-TOP_K_LIMIT = 10_000
-
-
-def head_limit(df: DataFrame, n: int, order_by: str | list[str]) -> DataFrame:
+def head_limit(df: DataFrame, n: int, order_by: str | Column | Sequence[str | Column]) -> DataFrame:
     """The first n rows in the given order (a true first-n); n <= 0 keeps
-    every row. A large n runs as ``idx < n`` over the distributed row index
-    (the first order column must then be a unique numeric key)."""
+    every row. Nulls sort as in Spark (first ascending, last descending); rows
+    that tie at the edge are any of them.
+
+    An order by one integer column runs as ``idx < n`` over the distributed row
+    index, whatever n is. Other orders are sorted and limited by Spark."""
     if n <= 0:
         return df
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(*keys).limit(n)
-    from stanceflow.operators.index import with_row_index
-    return with_row_index(df, keys[0], out="_first_n", tie_break=keys[1:]).filter(
-        F.col("_first_n") < n).drop("_first_n")
+    keys = list(order_by) if isinstance(order_by, (list, tuple)) else [order_by]
+    whole = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    if isinstance(keys[0], str) and isinstance(df.schema[keys[0]].dataType, whole) \
+            and all(isinstance(k, str) for k in keys):
+        from stanceflow.operators.index import with_row_index
+        return with_row_index(df, keys[0], out="_first_n", tie_break=keys[1:]).filter(
+            F.col("_first_n") < n).drop("_first_n")
+    return df.orderBy(*keys).limit(n)
 
 
 def split_valid(df: DataFrame, label_col: str = "stance", domain: str = "stance",

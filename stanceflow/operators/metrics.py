@@ -126,31 +126,36 @@ def f1_micro(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p",
                     f1_expr(tp, npred, ntrue).alias("micro_f1"))
 
 
+def present_class_stats(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
+    """(by..., cls, tp, n_pred, n_true) for every class that occurs in y or p,
+    whatever its number, built from the confusion counts."""
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col(y).cast("int").alias("cls"), F.when(F.col(y) == F.col(p), n).otherwise(zero).alias("tp"),
+                 zero.alias("n_pred"), n.alias("n_true")),
+        F.struct(F.col(p).cast("int").alias("cls"), zero.alias("tp"), n.alias("n_pred"), zero.alias("n_true")))
+    return (confusion(df, by, y, p).select(*by, F.inline(sides)).where(F.col("cls").isNotNull())
+            .groupBy(*by, "cls").agg(*[F.sum(c).alias(c) for c in ("tp", "n_pred", "n_true")]))
+
+
 def f1_macro(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p",
-             labels: Sequence[int] | None = None, domain: Sequence[int] = (-1, 0, 1, 2)) -> DataFrame:
+             labels: Sequence[int] | None = None) -> DataFrame:
     """(a) labels=None: mean over the classes present in y or p (a -1
     prediction is then a class with F1 0); (b) fixed labels: absent ones are 0."""
-    classes = list(labels) if labels is not None else list(domain)
+    if labels is None:
+        tp, n_pred, n_true = F.col("tp"), F.col("n_pred"), F.col("n_true")
+        return present_class_stats(df, by, y, p).groupBy(*by).agg(
+            F.avg(_ratio(tp, n_pred)).alias("macro_precision"), F.avg(_ratio(tp, n_true)).alias("macro_recall"),
+            F.avg(f1_expr(tp, n_pred, n_true)).alias("macro_f1"))
+    classes = list(labels)
     w = _wide_counts(df, by, y, p, classes)
-    if labels is not None:
-        f1s = [_f1c(c) for c in classes]
-        prec = [_ratio(F.col(f"tp_{_suffix(c)}"), F.col(f"np_{_suffix(c)}")) for c in classes]
-        rec = [_ratio(F.col(f"tp_{_suffix(c)}"), F.col(f"ns_{_suffix(c)}")) for c in classes]
-        k = F.lit(float(len(classes)))
-        return w.select(*by, (sum(prec, F.lit(0.0)) / k).alias("macro_precision"),
-                        (sum(rec, F.lit(0.0)) / k).alias("macro_recall"),
-                        (sum(f1s, F.lit(0.0)) / k).alias("macro_f1"))
-    present = [((F.col(f"np_{_suffix(c)}") + F.col(f"ns_{_suffix(c)}")) > 0).cast("double") for c in classes]
-    n_present = sum(present, F.lit(0.0))
-
-    def mean_present(vals):
-        tot = sum((v * pr for v, pr in zip(vals, present)), F.lit(0.0))
-        return F.when(n_present > 0, tot / n_present).otherwise(F.lit(0.0))
-
+    f1s = [_f1c(c) for c in classes]
     prec = [_ratio(F.col(f"tp_{_suffix(c)}"), F.col(f"np_{_suffix(c)}")) for c in classes]
     rec = [_ratio(F.col(f"tp_{_suffix(c)}"), F.col(f"ns_{_suffix(c)}")) for c in classes]
-    return w.select(*by, mean_present(prec).alias("macro_precision"), mean_present(rec).alias("macro_recall"),
-                    mean_present([_f1c(c) for c in classes]).alias("macro_f1"))
+    k = F.lit(float(len(classes)))
+    return w.select(*by, (sum(prec, F.lit(0.0)) / k).alias("macro_precision"),
+                    (sum(rec, F.lit(0.0)) / k).alias("macro_recall"),
+                    (sum(f1s, F.lit(0.0)) / k).alias("macro_f1"))
 
 
 def accuracy(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
@@ -168,25 +173,39 @@ def seed_summary(df: DataFrame, keys: Sequence[str], seed: str = "seed", value:
 
 
 def column_letter(n: Column) -> Column:
-    """Spreadsheet column name of a 1-based ordinal (A..Z, AA..ZZ)."""
-    hi = F.floor((n - 1) / 26).cast("int")
-    first = F.when(n > 26, F.char(F.lit(64) + hi)).otherwise(F.lit(""))
-    second = F.char(F.lit(64) + n - hi * 26)
-    return F.concat(first, second)
+    """Spreadsheet column name of a 1-based ordinal: its digits in bijective
+    base 26, A = 1 to Z = 26, without a zero, of any length (AAA after ZZ)."""
+    start = F.struct(n.cast("long").alias("rest"), F.lit("").alias("name"))
+
+    def digit(state, _):
+        rest = state["rest"] - 1
+        return F.when(state["rest"] <= 0, state).otherwise(F.struct(
+            F.floor(rest / F.lit(26)).cast("long").alias("rest"),
+            F.concat(F.char(F.lit(65) + F.pmod(rest, F.lit(26))), state["name"]).alias("name")))
+
+    # 11 digits hold every ordinal up to 2^50
+    return F.aggregate(F.sequence(F.lit(1), F.lit(11)), start, digit, lambda state: state["name"])
 
 
 def results_wide(df: DataFrame, run_keys: Sequence[str], seed: str = "seed", value: str = "value",
                  seeds: Sequence[int] = (1, 2, 3), first_column: int = 2) -> DataFrame:
-    """One output row per run: header cells, one value per seed and the mean,
-    plus the spreadsheet column the run lands in (runs ordered by run_keys).
+    """One output row per run: header cells, one value per listed seed and the
+    mean over the seeds that are there, plus the spreadsheet column the run
+    lands in (runs ordered by run_keys). A seed outside the list is an error,
+    raised inside the plan.
 
-    The pivot uses the explicit seed list, so no distinct-values job runs.
     The ordinal window runs over the aggregated runs table (one row per run)."""
-    piv = df.groupBy(*run_keys).pivot(seed, list(seeds)).agg(F.first(value))
-    renamed = piv.select(*run_keys, *[F.col(str(s)).alias(f"seed_{s}") for s in seeds])
-    mean = sum((F.col(f"seed_{s}") for s in seeds), F.lit(0.0)) / F.lit(float(len(seeds)))
+    listed = F.col(seed).isin(*seeds)
+    runs = df.groupBy(*run_keys).agg(
+        *[F.first(F.when(F.col(seed) == s, F.col(value)), ignorenulls=True).alias(f"seed_{s}") for s in seeds],
+        F.max(F.when(F.coalesce(listed, F.lit(False)), F.lit(None))
+              .otherwise(F.coalesce(F.col(seed).cast("string"), F.lit("null")))).alias("_other"))
+    cells = F.filter(F.array(*[F.col(f"seed_{s}") for s in seeds]), lambda v: v.isNotNull())
+    mean = F.aggregate(cells, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(cells), F.lit(0))
+    checked = F.when(F.col("_other").isNotNull(), F.raise_error(F.concat(F.lit("seed not listed: "), F.col("_other")))
+                     .cast("double")).otherwise(mean)
     ordinal = F.dense_rank().over(Window.orderBy(*run_keys)) + F.lit(first_column - 1)
-    return renamed.withColumn("mean", mean).withColumn("column", column_letter(ordinal))
+    return runs.withColumn("mean", checked).withColumn("column", column_letter(ordinal)).drop("_other")
 
 
 def target_seed_matrix(df: DataFrame, target: str = "target", seed: str = "seed", y: str = "y", p: str = "p",
@@ -279,41 +298,49 @@ def best_config(df: DataFrame, group_keys: Sequence[str], config_keys: Sequence[
 
 # R17 -----------------------------------------------------------------------
 
+def _scores(df: DataFrame, explainer: str, evaluator: str, score: str, evaluators: Sequence[str]) -> DataFrame:
+    """One row per explainer: a struct (mean, std) per listed evaluator. An
+    evaluator outside the list is an error, raised inside the plan."""
+    name = F.col(evaluator)
+    known = F.when(F.coalesce(name.isin(*evaluators), F.lit(False)), name).otherwise(
+        F.raise_error(F.concat(F.lit("evaluator not listed: "), F.coalesce(name, F.lit("null")))))
+    per = df.select(F.col(explainer), known.alias("_ev"), F.col(score).alias("_score")) \
+        .groupBy(explainer, "_ev").agg(F.struct(F.avg("_score").alias("mean"),
+                                                F.stddev_pop("_score").alias("std")).alias("_s"))
+    return per.groupBy(explainer).pivot("_ev", list(evaluators)).agg(F.first("_s"))
+
+
+def _kept(wide: DataFrame, evaluators: Sequence[str]) -> dict[str, list[str]]:
+    """Evaluators with a value, per table: one tiny aggregate row."""
+    counts = wide.agg(*[F.count(F.col(f"`{e}`.{stat}")).alias(f"{stat}:{e}") for stat in ("mean", "std")
+                        for e in evaluators]).first()
+    return {stat: [e for e in evaluators if counts[f"{stat}:{e}"] > 0] for stat in ("mean", "std")}
+
+
 def score_summary(df: DataFrame, explainer: str, evaluator: str, score: str,
                   evaluators: Sequence[str]) -> DataFrame:
     """Mean and population std per (explainer, evaluator); explainers as
     rows, one column per evaluator, a ``stat`` column tells the two tables
     apart. Columns that are null for every explainer in a table are dropped
     from that table only (the std table is filtered independently)."""
-    per = df.groupBy(explainer, evaluator).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
-    wide = {stat: per.groupBy(explainer).pivot(evaluator, list(evaluators)).agg(F.first(stat))
-            for stat in ("mean", "std")}
-    # which evaluator columns hold a value, per table: one tiny aggregate row each
-    kept = {}
-    for stat, t in wide.items():
-        counts = t.agg(*[F.count(F.col(e)).alias(e) for e in evaluators]).first()
-        kept[stat] = {e for e in evaluators if counts[e] > 0}
+    wide = _scores(df, explainer, evaluator, score, evaluators)
+    kept = _kept(wide, evaluators)
     columns = [e for e in evaluators if any(e in k for k in kept.values())]
-    out = None
-    for stat, t in wide.items():
-        cols = [F.lit(stat).alias("stat"), F.col(explainer)]
-        cols += [(F.col(e) if e in kept[stat] else F.lit(None).cast("double")).alias(e) for e in columns]
-        part = t.select(*cols)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = [F.struct(F.lit(stat).alias("stat"), *[
+        (F.col(f"`{e}`.{stat}") if e in kept[stat] else F.lit(None).cast("double")).alias(e) for e in columns])
+        for stat in ("mean", "std")]
+    return wide.select(explainer, F.inline(F.array(*rows))).select("stat", explainer, *columns)
 
 
 def score_tables(df: DataFrame, explainer: str, evaluator: str, score: str,
                  evaluators: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """R17 as two tables (mean, std), explainers as rows, one column per
     evaluator; each table drops its own all-null columns."""
-    per = df.groupBy(explainer, evaluator).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
-    out = []
-    for stat in ("mean", "std"):
-        wide = per.groupBy(explainer).pivot(evaluator, list(evaluators)).agg(F.first(stat))
-        counts = wide.agg(*[F.count(F.col(e)).alias(e) for e in evaluators]).first()
-        out.append(wide.select(explainer, *[e for e in evaluators if counts[e] > 0]))
-    return out[0], out[1]
+    wide = _scores(df, explainer, evaluator, score, evaluators)
+    kept = _kept(wide, evaluators)
+    mean, std = (wide.select(explainer, *[F.col(f"`{e}`.{stat}").alias(e) for e in kept[stat]])
+                 for stat in ("mean", "std"))
+    return mean, std
 
 
 # R18 -----------------------------------------------------------------------
@@ -381,7 +408,7 @@ def evaluate(df: DataFrame, dataset: str, aux_eval: bool = False, metric: str =
     result = w.select(*by, F.lit("overall").alias("scope"), F.lit(metric if aux_eval else avg).alias("name"),
                       value.alias("value"))
     if per_target:
-        if dataset == "vast" or aux_eval:
+        if dataset == "vast":
             rows = [F.struct(F.lit(n).alias("name"), _f1c(c).alias("value"))
                     for c, n in zip(CLASSES, STANCE_CLASS_NAMES)]
             extra = w.select(*by, F.lit("class").alias("scope"), F.inline(F.array(*rows)))

@@ -76,10 +76,11 @@ def score_batches(df: DataFrame, fn: Callable[[pd.DataFrame], Sequence[Sequence[
 
     def run(batches):
         for pdf in batches:
+            made: list = []
             for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size].copy()
-                chunk[out] = [list(map(float, r)) for r in fn(chunk[ins].reset_index(drop=True))]
-                yield chunk
+                rows = fn(pdf[ins].iloc[start:start + batch_size].reset_index(drop=True))
+                made += [list(map(float, r)) for r in rows]
+            yield pdf.assign(**{out: made})
 
     return df.mapInPandas(run, schema)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanceflow.functions.pairs import (
@@ -23,7 +23,7 @@ def markers(model: str) -> tuple[str, str]:
 
 
 def encode_pair(df: DataFrame, tokens: str = "tokens", target_tokens: str = "target_tokens",
-                model: str = "Bert", max_len: int = 128, out: str = "seq") -> DataFrame:
+                model: str = "Bert", max_len: int | Column = 128, out: str = "seq") -> DataFrame:
     """E1 + E2: one sequence [CLS] text [SEP] target [SEP], truncated to max_len."""
     cls, sep = markers(model)
     return df.withColumn(out, encode_sequence(tokens, target_tokens, cls, sep, max_len))
@@ -95,106 +95,16 @@ def head_mask(spark, spec: str | None, layers: int = 12, heads: int = 12) -> Dat
     return spark.range(1).select(F.inline(head_mask_column(spec, layers, heads)))
 
 
-def head_mask_bias(spans: DataFrame, specs: Sequence[str], layers: int = 12, heads: int = 12) -> DataFrame:
-    """Bias mass per (mask, layer, head): the head mask multiplies the
-    target-awareness bias per head. The spans are reduced to one row first,
-    so the grid is a generator on that row, not a join with the data."""
-    total = spans.agg(F.sum(F.col("alpha") * F.col("n_cells")).alias("mass"),
-                      F.sum("n_cells").alias("cells"))
+def head_mask_bias(spans: DataFrame, specs: Sequence[str], key: Sequence[str] = ("doc_id",), layers: int = 12,
+                   heads: int = 12) -> DataFrame:
+    """Each row's bias mass (alpha x span cells) per (mask, layer, head): the
+    head mask multiplies the target-awareness bias of every row per head. The
+    grid is a generator on the row, not a join."""
     grids = F.array(*[F.struct(F.lit(s).alias("mask"), head_mask_column(s, layers, heads).alias("g"))
                       for s in specs])
-    per = total.select("mass", "cells", F.inline(grids)).select("mask", "mass", "cells", F.inline("g"))
-    return per.select("mask", "layer", "head", "on", F.coalesce(F.col("cells"), F.lit(0)).alias("cells"),
-                      (F.col("on") * F.coalesce(F.col("mass"), F.lit(0.0))).alias("bias_mass"))
-
-
-# E7 ------------------------------------------------------------------------
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _attention_kernel(alpha: float, scale_mode: str):
-    """Per-batch numpy kernel: each row's (positions x dims) matrix V gets
-    softmax(V V^T scaled + alpha on the span block) V."""
-    import numpy as np
-    import pandas as pd
-
-    pre = scale_mode == "pre"
-
-    def kernel(vecs: pd.Series, s0: pd.Series, s1: pd.Series) -> pd.Series:
-        out = []
-        for v, a, b in zip(vecs, s0, s1):
-            if v is None or len(v) == 0:
-                out.append(v)
-                continue
-            m = np.stack(v).astype(float)
-            sc = m @ m.T
-            bias = np.zeros_like(sc)
-            if b is not None and not pd.isna(b) and b > a:
-                bias[int(a):int(b), int(a):int(b)] = alpha
-            root = np.sqrt(m.shape[1])
-            sc = (sc + bias) / root if pre else sc / root + bias
-            w = np.exp(sc - sc.max(axis=1, keepdims=True))
-            w /= w.sum(axis=1, keepdims=True)
-            out.append((w @ m).tolist())
-        return pd.Series(out)
-
-    # real classes (not postponed strings) so Spark infers a Series -> Series UDF
-    kernel.__annotations__ = {"vecs": pd.Series, "s0": pd.Series, "s1": pd.Series, "return": pd.Series}
-    return kernel
-
-
-def target_aware_attention(df: DataFrame, vectors: str = "vectors", alpha: float = 1.0,
-                           scale_mode: str = "pre", out: str = "attn_out",
-                           dim: int | None = None, engine: str = "jvm") -> DataFrame:
-    """softmax(q.k^T scaled + alpha on the span block) @ V, per row.
-
-    The sequence travels as one array<array<double>> (positions x dims), so
-    the all-pairs score matrix of a row is computed inside that row with
-    higher-order functions: no self-join, no shuffle, work linear in rows
-    and quadratic only in the (capped) sequence length.
-
-    scale_mode 'pre': the bias is added before division by sqrt(d) (BERT);
-    'post': after scaling (ALBERT, RoBERTa). The same alpha differs by sqrt(d).
-
-    engine 'jvm' keeps everything in built-in expressions (good for short
-    sequences); 'arrow' runs the per-row matrix algebra in numpy over Arrow
-    batches, which is far cheaper once sequences reach model length.
-    """
-    if scale_mode not in ("pre", "post"):
-        raise ValueError("scale_mode must be 'pre' or 'post'")
-    if engine == "arrow":
-        # the same row-local computation as an Arrow-batched numpy kernel:
-        # dense n x n matrix algebra per row, for long sequences (max_len 128+)
-        udf = F.pandas_udf(_attention_kernel(float(alpha), scale_mode), "array<array<double>>")
-        return df.withColumn(out, udf(F.col(vectors), F.col("span_start"), F.col("span_end")))
-    v = F.col(vectors)
-    d = F.size(F.try_element_at(v, F.lit(1))).cast("double") if dim is None else F.lit(float(dim))
-    sq = F.sqrt(d)
-    a = F.lit(float(alpha))
-    s0, s1 = F.col("span_start"), F.col("span_end")
-
-    def in_span(i):
-        return F.when(s1.isNotNull() & (i >= s0) & (i < s1), F.lit(1.0)).otherwise(F.lit(0.0))
-
-    def score(raw, i, j):
-        bias = a * in_span(i) * in_span(j)
-        return (raw + bias) / sq if scale_mode == "pre" else raw / sq + bias
-
-    # each stage is its own column and reads the previous one through lambda
-    # variables, so no stage re-evaluates the one before it
-    staged = df.withColumn("_sc", F.transform(v, lambda q, i: F.transform(
-        v, lambda k, j: score(_dot(q, k), i, j))))
-    staged = staged.withColumn("_mx", F.transform("_sc", lambda r: F.array_max(r)))
-    staged = staged.withColumn("_ex", F.zip_with("_sc", "_mx", lambda r, m: F.transform(r, lambda x: F.exp(x - m))))
-    staged = staged.withColumn("_z", F.transform("_ex", lambda r: F.aggregate(r, F.lit(0.0), lambda acc, x: acc + x)))
-    staged = staged.withColumn("_w", F.zip_with("_ex", "_z", lambda r, z: F.transform(r, lambda x: x / z)))
-    zeros = F.array_repeat(F.lit(0.0), F.greatest(F.size(F.try_element_at(v, F.lit(1))), F.lit(0)))
-    attended = F.transform("_w", lambda wr: F.aggregate(
-        F.zip_with(wr, v, lambda w, vec: F.transform(vec, lambda x: x * w)),
-        zeros, lambda acc, vec: F.zip_with(acc, vec, lambda p, r: p + r)))
-    return staged.withColumn(out, attended).drop("_sc", "_mx", "_ex", "_z", "_w")
+    per = spans.select(*key, (F.col("alpha") * F.col("n_cells")).alias("mass"), F.inline(grids))
+    return per.select(*key, "mask", "mass", F.inline("g")).select(
+        *key, "mask", "layer", "head", "on", (F.col("on") * F.col("mass")).alias("bias_mass"))
 
 
 # E8 ------------------------------------------------------------------------
@@ -203,9 +113,7 @@ def update_by_ids(df: DataFrame, updates: DataFrame, id_col: str, value_col: str
                   order_col: str = "update_seq") -> DataFrame:
     """Replace ``value_col`` where the id matches; the first update per id
     (by ``order_col``) wins, other rows keep theirs, unknown ids are ignored."""
-    w = Window.partitionBy(id_col).orderBy(order_col)
-    first = (updates.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
-             .select(id_col, F.col(value_col).alias("_new")))
+    first = updates.groupBy(id_col).agg(F.min_by(value_col, order_col).alias("_new"))
     return (df.join(first, id_col, "left")
             .withColumn("updated", F.col("_new").isNotNull())
             .withColumn(value_col, F.coalesce(F.col("_new"), F.col(value_col))).drop("_new"))
@@ -227,7 +135,9 @@ def build_vocab(token_sets: Sequence[DataFrame], tokens: str = "tokens",
     sp = list(specials)
     if sp:
         counts = counts.filter(~F.col("token").isin(*sp))
-    ordered = with_row_index_by(counts, [F.col("count").desc(), F.col("token").asc()], out="idx")
+    # slices: one per count, cut by the first letters of the token
+    ordered = with_row_index_by(counts, [(F.col("count"), True), (F.substring("token", 1, 2), False)],
+                                [(F.col("count"), True), (F.col("token"), False)], out="idx")
     ordered = ordered.withColumn("idx", F.col("idx") + F.lit(len(sp)))
     if sp:
         spec_rows = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(0).cast("long").alias("count"),
@@ -238,13 +148,11 @@ def build_vocab(token_sets: Sequence[DataFrame], tokens: str = "tokens",
 
 
 def read_vectors(vectors: DataFrame, limit: int = 500_000, rank: str = "rank") -> DataFrame:
-    """The first ``limit`` vectors in rank (file) order.
-
-    A large first-N is a filter on the distributed row index, not a top-k:
-    a top-k of 500,000 would funnel up to that many rows per task into one
-    final partition."""
-    from stanceflow.operators.labels import head_limit
-    return head_limit(vectors, limit, rank)
+    """The first ``limit`` vectors in file order (in no particular order).
+    Only the ranks, unique numbers, are sorted to find the last one that is
+    in; the vectors themselves are filtered where they are."""
+    last = vectors.select(rank).where(F.col(rank).isNotNull()).orderBy(rank).limit(limit)
+    return vectors.where(F.col(rank) <= last.agg(F.max(rank)).scalar())
 
 
 def uniform_fallback(seed: int, token: Column, dims: int, low: float = -0.25, high: float = 0.25) -> Column:
@@ -257,12 +165,12 @@ def uniform_fallback(seed: int, token: Column, dims: int, low: float = -0.25, hi
 
 
 def embed_vocab(vocab: DataFrame, vectors: DataFrame, dims: int, seed: int = 1,
-                token: str = "token", vector: str = "vector") -> DataFrame:
+                key: str = "token", vector: str = "vector") -> DataFrame:
     """Known -> vector, <pad> -> zeros, else uniform(-0.25, 0.25).
-    A plain left join: Spark broadcasts the vectors only when its statistics
+    ``key``: the column that vocabulary and vectors share. A plain left join: Spark broadcasts the vectors only when its statistics
     say they fit under the broadcast threshold, else it shuffles both sides."""
-    vec = vectors.select(F.col(token).alias("token"), F.col(vector).cast("array<double>").alias("_vec"))
-    j = vocab.join(vec, "token", "left")
+    vec = vectors.select(key, F.col(vector).cast("array<double>").alias("_vec"))
+    j = vocab.join(vec, key, "left")
     zeros = F.array_repeat(F.lit(0.0), dims)
     kind = (F.when(F.col("_vec").isNotNull(), F.lit("known"))
             .when(F.col("token") == F.lit(PAD), F.lit("pad")).otherwise(F.lit("random")))

@@ -11,18 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanceflow.operators.index import with_row_index
+from stanceflow.operators.index import HASH_SLICE_BITS, hash_order, with_row_index
 from stanceflow.operators.pairs import head_mask_column
 
-# Dictionaries with at most this many rows are broadcast; they describe
-# targets, so they are small in practice, but the size is checked.
-BROADCAST_ROWS = 100_000
-
-
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    # limit(n + 1) stops the count early: a large table is never fully counted
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
 
 def _only(split_col: str | None, split: str | None):
     if split_col and split:
@@ -45,10 +36,8 @@ def shuffle_targets(df: DataFrame, key: str, target: str = "target", seed: int =
     row i takes the target numbered i (equi-join on the number), so the
     multiset of targets is kept exactly."""
     rows = with_row_index(df, key, out="_i")
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    hashed = df.select(F.col(key).alias("_k"), F.col(target).alias("_t"),
-                       F.conv(F.substring(h, 1, 15), 16, 10).cast("long").alias("_h"))
-    donors = with_row_index(hashed, "_h", out="_i", tie_break=["_k"]).select("_i", "_t")
+    hashed = df.select(F.col(key).alias("_k"), F.col(target).alias("_t"), hash_order(seed, key).alias("_h"))
+    donors = with_row_index(hashed, "_h", out="_i", tie_break=["_k"], slice_bits=HASH_SLICE_BITS).select("_i", "_t")
     return (rows.join(donors, "_i").withColumn("orig_target", F.col(target))
             .withColumn(target, F.col("_t")).drop("_i", "_t"))
 
@@ -57,7 +46,7 @@ def negate_targets(df: DataFrame, negations: DataFrame, target: str = "target",
                    split_col: str | None = None, split: str | None = None) -> DataFrame:
     """Replace the target through the negation dictionary (unmapped
     targets unchanged) and flip labels 2 <-> 0 on every row, mapped or not."""
-    neg = _small(negations.select(F.col("target").alias("_t"), F.col("negated").alias("_neg")))
+    neg = negations.select(F.col("target").alias("_t"), F.col("negated").alias("_neg"))
     cond = _only(split_col, split)
     out = df.join(neg, F.col(target) == F.col("_t"), "left").withColumn("orig_target", F.col(target))
     flipped = F.when(F.col(y) == 2, F.lit(0)).when(F.col(y) == 0, F.lit(2)).otherwise(F.col(y))
@@ -67,17 +56,22 @@ def negate_targets(df: DataFrame, negations: DataFrame, target: str = "target",
             .drop("_t", "_neg"))
 
 
-def explicit_split(df: DataFrame, keywords: DataFrame, text: str = "text",
-                   target: str = "target") -> tuple[DataFrame, DataFrame]:
-    """T4: explicit rows mention a keyword of their target (case-sensitive
-    substring), implicit rows do not. A target without keywords is an error,
-    raised inside the plan when such a row is met."""
-    kw = _small(keywords.select(F.col("target").alias("_t"), F.col("keywords").alias("_kw")))
+def explicit_flag(df: DataFrame, keywords: DataFrame, text: str = "text", target: str = "target") -> DataFrame:
+    """T4: ``explicit`` is true for rows that mention a keyword of their target
+    (case-sensitive substring). A target without keywords is an error, raised
+    inside the plan when such a row is met."""
+    kw = keywords.select(F.col("target").alias("_t"), F.col("keywords").alias("_kw"))
     j = df.join(kw, F.col(target) == F.col("_t"), "left")
     hit = F.exists("_kw", lambda k: F.col(text).contains(k))
     flag = F.when(F.col("_kw").isNull(),
                   F.raise_error(F.concat(F.lit("no keywords for target "), F.col(target)))).otherwise(hit)
-    tagged = j.withColumn("explicit", flag.cast("boolean")).drop("_t", "_kw")
+    return j.withColumn("explicit", flag.cast("boolean")).drop("_t", "_kw")
+
+
+def explicit_split(df: DataFrame, keywords: DataFrame, text: str = "text",
+                   target: str = "target") -> tuple[DataFrame, DataFrame]:
+    """T4 as two frames (explicit, implicit); ``explicit_flag`` has both in one."""
+    tagged = explicit_flag(df, keywords, text, target)
     return tagged.filter(F.col("explicit")), tagged.filter(~F.col("explicit"))
 
 

@@ -71,10 +71,10 @@ def generate(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], inputs: Seq
 
     def run(batches):
         for pdf in batches:
+            made: list = []
             for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size].copy()
-                chunk[out] = list(fn(chunk[ins].reset_index(drop=True)))
-                yield chunk
+                made += list(fn(pdf[ins].iloc[start:start + batch_size].reset_index(drop=True)))
+            yield pdf.assign(**{out: made})
 
     generated = df.mapInPandas(run, schema)
     if checkpoint:

@@ -7,21 +7,22 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stanceflow.functions.text import (
-    empty_tokens, clean_aspect_tokens, clean_stance_tokens, split_words,
-)
+from stanceflow.functions.text import clean_aspect_tokens, clean_stance_tokens, split_words
 
-# A dictionary up to this many entries is held as a literal map in the plan;
-# above it, normalisation runs as a per-token join.
-MAP_DICT_LIMIT = 100_000
 
-
-def clean_stance(df: DataFrame, pairs: Iterable[tuple[str, str]] = (), text: str = "text",
-                 target: str = "target", text_out: str = "tokens", target_out: str = "target_tokens") -> DataFrame:
-    """The full stance cleaning on text and target."""
-    items = list(pairs)
-    return (df.withColumn(text_out, clean_stance_tokens(text, items))
-            .withColumn(target_out, clean_stance_tokens(target, items)))
+def clean_stance(df: DataFrame, pairs: Iterable[tuple[str, str]] | DataFrame = (), text: str = "text",
+                 target: str = "target", text_out: str = "tokens", target_out: str = "target_tokens",
+                 slang: str = "slang", expansion: str = "expansion") -> DataFrame:
+    """The full stance cleaning on text and target. ``pairs`` is a few
+    literal entries or a dictionary frame of any size."""
+    if not isinstance(pairs, DataFrame):
+        items = list(pairs)
+        return (df.withColumn(text_out, clean_stance_tokens(text, items))
+                .withColumn(target_out, clean_stance_tokens(target, items)))
+    out = df.withColumn(text_out, clean_stance_tokens(text)).withColumn(target_out, clean_stance_tokens(target))
+    for tokens in (text_out, target_out):
+        out = normalize_tokens_by(out, pairs, tokens, tokens, slang, expansion)
+    return out
 
 
 def clean_aspect(df: DataFrame, text: str = "text", target: str = "target", text_out: str = "tokens",
@@ -38,6 +39,20 @@ def cap_tokens(df: DataFrame, tokens: str = "tokens", n: int = 100) -> DataFrame
             .withColumn(tokens, F.slice(tokens, 1, n)))
 
 
+def length_profiles(df: DataFrame, datasets: Sequence[str], by: Sequence[str] = (), tokens: str = "tokens",
+                    cap: int = 100) -> DataFrame:
+    """C9 for several datasets from one aggregation of the token lengths."""
+    n = F.col("_n")
+    stats = df.select(*by, F.size(tokens).alias("_n")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(n).alias("max_len"), F.avg(n.cast("double")).alias("_avg"),
+        F.avg(F.least(n, F.lit(cap)).cast("double")).alias("_avg_capped"), F.count_if(n > cap).alias("n_over_cap"))
+    rows = [F.struct(F.lit(d).alias("dataset"),
+                     F.col("_avg_capped" if d == "Covid19" else "_avg").alias("avg_len"),
+                     (F.least("max_len", F.lit(cap)) > 140 if d == "Covid19" else F.col("max_len") > 120)
+                     .alias("overflow")) for d in datasets]
+    return stats.select(*by, "n_rows", "max_len", "n_over_cap", F.inline(F.array(*rows)))
+
+
 def length_profile(df: DataFrame, by: Sequence[str] = (), tokens: str = "tokens", dataset: str = "SemEval2016",
                    cap: int = 100) -> DataFrame:
     """Max length before the cap, mean length after it, rows over the cap,
@@ -63,25 +78,32 @@ def merge_dicts(base: DataFrame, override: DataFrame, key: str = "slang", value:
     return b.join(o, key, "full_outer").select(key, F.coalesce("_ov", "_bv").alias(value))
 
 
+def normalize_tokens_by(df: DataFrame, dictionary: DataFrame, tokens: str = "tokens", out: str = "norm_tokens",
+                        slang: str = "slang", expansion: str = "expansion") -> DataFrame:
+    """C5 / J5 with a dictionary frame: ``df`` + ``out``, the tokens with each
+    dictionary entry replaced by the words of its expansion (none when blank).
+
+    Only hits move: tokens meet the dictionary in an inner join, the hits of a
+    token list are gathered under the list's digest, and the list is patched
+    by position. The digest alone names a list, so rows need no key, and rows
+    with equal or null keys are safe. Of a repeated slang word the smallest
+    expansion counts. Spark broadcasts the dictionary when it is small."""
+    d = (dictionary.where(F.col(slang).isNotNull()).groupBy(F.col(slang).alias("_tok"))
+         .agg(F.coalesce(F.min(expansion), F.lit("")).alias("_exp"))
+         .select("_tok", split_words(F.col("_exp")).alias("_rep")))
+    digest = F.sha2(F.array_join(F.col(tokens), "\u0001"), 256)
+    keyed = df.withColumn("_list", digest)
+    found = (keyed.select("_list", F.posexplode(tokens).alias("_pos", "_tok")).join(d, "_tok")
+             .groupBy("_list").agg(F.map_from_entries(F.collect_set(F.struct("_pos", "_rep"))).alias("_hits"))
+             .withColumnRenamed("_list", "_found"))
+    patched = F.flatten(F.transform(F.col(tokens), lambda t, i: F.coalesce(F.element_at("_hits", i), F.array(t))))
+    return (keyed.join(found, F.col("_list") == F.col("_found"), "left")
+            .withColumn(out, F.when(F.col("_hits").isNull(), F.col(tokens)).otherwise(patched))
+            .drop("_list", "_found", "_hits"))
+
+
 def normalize_join(df: DataFrame, dictionary: DataFrame, key: str, tokens: str = "tokens",
                    out: str = "norm_tokens", slang: str = "slang", expansion: str = "expansion",
-                   keep: Sequence[str] = (), broadcast_limit: int = MAP_DICT_LIMIT) -> DataFrame:
-    """J5 / C5 large form: tokens are exploded with their position, looked up
-    with a left join, and re-collected in position order per row key.
-
-    The dictionary is broadcast only after its row count is checked; a larger
-    one is a shuffle join (AQE splits hot tokens). Rows with no tokens survive
-    through ``posexplode_outer``, so the regrouped frame has every key and no
-    join back is needed; ``keep`` columns ride along (constant per key). One
-    shuffle on ``key`` re-groups the tokens of a row, bounded by its text."""
-    d = dictionary.select(F.col(slang).alias("_tok"), split_words(F.col(expansion)).alias("_rep"))
-    if dictionary.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        d = F.broadcast(d)
-    exploded = df.select(key, *keep, F.posexplode_outer(tokens).alias("_pos", "_tok"))
-    looked = exploded.join(d, "_tok", "left").select(
-        key, *keep, "_pos", F.when(F.col("_tok").isNull(), empty_tokens())
-        .otherwise(F.coalesce(F.col("_rep"), F.array(F.col("_tok")))).alias("_rep"))
-    regrouped = looked.groupBy(key).agg(
-        *[F.first(c).alias(c) for c in keep],
-        F.array_sort(F.collect_list(F.struct("_pos", "_rep"))).alias("_parts"))
-    return regrouped.select(key, *keep, F.flatten(F.transform("_parts", lambda s: s["_rep"])).alias(out))
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """J5 as (key, keep..., out): one row per row of ``df``, whatever its key."""
+    return normalize_tokens_by(df, dictionary, tokens, out, slang, expansion).select(key, *keep, out)

@@ -122,5 +122,4 @@ SELECT doc_id, target, CASE {branches} END AS explicit FROM stance_view"""
 def q_explicit_split(spark, sf):
     sv = stance_view(spark, sf).select("doc_id", "target", "text")
     kw = T.literal_frame(spark, KEYWORDS, "target", "keywords", "array<string>")
-    explicit, implicit = T.explicit_split(sv, kw)
-    return explicit.unionByName(implicit).select("doc_id", "target", "explicit")
+    return T.explicit_flag(sv, kw).select("doc_id", "target", "explicit")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import functions as F
 
 from stanceflow.functions.labels import encode_prediction
 from stanceflow.functions.parse import CHAT_PATTERN_SQL, DICT_PATTERN, FREE_PATTERN
@@ -78,16 +78,15 @@ def q_sft_truncate(spark, sf):
     return out.select("doc_id", "n_tokens", "n_kept", "answer_survived")
 
 
-# --- generation with a deterministic stub -------------------------------------
+# --- echo stripping over generated texts ---------------------------------------
 
-STUB_INPUTS = ("prompt", "doc_id")
-
-
-def stub_generator(pdf: pd.DataFrame) -> pd.Series:
-    """A stand-in model: echoes the prompt, then one of the parser edge
-    strings chosen by doc_id % 11 (like a decoder that repeats its input)."""
-    picks = [PARSER_STRINGS[int(i) % 11] for i in pdf["doc_id"]]
-    return pd.Series([p + " " + s for p, s in zip(pdf["prompt"], picks)])
+def echoed(spark, sf):
+    """Prompts and outputs that repeat their prompt before one of the parser
+    strings (a column expression: no model runs)."""
+    sv = G.render_prompt(stance_view(spark, sf), LLM_TEMPLATES["chat-type3"])
+    k = F.pmod(F.col("doc_id"), F.lit(11))
+    said = F.element_at(F.array(*[F.lit(s) for s in PARSER_STRINGS[:11]]), (k + 1).cast("int"))
+    return sv.select("doc_id", "prompt", F.concat("prompt", F.lit(" "), said).alias("generated_text"))
 
 
 def _stub_sql(prompt: str = "prompt") -> str:
@@ -95,12 +94,6 @@ def _stub_sql(prompt: str = "prompt") -> str:
     return f"({prompt} || ' ' || CASE doc_id % 11 {branches} END)"
 
 
-def generated(spark, sf):
-    sv = G.render_prompt(stance_view(spark, sf), LLM_TEMPLATES["chat-type3"]).select(
-        "doc_id", "target", "stance", "y", "prompt")
-    return G.generate(sv, stub_generator, STUB_INPUTS)
-
-
 _STUB_CTE = SV + f""", pr AS (
   SELECT doc_id, target, stance, y, {render_sql(LLM_TEMPLATES['chat-type3'], {'text': 'text', 'target': 'target'})}
          AS prompt FROM stance_view),
@@ -109,22 +102,16 @@ stripped AS (SELECT *, CASE WHEN prompt = '' THEN generated_text ELSE replace(ge
              AS answer FROM gen)"""
 
 
-@query("generate_stub", _STUB_CTE + """
-SELECT doc_id, generated_text FROM gen""")
-def q_generate_stub(spark, sf):
-    return generated(spark, sf).select("doc_id", "generated_text")
-
-
 @query("strip_echo", _STUB_CTE + """
 SELECT doc_id, answer AS generated_text FROM stripped""")
 def q_strip_echo(spark, sf):
-    return G.strip_echo(generated(spark, sf)).select("doc_id", "generated_text")
+    return G.strip_echo(echoed(spark, sf)).select("doc_id", "generated_text")
 
 
 @query("gen_log", _STUB_CTE + f"""
 SELECT doc_id, {lit(LOG_PREFIX)} || answer AS log_line FROM stripped""")
 def q_gen_log(spark, sf):
-    return G.gen_log(G.strip_echo(generated(spark, sf))).select("doc_id", "log_line")
+    return G.gen_log(G.strip_echo(echoed(spark, sf))).select("doc_id", "log_line")
 
 
 def _chat_sql(col: str) -> str:
@@ -146,17 +133,6 @@ def _p2_sql(col: str) -> str:
             f"WHEN {col} = 'NONE' THEN 1 WHEN {col} = 'FAVOR' THEN 2 END AS INTEGER)")
 
 
-@query("generate_parse_eval", _STUB_CTE + f""", parsed AS (
-  SELECT target, y, {_p2_sql(_chat_sql('answer'))} AS p FROM stripped)
-SELECT target, n_rows, round(({f1c(0)} + {f1c(2)}) / 2, 6) AS f1
-FROM (SELECT target, {class_counts()} FROM parsed GROUP BY target)""")
-def q_generate_parse_eval(spark, sf):
-    """render -> generate -> strip echo -> parse -> encode -> per-target F1."""
-    out = PL.parse_generations(G.strip_echo(generated(spark, sf)), "chat")
-    out = out.withColumn("p", encode_prediction("generated_stance"))
-    return rounded(M.f1_per_target(out, "target"))
-
-
 @query("parse_free", GV + f"""
 SELECT doc_id, {_free_sql('generated_text')} AS generated_stance FROM generation_view""")
 def q_parse_free(spark, sf):

@@ -16,7 +16,6 @@ from stanceflow.sources.readers import split_by_key
 ALPHA = 0.5
 # The head-mask labels of the sweep scripts.
 MASK_SPECS = ("0.50l_0.25h", "0.50l_0.50h", "0.50l_1.00h", "1.00l_0.25h", "1.00l_0.50h")
-ATTN_MAX_LEN, ATTN_DIMS = 128, 16
 VOCAB_VECTORS = 500_000  # the first-N read of the vector file (reference default)
 
 
@@ -35,9 +34,9 @@ TOKS = with_views(STANCE_VIEW, f"""pv AS (
   FROM stance_view)""")
 
 
-def seq_sql(max_len: int) -> str:
-    return (f"list_concat(list_concat(['[CLS]'], (list_concat(list_concat(toks, ['[SEP]']), tgt))[1:{max_len - 2}]), "
-            f"['[SEP]'])")
+def seq_sql(max_len: int, cls: str = "[CLS]", sep: str = "[SEP]") -> str:
+    return (f"list_concat(list_concat([{lit(cls)}], (list_concat(list_concat(toks, [{lit(sep)}]), tgt))"
+            f"[1:{max_len - 2}]), [{lit(sep)}])")
 
 
 def spans_sql(lens=(128, 8192)) -> str:
@@ -56,6 +55,15 @@ def q_encode_pair(spark, sf):
     return df.select("doc_id", F.array_join("seq", " ").alias("seq"), F.size("seq").cast("long").alias("n_tokens"))
 
 
+@query("encode_pair_bertweet", TOKS + f"""
+SELECT doc_id, array_to_string({seq_sql(128, '<s>', '</s>')}, ' ') AS seq,
+       CAST(list_position({seq_sql(128, '<s>', '</s>')}, '</s>') AS INTEGER) AS span_start
+FROM pv""")
+def q_encode_pair_bertweet(spark, sf):
+    df = E.target_span(E.encode_pair(token_pairs(spark, sf), model="Bertweet", max_len=128), model="Bertweet")
+    return df.select("doc_id", F.array_join("seq", " ").alias("seq"), "span_start")
+
+
 @query("pad_truncate", TOKS + f""", s AS (SELECT doc_id, {seq_sql(128)} AS seq FROM pv)
 SELECT doc_id, CAST(len(seq) AS BIGINT) AS n_tokens,
        array_to_string(list_concat(seq, list_resize(['<pad>'], 128 - len(seq), '<pad>')), ' ') AS input_tokens,
@@ -68,43 +76,40 @@ def q_pad_truncate(spark, sf):
                      ones.alias("mask_ones"), F.size("attention_mask").alias("mask_len"))
 
 
+def spans_by_length(spark, sf, lens=(128, 8192)):
+    """Spans at several lengths; every text is tokenised once."""
+    tp = token_pairs(spark, sf).withColumn("max_len", F.explode(F.array(*[F.lit(n) for n in lens])))
+    return E.target_span(E.encode_pair(tp, max_len=F.col("max_len")))
+
+
 @query("target_span", TOKS + spans_sql() + """
 SELECT doc_id, max_len, span_start, span_end FROM sp""")
 def q_target_span(spark, sf):
-    out = None
-    for n in (128, 8192):
-        d = encoded(spark, sf, n).select("doc_id", F.lit(n).alias("max_len"), "span_start", "span_end")
-        out = d if out is None else out.unionByName(d)
-    return out
+    return spans_by_length(spark, sf).select("doc_id", "max_len", "span_start", "span_end")
 
 
 @query("extra_long", TOKS + spans_sql() + """
 SELECT max_len, target, count(*) FILTER (WHERE span_end IS NULL) AS n_extra_long, count(*) AS n_rows
 FROM sp GROUP BY max_len, target""")
 def q_extra_long(spark, sf):
-    out = None
-    for n in (128, 8192):
-        d = E.extra_long(encoded(spark, sf, n), ["target"]).select(F.lit(n).alias("max_len"), "target",
-                                                                    "n_extra_long", "n_rows")
-        out = d if out is None else out.unionByName(d)
-    return out
+    return E.extra_long(spans_by_length(spark, sf), ["max_len", "target"])
 
 
-@query("ta_bias", TOKS + spans_sql((8192,)) + f"""
+@query("ta_bias", TOKS + spans_sql((128,)) + f"""
 SELECT doc_id, span_start, span_end, {ALPHA}::DOUBLE AS alpha,
        CAST(coalesce(span_end - span_start, 0) * coalesce(span_end - span_start, 0) AS BIGINT) AS n_cells
 FROM sp""")
 def q_ta_bias(spark, sf):
-    return E.ta_bias(encoded(spark, sf, 8192), ALPHA).select("doc_id", "span_start", "span_end", "alpha", "n_cells")
+    return E.ta_bias(encoded(spark, sf, 128), ALPHA).select("doc_id", "span_start", "span_end", "alpha", "n_cells")
 
 
-@query("ta_bias_cells", TOKS + spans_sql((8192,)) + f"""
+@query("ta_bias_cells", TOKS + spans_sql((128,)) + f"""
 SELECT doc_id, CAST(j.j AS INTEGER) AS j, CAST(k.k AS INTEGER) AS k, {ALPHA}::DOUBLE AS bias
 FROM sp, LATERAL (SELECT unnest(range(span_start, span_end)) AS j) j,
      LATERAL (SELECT unnest(range(span_start, span_end)) AS k) k
 WHERE span_end > span_start""")
 def q_ta_bias_cells(spark, sf):
-    return E.ta_bias_cells(E.ta_bias(encoded(spark, sf, 8192), ALPHA))
+    return E.ta_bias_cells(E.ta_bias(encoded(spark, sf, 128), ALPHA))
 
 
 def _head_mask_sql():
@@ -112,90 +117,23 @@ def _head_mask_sql():
     for s in MASK_SPECS:
         lf, hf = E.parse_mask_spec(s)
         masks.append(f"SELECT {lit(s)} AS mask, {lf} AS lf, {hf} AS hf")
-    return TOKS + spans_sql((8192,)) + f""",
-tot AS (SELECT CAST(sum({ALPHA} * coalesce(span_end - span_start, 0) * coalesce(span_end - span_start, 0)) AS DOUBLE) AS mass,
-               sum(CAST(coalesce(span_end - span_start, 0) * coalesce(span_end - span_start, 0) AS BIGINT)) AS cells
-        FROM sp),
+    return TOKS + spans_sql((128,)) + f""",
 m AS ({' UNION ALL '.join(masks)}),
 g AS (SELECT m.mask, CAST(l.layer AS INTEGER) AS layer, CAST(h.head AS INTEGER) AS head,
              CASE WHEN l.layer < m.lf * 12 - 1e-9 AND h.head < m.hf * 12 - 1e-9 THEN 1 ELSE 0 END AS "on"
       FROM m, range(12) l(layer), range(12) h(head))
-SELECT g.mask, g.layer, g.head, g."on", CAST(coalesce(tot.cells, 0) AS BIGINT) AS cells,
-       round(g."on" * coalesce(tot.mass, 0.0), 6) AS bias_mass
-FROM g, tot"""
+SELECT sp.doc_id, g.mask, g.layer, g.head, g."on",
+       round(g."on" * {ALPHA}::DOUBLE * coalesce(span_end - span_start, 0) * coalesce(span_end - span_start, 0), 6)
+         AS bias_mass
+FROM sp, g"""
 
 
 @query("head_mask_bias", _head_mask_sql())
 def q_head_mask_bias(spark, sf):
-    spans = E.ta_bias(encoded(spark, sf, 8192), ALPHA)
+    spans = E.ta_bias(encoded(spark, sf, 128), ALPHA)
     return rounded(E.head_mask_bias(spans, MASK_SPECS))
 
 
-# --- E7 ----------------------------------------------------------------------
-
-def token_vector_view(spark, sf, max_len: int = ATTN_MAX_LEN):
-    """The model input of every stance row: whole-text tokens encoded as
-    [CLS] text [SEP] target [SEP] and truncated to ``max_len`` (E1-E3, the
-    reference's model input); the vector of position pos is
-    embeddings[(doc_id * 16 + pos) % n_vec], dimensions 1-16."""
-    sq = encoded(spark, sf, max_len).select("doc_id", "seq", "span_start", "span_end")
-    emb = table(spark, sf, "embeddings")
-    n_vec = emb.select(F.count(F.lit(1))).scalar()
-    vecs = emb.select("vec_id", F.slice("embedding", 1, ATTN_DIMS).cast("array<double>").alias("vec"))
-    pos = sq.select("doc_id", "span_start", "span_end", F.posexplode("seq").alias("pos", "tok"))
-    pos = pos.withColumn("vec_id", F.pmod(F.col("doc_id") * 16 + F.col("pos"), n_vec))
-    looked = pos.join(vecs, "vec_id")
-    # the span rides along (constant per document): no join back to the spans
-    regrouped = looked.groupBy("doc_id").agg(
-        F.first("span_start").alias("span_start"), F.first("span_end").alias("span_end"),
-        F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("_v"))
-    return regrouped.select("doc_id", "span_start", "span_end",
-                            F.transform("_v", lambda s: s["vec"]).alias("vectors"))
-
-
-def _attention_query(spark, sf, mode):
-    tv = token_vector_view(spark, sf)
-    att = E.target_aware_attention(tv, "vectors", alpha=1.0, scale_mode=mode, engine="arrow")
-    # posexplode_outer: a plain posexplode makes the optimizer infer a
-    # size(attn_out) > 0 filter and push the whole attention expression into
-    # the join below it
-    rows = att.select("doc_id", F.posexplode_outer("attn_out").alias("i", "vec"))
-    summary = rows.select(
-        "doc_id", F.col("i").cast("int").alias("i"),
-        F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("out_sum"),
-        F.element_at("vec", 1).alias("out_first"))
-    return rounded(summary)
-
-
-def _attention_sql(mode: str) -> str:
-    score = ("(dot + 1.0 * ii * jj) / sqrt(16.0)" if mode == "pre" else "dot / sqrt(16.0) + 1.0 * ii * jj")
-    return TOKS + spans_sql((ATTN_MAX_LEN,)) + f""",
-nv AS (SELECT count(*) AS n FROM embeddings),
-pos AS (SELECT doc_id, span_start AS s0, span_end AS s1, CAST(unnest(range(len(seq))) AS BIGINT) AS pos FROM sp),
-tv AS (SELECT p.doc_id, p.pos, CAST(e.embedding[1:16] AS DOUBLE[]) AS vec,
-              CASE WHEN p.s1 IS NOT NULL AND p.pos >= p.s0 AND p.pos < p.s1 THEN 1.0 ELSE 0.0 END AS ins
-       FROM pos p CROSS JOIN nv JOIN embeddings e ON e.vec_id = (p.doc_id * 16 + p.pos) % nv.n),
-pr AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, list_dot_product(a.vec, b.vec) AS dot, a.ins AS ii, b.ins AS jj,
-              b.vec AS vj
-       FROM tv a JOIN tv b USING (doc_id)),
-sc AS (SELECT *, {score} AS s FROM pr),
-w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id, i)) AS ex FROM sc),
-wn AS (SELECT doc_id, i, vj, ex / sum(ex) OVER (PARTITION BY doc_id, i) AS wt FROM w)
-SELECT doc_id, CAST(i AS INTEGER) AS i, round(sum(wt * list_sum(vj)), 6) + 0.0 AS out_sum,
-       round(sum(wt * vj[1]), 6) + 0.0 AS out_first
-FROM wn GROUP BY doc_id, i"""
-
-
-@query("target_aware_attention", _attention_sql("pre"))
-def q_attention_pre(spark, sf):
-    return _attention_query(spark, sf, "pre")
-
-
-@query("target_aware_attention_post", _attention_sql("post"))
-def q_attention_post(spark, sf):
-    return _attention_query(spark, sf, "post")
-
-
 # --- E8 / E9 -------------------------------------------------------------------
 
 def _updates(spark, sf):
@@ -207,7 +145,7 @@ def _updates(spark, sf):
     return u1.unionByName(u2).unionByName(u3)
 
 
-@query("update_by_ids", TOKS + spans_sql((8192,)) + f""",
+@query("update_by_ids", TOKS + spans_sql((128,)) + f""",
 u AS (SELECT doc_id, 0.8::DOUBLE AS alpha, 0 AS seq FROM labels WHERE toxic = 1
       UNION ALL SELECT doc_id, 0.2::DOUBLE, 1 FROM labels WHERE quality = 1
       UNION ALL SELECT doc_id, 0.3::DOUBLE, 2 FROM documents WHERE n_chars < 400),
@@ -216,7 +154,7 @@ f AS (SELECT doc_id, alpha FROM (SELECT *, row_number() OVER (PARTITION BY doc_i
 SELECT sp.doc_id, round(coalesce(f.alpha, {ALPHA}::DOUBLE), 6) AS alpha, f.alpha IS NOT NULL AS updated
 FROM sp LEFT JOIN f USING (doc_id)""")
 def q_update_by_ids(spark, sf):
-    base = E.ta_bias(encoded(spark, sf, 8192), ALPHA).select("doc_id", "alpha")
+    base = E.ta_bias(encoded(spark, sf, 128), ALPHA).select("doc_id", "alpha")
     return rounded(E.update_by_ids(base, _updates(spark, sf), "doc_id", "alpha"))
 
 
@@ -259,12 +197,12 @@ def q_vocab(spark, sf):
     return vocab_frame(spark, sf)
 
 
-def vectors_frame(spark, sf, vocab):
+def vectors_frame(spark, sf):
     """The vector table: the k-th regular vocabulary entry (idx = vec_id + 1)
     takes the vector of vec_id, read first-N by rank."""
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("rank"), F.col("embedding").alias("vector"))
     first = E.read_vectors(emb, VOCAB_VECTORS, "rank")
-    return first.join(vocab.select("token", (F.col("idx") - 1).alias("rank")), "rank")
+    return first.select((F.col("rank") + 1).alias("idx"), "vector")
 
 
 def _fallback_sql(dims=64, seed=1):
@@ -288,7 +226,7 @@ emb AS (SELECT vocab.token, vocab.idx,
 SELECT token, idx, kind, round(v_sum, 6) AS v_sum FROM emb""")
 def q_vocab_vectors(spark, sf):
     vocab = vocab_frame(spark, sf)
-    emb = E.embed_vocab(vocab, vectors_frame(spark, sf, vocab), dims=64, seed=1)
+    emb = E.embed_vocab(vocab, vectors_frame(spark, sf), dims=64, seed=1, key="idx")
     v_sum = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return rounded(emb.select("token", "idx", "kind", v_sum.alias("v_sum")))
 
@@ -298,5 +236,5 @@ SELECT count(*) AS vocab_size, count(*) FILTER (WHERE kind = 'known') AS n_known
        round(avg(CASE WHEN kind = 'known' THEN 1.0 ELSE 0.0 END), 6) AS known_share FROM emb""")
 def q_vocab_coverage(spark, sf):
     vocab = vocab_frame(spark, sf)
-    emb = E.embed_vocab(vocab, vectors_frame(spark, sf, vocab), dims=64, seed=1)
+    emb = E.embed_vocab(vocab, vectors_frame(spark, sf), dims=64, seed=1, key="idx")
     return rounded(E.vocab_coverage(emb))

@@ -8,6 +8,7 @@ from stanceflow.functions.labels import decode_label, encode_label
 from stanceflow.functions.text import clean_aspect_tokens, clean_stance_tokens, normalize_tokens
 from stanceflow.operators import labels as L
 from stanceflow.operators import text as T
+from stanceflow.operators.index import with_row_index
 from stanceflow.plans.registry import query, rounded
 from stanceflow.plans.sqlviews import (
     STANCE_VIEW, lit, sql_clean_aspect, sql_clean_stance, sql_normalize, with_views,
@@ -77,6 +78,30 @@ def q_normalize_join(spark, sf):
     return out.select("doc_id", *_tok_out(F.col("norm")))
 
 
+def large_dictionary(spark, sf):
+    """Thousands of entries from the corpus: every token of eight or more
+    letters is split in two."""
+    tok = table(spark, sf, "documents").select(F.explode(clean_aspect_tokens("text")).alias("slang")).distinct()
+    return tok.where(F.length("slang") >= 8).select(
+        "slang", F.concat(F.substring("slang", 1, 4), F.lit(" "), F.substring("slang", 5, 1 << 30)).alias("expansion"))
+
+
+def _split_long(toks: str) -> str:
+    return (f"flatten(list_transform({toks}, lambda t: CASE WHEN len(t) >= 8 THEN [t[1:4], t[5:]] ELSE [t] END))")
+
+
+@query("clean_stance_large_dict", f"""
+SELECT doc_id, array_to_string({_split_long(sql_clean_stance('text'))}, ' ') AS tokens,
+       CAST(len({_split_long(sql_clean_stance('text'))}) AS BIGINT) AS n_tokens,
+       array_to_string({_split_long(sql_clean_stance("lang || ' ' || source"))}, ' ') AS target_tokens
+FROM documents""")
+def q_clean_stance_large_dict(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.concat_ws(" ", "lang", "source").alias("target"))
+    cleaned = T.clean_stance(docs, large_dictionary(spark, sf))
+    return cleaned.select("doc_id", *_tok_out(F.col("tokens")),
+                          F.array_join("target_tokens", " ").alias("target_tokens"))
+
+
 def _dict_sql():
     rows = " UNION ALL ".join(f"SELECT {lit(k)} AS slang, {lit(v)} AS expansion" for k, v in merged_pairs())
     return f"""WITH d AS ({rows}),
@@ -122,13 +147,8 @@ FROM l GROUP BY target"""
 @query("length_profile", _length_sql())
 def q_length_profile(spark, sf):
     sv = stance_view(spark, sf).select("target", clean_stance_tokens("text", merged_pairs()).alias("tokens"))
-    out = None
-    for ds in ("Covid19", "SemEval2016"):
-        part = T.length_profile(sv, ["target"], "tokens", ds).select(
-            F.lit(ds).alias("dataset"), "target", "n_rows", F.col("max_len").cast("long"), "avg_len", "n_over_cap",
-            "overflow")
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    return rounded(T.length_profiles(sv, ("Covid19", "SemEval2016"), ["target"]).select(
+        "dataset", "target", "n_rows", F.col("max_len").cast("long"), "avg_len", "n_over_cap", "overflow"))
 
 
 # --- labels ----------------------------------------------------------------
@@ -187,6 +207,29 @@ def q_distinct_rows(spark, sf):
     return L.distinct_rows(stance_view(spark, sf).select("text", "target", "stance"))
 
 
+@query("head_limit_large", SV + """
+SELECT doc_id, target FROM stance_view ORDER BY doc_id DESC LIMIT 20000""")
+def q_head_limit_large(spark, sf):
+    sv = stance_view(spark, sf).select("doc_id", "target")
+    return L.head_limit(sv, 20_000, F.col("doc_id").desc())
+
+
+@query("row_index_nulls", SV + """,
+k AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE -(doc_id // 2) END AS k, target FROM stance_view)
+SELECT doc_id, k, row_number() OVER (ORDER BY k NULLS FIRST, doc_id) - 1 AS idx,
+       row_number() OVER (ORDER BY k DESC NULLS LAST, doc_id) - 1 AS idx_desc,
+       row_number() OVER (PARTITION BY target ORDER BY k NULLS FIRST, doc_id) - 1 AS idx_target
+FROM k""")
+def q_row_index_nulls(spark, sf):
+    """Null, repeated and descending keys, over the whole view."""
+    k = F.when(F.pmod(F.col("doc_id"), F.lit(7)) == 3, F.lit(None)).otherwise(-F.floor(F.col("doc_id") / 2))
+    df = stance_view(spark, sf).select("doc_id", "target", k.cast("long").alias("k"))
+    df = with_row_index(df, "k", tie_break=["doc_id"])
+    df = with_row_index(df, "k", "idx_desc", tie_break=["doc_id"], descending=True)
+    df = with_row_index(df, "k", "idx_target", ["target"], ["doc_id"])
+    return df.select("doc_id", "k", "idx", "idx_desc", "idx_target")
+
+
 @query("head_limit", SV + """
 SELECT doc_id, target, stance FROM stance_view ORDER BY doc_id LIMIT 100""")
 def q_head_limit(spark, sf):
@@ -199,9 +242,7 @@ SELECT doc_id, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN
 FROM stance_view""")
 def q_splits_union(spark, sf):
     sv = split_by_key(stance_view(spark, sf).select("doc_id", "target", "y"), "doc_id")
-    parts = {s: sv.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")}
-    from stanceflow.sources.readers import union_splits
-    return union_splits(parts).select("doc_id", "split", "target", "y")
+    return sv.select("doc_id", "split", "target", "y")
 
 
 @query("split_profile", SV + """
@@ -217,10 +258,10 @@ def q_split_profile(spark, sf):
 
 def _nested_aspects(spark, sf):
     """conversations as nested aspect documents: the first turn is the text,
-    every later turn an aspect (first two words as the term, role as polarity)."""
+    every later turn an aspect (its words as the term, role as polarity)."""
     nv = nested_view(spark, sf)
-    aspects = F.transform(F.slice("turns", 2, 1_000_000),
-                          lambda t: F.struct(F.slice(F.split(t["text"], " "), 1, 2).alias("term"),
+    aspects = F.transform(F.slice("turns", F.lit(2), F.size("turns") - 1),
+                          lambda t: F.struct(F.split(t["text"], " ").alias("term"),
                                              t["role"].alias("polarity")))
     return nv.select("conv_id", F.col("turns")[0]["text"].alias("raw_words"), aspects.alias("aspects"))
 
@@ -228,7 +269,7 @@ def _nested_aspects(spark, sf):
 @query("flatten_aspects", """
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
 f AS (SELECT conv_id, text AS raw_words FROM c WHERE rn = 1)
-SELECT DISTINCT f.raw_words AS text, array_to_string(string_split(c.text, ' ')[1:2], ' ') AS aspect,
+SELECT DISTINCT f.raw_words AS text, c.text AS aspect,
        c.role AS polarity
 FROM c JOIN f USING (conv_id) WHERE c.rn > 1""")
 def q_flatten_aspects(spark, sf):
@@ -238,14 +279,14 @@ def q_flatten_aspects(spark, sf):
 
 @query("aspect_cell", """
 SELECT conv_id,
-       CASE WHEN role = 'system' THEN NULL ELSE lower(regexp_extract(text, '[A-Za-z]+', 0)) END AS aspect,
+       CASE WHEN role = 'system' THEN NULL ELSE lower(array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ')) END AS aspect,
        CASE WHEN role = 'system' THEN 'none' WHEN role = 'user' THEN 'positive' ELSE 'negative' END AS polarity,
        role <> 'system' AS has_aspect
 FROM conversations""")
 def q_aspect_cell(spark, sf):
     conv = table(spark, sf, "conversations")
     term = F.when(F.col("role") == "system", F.lit("noaspectterm")).otherwise(
-        F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)))
+        F.lower(F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), " ")))
     pol = (F.when(F.col("role") == "system", "none").when(F.col("role") == "user", "positive")
            .otherwise("negative"))
     item = F.concat(F.lit("{'term': '"), term, F.lit("', 'polarity': '"), pol, F.lit("'}"))

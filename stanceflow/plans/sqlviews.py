@@ -85,13 +85,16 @@ def sql_normalize(toks: str, pairs) -> str:
 
 
 def sql_clean_stance(col: str, pairs=()) -> str:
-    from stanceflow.functions.text import EMOJI_PATTERN, MARKER_TAGS, RESERVED_WORDS, URL_PATTERN
+    from stanceflow.functions.text import EMOJI_PATTERN, MARKER_TAGS, URL_PATTERN
     s = f"regexp_replace(regexp_replace({col}, {lit(URL_PATTERN)}, '', 'g'), {lit(EMOJI_PATTERN)}, '', 'g')"
+    # whole words RT and FAV; without look-around each match takes its borders
+    # along, so a second pass finds words that shared one
+    word = r"(^|[^\p{L}\p{N}_])(?:RT|FAV)($|[^\p{L}\p{N}_])"
+    for _ in range(2):
+        s = f"regexp_replace({s}, {lit(word)}, '\\1\\2', 'g')"
     for t in MARKER_TAGS:
         s = f"replace({s}, {lit(t)}, '')"
-    reserved = ", ".join(lit(w) for w in RESERVED_WORDS)
-    toks = f"list_filter({sql_tokens(s)}, lambda t: t NOT IN ({reserved}))"
-    return sql_normalize(sql_lower(toks), pairs)
+    return sql_normalize(sql_lower(sql_tokens(s)), pairs)
 
 
 def sql_clean_aspect(col: str) -> str:

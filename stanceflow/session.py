@@ -6,45 +6,35 @@ exist for tests, the bench and command-line use.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "stanceflow") -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    """A session with the cluster's own settings; only what is passed here is
+    set. The time zone is fixed to UTC and the web page stays off."""
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false") \
+        .config("spark.sql.session.timeZone", "UTC")
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("STANCEFLOW_SHUFFLE_PARTITIONS", "8"))
-    builder = (
-        builder.config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("STANCEFLOW_DRIVER_MEMORY", "16g"))
-    )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the cluster.
+    """The checkpoint folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) a scratch folder is created and registered.
-    """
+    Read from the session (``spark.checkpoint.dir``); without one this raises,
+    as a folder of the driver alone would be lost on executors."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     conf = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
             or spark.conf.get("spark.checkpoint.dir", None))
     if not conf:
-        conf = tempfile.mkdtemp(prefix="stanceflow-ckpt-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir() or conf

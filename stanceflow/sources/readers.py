@@ -20,11 +20,20 @@ NO_ASPECT_TERM, NO_ASPECT_POLARITY = "noaspectterm", "none"
 
 
 def read_labelled_csv(spark: SparkSession, path: str, names: Sequence[str] = ("text", "target", "stance"),
-                      encoding: str = "ISO-8859-1", aux_col: str | None = "target_id") -> DataFrame:
+                      encoding: str = "ISO-8859-1", aux_col: str | None = "target_id",
+                      multiline: bool = False) -> DataFrame:
     """S1 + S2: columns 0..len(names)-1 by position, renamed; the optional
-    next column becomes ``aux_col`` (int), else the constant 1."""
-    raw = (spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
-           .option("multiLine", True).csv(path))
+    next column becomes ``aux_col`` (int), else the constant 1. Files are split
+    among tasks; only for files with line breaks inside quoted fields set
+    ``multiline`` (one task per file then). A path that ends in .jsonl or
+    .parquet is read as that format, by column position too."""
+    if path.rstrip("/").endswith(".parquet"):
+        raw = spark.read.parquet(path)
+    elif path.rstrip("/").endswith(".jsonl"):
+        raw = spark.read.json(path)
+    else:
+        raw = (spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
+               .option("multiLine", multiline).csv(path))
     cols = raw.columns
     if len(cols) < len(names):
         raise ValueError(f"{path}: {len(cols)} columns, need {len(names)}")
@@ -37,9 +46,24 @@ def read_labelled_csv(spark: SparkSession, path: str, names: Sequence[str] = ("t
     return raw.select(*out)
 
 
-def read_aspect_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested aspect documents: a JSON array of {raw_words, aspects[{term[], polarity}]}."""
-    return spark.read.schema(ASPECT_JSON_SCHEMA).option("multiLine", True).json(path)
+def read_aspect_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Nested aspect documents {raw_words, aspects[{term[], polarity}]}, one per
+    line; ``array`` for a file that is one JSON array (one task per file)."""
+    return spark.read.schema(ASPECT_JSON_SCHEMA).option("multiLine", array).json(path)
+
+
+def read_dictionary_json(spark: SparkSession, path: str) -> DataFrame:
+    """A file that is one JSON object {slang: expansion} -> (slang,
+    expansion); dictionaries are read whole, file by file."""
+    text = spark.read.text(path, wholetext=True)
+    entries = F.from_json("value", "map<string,string>")
+    return text.select(F.explode(entries).alias("slang", "expansion"))
+
+
+def read_dictionary_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """Lines ``slang<TAB>expansion`` (no quoting, no header)."""
+    return spark.read.schema("slang string, expansion string").option("sep", "\t").option("quote", "") \
+        .option("ignoreTrailingWhiteSpace", True).csv(path).where(F.col("slang").isNotNull())
 
 
 def flatten_aspects(df: DataFrame, raw: str = "raw_words", aspects: str = "aspects",
@@ -61,11 +85,12 @@ def parse_aspect_cell(df: DataFrame, cell: str, keep: Sequence[str] = ()) -> Dat
                      F.col("_a.polarity").alias("polarity"), (~sentinel).alias("has_aspect"))
 
 
-def read_generations(spark: SparkSession, path: str) -> DataFrame:
-    """The six generation columns as strings; an empty field is missing."""
+def read_generations(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """The six generation columns as strings; an empty field is missing.
+    ``multiline`` as in ``read_labelled_csv``."""
     schema = ", ".join(f"`{c}` string" for c in GENERATION_COLUMNS)
     return (spark.read.schema(schema).option("header", True).option("escape", '"')
-            .option("multiLine", True).option("nullValue", "").csv(path))
+            .option("multiLine", multiline).option("nullValue", "").csv(path))
 
 
 def load_splits(spark: SparkSession, root: str, dataset: str,

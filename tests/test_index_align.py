@@ -2,25 +2,28 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from stanceflow.operators import align as J
 from stanceflow.operators import perturb as T
 from stanceflow.operators.index import assign_batches, with_row_index, with_row_index_by
+from stanceflow.operators.labels import head_limit
+from stanceflow.session import checkpoint_dir
 
 
 def test_index_dense_and_repeatable(spark):
     df = spark.range(0, 5000, 7).withColumnRenamed("id", "k").repartition(13)
-    a = {r["k"]: r["idx"] for r in with_row_index(df, "k", num_buckets=5).collect()}
-    b = {r["k"]: r["idx"] for r in with_row_index(df.repartition(3), "k", num_buckets=17).collect()}
+    a = {r["k"]: r["idx"] for r in with_row_index(df, "k", slice_bits=4).collect()}
+    b = {r["k"]: r["idx"] for r in with_row_index(df.repartition(3), "k", slice_bits=9).collect()}
     assert a == b and sorted(a.values()) == list(range(len(a)))
     assert all(a[k] == i for i, k in enumerate(sorted(a)))
 
 
 def test_index_by_any_order(spark):
     df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5), ("d", 1)], "t string, n int")
-    got = {r["t"]: r["idx"] for r in with_row_index_by(df, [F.col("n").desc(), F.col("t")]).collect()}
+    got = {r["t"]: r["idx"] for r in with_row_index_by(df, [(F.col("n"), True)], [(F.col("n"), True), (F.col("t"), False)]).collect()}
     assert got == {"c": 0, "a": 1, "b": 2, "d": 3}
 
 
@@ -103,7 +106,59 @@ def test_reads_documents(spark):
     assert idx.agg(F.max("idx")).first()[0] == n - 1
 
 
-def test_index_rows_per_bucket(spark):
-    df = spark.range(0, 1000).withColumnRenamed("id", "k")
-    got = with_row_index(df, "k", num_buckets=2, rows_per_bucket=100)
-    assert sorted(r["idx"] for r in got.collect()) == list(range(1000))
+def test_index_null_repeated_and_descending_keys(spark):
+    rows = [(None, 0), (None, 1), *[(i // 2, i) for i in range(40)], (-70_000, 41), (1 << 40, 42)]
+    df = spark.createDataFrame(rows, "k long, t int")
+    up = [r["t"] for r in with_row_index(df, "k", tie_break=["t"]).orderBy("idx").collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert up == [t for _, t in sorted(rows, key=key)]
+    down = [r["t"] for r in with_row_index(df, "k", tie_break=["t"], descending=True).orderBy("idx").collect()]
+    assert down == [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
+
+
+def test_index_per_group_with_null_groups(spark):
+    df = spark.createDataFrame([("a", 5), (None, 3), ("a", 1), (None, 9), ("b", 2)], "g string, k long")
+    got = {(r["g"], r["k"]): r["idx"] for r in with_row_index(df, "k", partition_by=["g"]).collect()}
+    assert got == {("a", 1): 0, ("a", 5): 1, (None, 3): 0, (None, 9): 1, ("b", 2): 0}
+
+
+def test_index_needs_an_integer_key(spark):
+    with pytest.raises(TypeError):
+        with_row_index(spark.createDataFrame([("a",)], "k string"), "k")
+
+
+def test_index_plans_without_jobs_or_round_robin(spark):
+    status = spark.sparkContext.statusTracker()
+    before = len(status.getJobIdsForGroup())
+    df = with_row_index(spark.range(1000).withColumnRenamed("id", "k"), "k")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and len(status.getJobIdsForGroup()) == before
+
+
+@pytest.mark.parametrize("n", [1, 5, 20_000])
+def test_head_limit_is_one_behaviour(spark, n):
+    rows = [(None, "z"), (3, "a"), (1, "c"), (2, None), (7, "b")]
+    df = spark.createDataFrame(rows, "k long, s string")
+    by_key = [r["k"] for r in head_limit(df, n, "k").orderBy("k").collect()]
+    assert by_key == [None, 1, 2, 3, 7][:n]
+    down = {r["k"] for r in head_limit(df, n, F.col("k").desc()).collect()}
+    assert down == set([7, 3, 2, 1, None][:n])
+    text = {r["s"] for r in head_limit(df, n, "s").collect()}
+    assert text == set([None, "a", "b", "c", "z"][:n])
+    assert head_limit(df, 0, "k").count() == 5
+
+
+def test_checkpoint_folder_is_required():
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())

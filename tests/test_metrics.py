@@ -86,9 +86,9 @@ def test_seed_summary_and_wide(spark):
 
 
 def test_column_letters(spark):
-    df = spark.createDataFrame([(n,) for n in (1, 26, 27, 52, 53, 702)], "n int")
+    df = spark.createDataFrame([(n,) for n in (1, 26, 27, 52, 53, 702, 703, 18_278, 18_279)], "n int")
     got = [r["c"] for r in df.select(M.column_letter(F.col("n")).alias("c")).collect()]
-    assert got == ["A", "Z", "AA", "AZ", "BA", "ZZ"]
+    assert got == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ", "AAAA"]
 
 
 def test_score_summary_population_std_and_null_columns(spark):
@@ -115,3 +115,33 @@ def test_score_tables_drop_independently(spark):
     assert mean.columns == ["explainer", "e0", "e1"] and std.columns == ["explainer", "e0", "e1"]
     got = {r["explainer"]: r["e0"] for r in std.collect()}
     assert got["lime"] == pytest.approx(1.0)
+
+
+def test_results_wide_takes_the_seeds_present(spark):
+    rows = [("a", s, float(s)) for s in (1, 2, 3, 4)] + [("b", 1, 1.0), ("b", 2, 3.0)]
+    df = spark.createDataFrame(rows, "target string, seed int, value double")
+    got = {r["target"]: r for r in M.results_wide(df, ["target"], seeds=(1, 2, 3, 4)).collect()}
+    assert got["a"]["mean"] == pytest.approx(2.5) and got["a"]["seed_4"] == 4.0
+    assert got["b"]["mean"] == pytest.approx(2.0) and got["b"]["seed_3"] is None
+    with pytest.raises(Exception, match="seed not listed: 4"):
+        M.results_wide(df, ["target"]).collect()
+
+
+def test_unlisted_evaluator_raises(spark):
+    df = spark.createDataFrame([("lime", "e0", 1.0), ("lime", "e9", 3.0)],
+                               "explainer string, evaluator string, score double")
+    with pytest.raises(Exception, match="evaluator not listed: e9"):
+        M.score_summary(df, "explainer", "evaluator", "score", ["e0"])
+
+
+def test_macro_counts_every_class_present(spark):
+    df = spark.createDataFrame([(0, 0), (2, 2), (2, 3), (3, 0)], "y int, p int")
+    f1 = {0: 2 / 3, 2: 2 / 3, 3: 0.0}
+    assert M.f1_macro(df).first()["macro_f1"] == pytest.approx(sum(f1.values()) / 3)
+
+
+def test_aux_scope_is_vast_only(spark):
+    df = spark.createDataFrame([("a", 0, 0), ("b", 2, 2)], "target string, y int, p int")
+    other = M.evaluate(df, "SemEval2016", aux_eval=True, per_target=True).collect()
+    assert {r["name"] for r in other if r["scope"] == "target"} == {"a", "b"}
+    assert not [r for r in other if r["scope"] == "class"]

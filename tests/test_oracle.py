@@ -13,8 +13,9 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import compare, duck  # noqa: E402
 
-ORACLES = E.oracle_sql()
-NO_SQL = sorted(set(E.queries()) - set(ORACLES))
+from stanceflow.plans.queries import ORACLES, QUERIES  # noqa: E402
+
+NO_SQL = sorted(set(QUERIES) - set(ORACLES))
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +25,7 @@ def con():
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query_matches_duckdb(spark, con, key):
-    status, n_spark, n_duck, _, msg = compare(spark, con, SF_SMALL, key, E.queries()[key], ORACLES[key])
+    status, n_spark, n_duck, _, msg = compare(spark, con, SF_SMALL, key, QUERIES[key], ORACLES[key])
     assert status == "OK", msg
 
 

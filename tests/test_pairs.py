@@ -1,7 +1,5 @@
-"""Pair encoding, span edges and target-aware attention."""
+"""Pair encoding, span edges and head masks."""
 
-import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -60,41 +58,6 @@ def test_head_mask_follows_label(spark):
     assert sum(r["on"] for r in E.head_mask(spark, None).collect()) == 144
 
 
-def _numpy_attention(v, s0, s1, alpha, mode):
-    v = np.array(v)
-    d = v.shape[1]
-    m = np.zeros((len(v), len(v)))
-    if s1 is not None:
-        m[s0:s1, s0:s1] = 1.0
-    raw = v @ v.T
-    sc = (raw + alpha * m) / np.sqrt(d) if mode == "pre" else raw / np.sqrt(d) + alpha * m
-    w = np.exp(sc - sc.max(axis=1, keepdims=True))
-    w = w / w.sum(axis=1, keepdims=True)
-    return w @ v
-
-
-@pytest.mark.parametrize("engine", ["jvm", "arrow"])
-@pytest.mark.parametrize("mode", ["pre", "post"])
-def test_attention_matches_numpy(spark, mode, engine):
-    rng = np.random.default_rng(3)
-    rows = [(i, rng.normal(size=(7, 5)).tolist(), 2, 5) for i in range(4)] + [(9, rng.normal(size=(3, 5)).tolist(),
-                                                                              4, None)]
-    df = spark.createDataFrame(rows, "doc_id long, vectors array<array<double>>, span_start int, span_end int")
-    got = {r["doc_id"]: np.array(r["attn_out"])
-           for r in E.target_aware_attention(df, alpha=0.7, scale_mode=mode, engine=engine).collect()}
-    for i, v, s0, s1 in rows:
-        assert np.allclose(got[i], _numpy_attention(v, s0, s1, 0.7, mode), atol=1e-12)
-
-
-def test_alpha_zero_is_plain_attention(spark):
-    rng = np.random.default_rng(5)
-    v = rng.normal(size=(6, 4)).tolist()
-    df = spark.createDataFrame([(0, v, 1, 4), (1, v, None, None)], "doc_id long, vectors array<array<double>>, "
-                               "span_start int, span_end int")
-    out = {r["doc_id"]: np.array(r["attn_out"]) for r in E.target_aware_attention(df, alpha=0.0).collect()}
-    assert np.allclose(out[0], out[1])
-
-
 def test_ta_bias_cells(spark):
     df = spark.createDataFrame([(1, 3, 6), (2, 4, None), (3, 5, 5)], "doc_id long, span_start int, span_end int")
     cells = E.ta_bias_cells(E.ta_bias(df, 0.4)).collect()
@@ -116,3 +79,11 @@ def test_span_needs_matching_model(spark):
     wrong = E.target_span(enc, model="Bert").first()
     assert (ok["span_start"], ok["span_end"]) == (3, 4)
     assert wrong["span_start"] is None and wrong["span_end"] is None
+
+
+def test_head_mask_multiplies_each_row(spark):
+    df = spark.createDataFrame([(1, 3, 6), (2, 4, None)], "doc_id long, span_start int, span_end int")
+    rows = E.head_mask_bias(E.ta_bias(df, 0.5), ["0.50l_0.25h"]).collect()
+    assert len(rows) == 288
+    assert sum(r["bias_mass"] for r in rows if r["doc_id"] == 1) == 18 * 0.5 * 9
+    assert all(r["bias_mass"] == 0 for r in rows if r["doc_id"] == 2 or not r["on"])

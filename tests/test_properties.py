@@ -1,12 +1,9 @@
-"""Property tests (hypothesis): metric ranges, micro = accuracy, attention
-outputs are convex combinations of the value vectors."""
+"""Property tests (hypothesis): metric ranges, micro = accuracy."""
 
-import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stanceflow.operators import metrics as M
-from stanceflow.operators import pairs as E
 
 labels = st.lists(st.tuples(st.integers(0, 2), st.integers(-1, 2)), min_size=1, max_size=40)
 
@@ -22,16 +19,3 @@ def test_f1_in_unit_interval_and_micro_is_accuracy(spark, rows):
     assert abs(micro - acc) < 1e-12
     for col, df2 in (("macro_f1", M.f1_macro(df)), ("macro_f1", M.f1_macro(df, labels=[0, 1, 2]))):
         assert 0.0 <= df2.first()[col] <= 1.0
-
-
-@settings(max_examples=8, deadline=None)
-@given(n=st.integers(1, 6), d=st.integers(1, 4), alpha=st.floats(0, 3), seed=st.integers(0, 1000))
-def test_attention_is_convex_combination(spark, n, d, alpha, seed):
-    rng = np.random.default_rng(seed)
-    v = rng.normal(size=(n, d)).tolist()
-    df = spark.createDataFrame([(0, v, 0, n)], "doc_id long, vectors array<array<double>>, span_start int, "
-                                               "span_end int")
-    out = np.array(E.target_aware_attention(df, alpha=alpha).first()["attn_out"])
-    arr = np.array(v)
-    assert out.shape == arr.shape
-    assert np.all(out <= arr.max(axis=0) + 1e-9) and np.all(out >= arr.min(axis=0) - 1e-9)

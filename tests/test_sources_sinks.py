@@ -21,7 +21,7 @@ def test_labelled_csv_positional_and_aux(spark, tmp_dir):
     p3 = os.path.join(tmp_dir, "three.csv")
     _write_csv(p3, ["Tweet", "Target", "Stance"], [["café \"quoted\", x", "Atheism", "AGAINST"],
                                                    ["line\nbreak", "Atheism", "FAVOR"]], encoding="iso-8859-1")
-    df = S.read_labelled_csv(spark, p3)
+    df = S.read_labelled_csv(spark, p3, multiline=True)
     rows = df.orderBy("stance").collect()
     assert df.columns == ["text", "target", "stance", "target_id"]
     assert rows[0]["text"] == "café \"quoted\", x" and rows[0]["target_id"] == 1
@@ -48,7 +48,7 @@ def test_nested_aspects_and_flat_sink(spark, tmp_dir):
     p = os.path.join(tmp_dir, "a.json")
     with open(p, "w") as f:
         json.dump(doc, f)
-    flat = S.flatten_aspects(S.read_aspect_json(spark, p))
+    flat = S.flatten_aspects(S.read_aspect_json(spark, p, array=True))
     assert sorted((r["aspect"], r["polarity"]) for r in flat.collect()) == [
         ("bad staff", "NEG"), ("food", "POS"), ("food", "POS")]
     out = os.path.join(tmp_dir, "flat")
@@ -101,7 +101,8 @@ def test_prediction_export_and_results(spark, tmp_dir):
 def test_vectors_first_n(spark):
     from stanceflow.operators.pairs import read_vectors
     df = spark.createDataFrame([(i, "w%d" % i) for i in range(10, 0, -1)], "rank int, token string")
-    assert [r["rank"] for r in read_vectors(df, 3).collect()] == [1, 2, 3]
+    assert sorted(r["rank"] for r in read_vectors(df, 3).collect()) == [1, 2, 3]
+    assert read_vectors(df, 100).count() == 10
 
 
 def test_large_first_n_uses_row_index(spark):
@@ -120,3 +121,26 @@ def test_score_table_pair(spark, tmp_dir):
     K.write_score_table_pair(mean, std, os.path.join(tmp_dir, "scores"))
     back = spark.read.option("header", True).csv(os.path.join(tmp_dir, "scores", "mean"))
     assert back.columns == ["explainer", "e0", "e1"] and back.count() == 2
+
+
+def test_dictionary_readers(spark, tmp_dir):
+    j, t = os.path.join(tmp_dir, "d.json"), os.path.join(tmp_dir, "d.tsv")
+    with open(j, "w") as f:
+        json.dump({"u": "you", "b4": "before", "lol": ""}, f, indent=1)
+    with open(t, "w") as f:
+        f.write("u\tyou \"all\" \nidk\ti do not know\n")
+    assert {tuple(r) for r in S.read_dictionary_json(spark, j).collect()} == {
+        ("u", "you"), ("b4", "before"), ("lol", "")}
+    assert {tuple(r) for r in S.read_dictionary_tsv(spark, t).collect()} == {
+        ("u", 'you "all"'), ("idk", "i do not know")}
+
+
+def test_labelled_rows_from_json_lines_and_parquet(spark, tmp_dir):
+    rows = [{"a_text": "x", "b_target": "t", "c_label": "FAVOR"}]
+    p = os.path.join(tmp_dir, "rows.jsonl")
+    with open(p, "w") as f:
+        f.write("\n".join(map(json.dumps, rows)))
+    q = os.path.join(tmp_dir, "rows.parquet")
+    spark.read.json(p).write.parquet(q)
+    for path in (p, q):
+        assert tuple(S.read_labelled_csv(spark, path).first()) == ("x", "t", "FAVOR", 1)

@@ -3,6 +3,8 @@ parity with Python's ``re`` over whole documents."""
 
 import re
 
+import pytest
+
 from conftest import SF_SMALL
 from stanceflow.functions.text import (
     TOKEN_PATTERN, clean_aspect_tokens, clean_stance_tokens, normalize_tokens, tokenize,
@@ -35,6 +37,8 @@ def test_separators_only_and_null(spark):
 def test_reserved_words_and_urls(spark):
     toks = _tokens(spark, "RT @user: see https://x.co/a?b=1 FAV fav", lambda c: clean_stance_tokens(c))
     assert toks == ["@user", "see", "fav"]
+    toks = _tokens(spark, "RT2020 ÉRT FAVÉ RT_x HTTP://a.b/c RT RT\nFAV", lambda c: clean_stance_tokens(c))
+    assert toks == ["rt", "2020", "rt", "fav", "rt", "x"]
 
 
 def test_dictionary_single_pass(spark):
@@ -77,3 +81,26 @@ def test_cap_and_profile(spark):
     assert prof["max_len"] == 130 and prof["avg_len"] == 52.5 and prof["n_over_cap"] == 1 and not prof["overflow"]
     prof2 = T.length_profile(df, [], "tokens", "SemEval2016").first()
     assert prof2["overflow"] and prof2["avg_len"] == 67.5
+
+
+def test_dictionary_join_is_safe_on_keys(spark):
+    d = spark.createDataFrame([("a", "c z"), ("b", ""), ("q", None), ("a", "d"), (None, "x")],
+                              "slang string, expansion string")
+    rows = [(1, ["a"]), (1, ["b"]), (1, ["a"]), (None, ["x", "a", "q"]), (2, []), (3, None)]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    got = sorted(map(str, T.normalize_join(df, d, "id", "t", "n").collect()))
+    want = [(1, ["c", "z"]), (1, []), (1, ["c", "z"]), (None, ["x", "c", "z"]), (2, []), (3, None)]
+    assert got == sorted(f"Row(id={i}, n={n})" for i, n in want)
+
+
+def test_clean_stance_takes_a_dictionary_frame(spark):
+    df = spark.createDataFrame([("U are RT here", "U too")], "text string, target string")
+    d = spark.createDataFrame([("u", "you all"), ("too", "")], "slang string, expansion string")
+    a = T.clean_stance(df, d).first()
+    b = T.clean_stance(df, [("u", "you all"), ("too", "")]).first()
+    assert a == b and a["tokens"] == ["you", "all", "are", "here"] and a["target_tokens"] == ["you", "all"]
+
+
+def test_long_literal_dictionary_is_refused(spark):
+    with pytest.raises(ValueError, match="DataFrame"):
+        normalize_tokens("t", [(str(i), "x") for i in range(100)])

@@ -8,6 +8,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections import OrderedDict
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,22 +56,29 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def worker_store() -> dict:
+#: Objects that a worker process keeps; the one unused for longest goes first.
+KEPT = 6
+
+
+def worker_store() -> OrderedDict:
     """A dictionary that lives as long as the Python worker process, so caches
     outlast one task. (Functions pickled by value get fresh globals per task;
     this one hangs on an entry of ``sys.modules``.)"""
     name = "_stanceflow_llm_worker"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
-        sys.modules[name].store = {}
+        sys.modules[name].store = OrderedDict()
     return sys.modules[name].store
 
 
 def cached(key, make):
-    """``worker_store()[key]``, made on first use in this worker process."""
+    """The worker's object of that key, made when it has none."""
     store = worker_store()
     if key not in store:
         store[key] = make()
+        while len(store) > KEPT:
+            store.popitem(last=False)
+    store.move_to_end(key)
     return store[key]
 
 

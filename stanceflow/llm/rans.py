@@ -30,6 +30,7 @@ empty table gives an empty file; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -41,14 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from stanceflow.llm.bpe import PIECE_TABLE, slices
+from stanceflow.llm.bpe import slices
 from stanceflow.llm.common import Shared, cached, staged
-from stanceflow.llm.counts import pieces
 
-BITS = 20
-LANES = 512
-BLOCK_SYMBOLS = 1 << 18
-CHECKPOINT = 128
+BITS = 18
+LANES = 2048
+BLOCK_SYMBOLS = 1 << 20
+CHECKPOINT = 256
 LOW = 1 << 31
 MAGIC = b"RTB1"
 
@@ -56,34 +56,91 @@ MAGIC = b"RTB1"
 # ---- tokenizing with the tokenizers library
 
 class Tokens:
-    """Ids by the library, piece by piece: byte-level files cut before every
-    single space, so each distinct piece is encoded once per worker table."""
-
-    def __init__(self, data: bytes):
+    """Ids by the library, piece by piece. Byte-level files cut a text before
+    every single space and line end, so each distinct piece is encoded once
+    while it stays in the worker's table. The table has a young and an old
+    half: when the young one is full it becomes the old one, and pieces still
+    in use move back."""
+
+    def __init__(self, data: bytes, width: str = "<u4"):
+        self.width = width
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # a line end of one token can separate the pieces of one call
+        end = self.library("\n")
+        self.line_end = end[0] if len(end) == 1 else None
+        self.single = end.tobytes()
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids,
+                        dtype=self.width)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces, many in one call: each starts with a line end there,
+        which is part of it only if it is the piece's own."""
+        self.young["\n"] = self.single  # beside another one it would not stand alone
+        pieces = [p for p in pieces if p != "\n"]
+        for at in range(0, len(pieces), JOINED):
+            part = pieces[at:at + JOINED]
+            ids = self.library("".join([p if p[:1] == "\n" else "\n " + p for p in part]))
+            size = ids.itemsize
+            starts = (size * np.flatnonzero(ids == self.line_end)).tolist()
+            if len(starts) != len(part):
+                raise ValueError("the tokenizer joins line ends with other text")
+            data = ids.tobytes()
+            self.young.update(zip(part, [data[a if p[:1] == "\n" else a + size:b] for p, a, b in zip(
+                part, starts, [*starts[1:], len(data)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > PIECE_TABLE:
-            known.clear()
-        cut = [pieces(t) for t in texts]
-        found = [list(map(known.get, c[1:])) for c in cut]
-        new = list({p for c, f in zip(cut, found, strict=True) if None in f
-                    for p, b in zip(c[1:], f, strict=True) if b is None})
-        fresh = dict(zip(new, self.library([" " + p for p in new]), strict=True))
-        first = self.library([c[0] for c in cut])
-        known.update(fresh)
-        return [head + b"".join([fresh[p] if b is None else b for p, b in zip(c[1:], f, strict=True)] if None in f else f)
-                for head, c, f in zip(first, cut, found, strict=True)]
+        """Ids of each text as little-endian integers of the table's width."""
+        if len(self.young) > HALF_TABLE:
+            self.old, self.young = self.young, {}
+        young, cut = self.young, []
+        for text in texts:
+            if self.line_end is None or irregular(text):
+                cut.append(None)
+                continue
+            # a piece "w" stands for " w", a piece "\nw" for itself; the first
+            # word borrows a line end, which is dropped again below
+            parts = ("\n" + text.replace("\n", " \n")).split(" ")
+            cut.append(parts)
+        # the large table is asked once for each distinct piece of the run
+        here = list(set().union(*[parts for parts in cut if parts is not None]))
+        new = set(here).difference(young)
+        known = new.intersection(self.old)
+        young.update((p, self.old[p]) for p in known)
+        self.learn(list(new - known))
+        ids = dict(zip(here, map(young.__getitem__, here), strict=True)).__getitem__
+        lent = len(self.single)
+        return [self.library(t).tobytes() if parts is None else b"".join(map(ids, parts))[lent:]
+                for t, parts in zip(texts, cut, strict=True)]
+
+
+#: Pieces in each half of a worker's table, and in one call of the library.
+HALF_TABLE = 350_000
+JOINED = 10_000
+
+#: Characters of text handled at a time.
+TEXT_RUN = 4_000_000
+
+#: White space other than the space and the line end.
+OTHER_SPACE = re.compile(r"[^\S \n]").search
+CONTROL_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def irregular(text: str) -> bool:
+    """Whether a text has white space that is not one space or line end
+    between other characters, or a special string's bracket: the library then
+    gets the whole text."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "<|" in text:
+        return True
+    if text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+        return bool(text)
+    return any(c in text for c in CONTROL_SPACE) or not text.isascii() and bool(OTHER_SPACE(text))
 
 
 def tokenize(docs: DataFrame, path: str, key: str, text: str, end_id: int | None) -> DataFrame:
@@ -92,15 +149,15 @@ def tokenize(docs: DataFrame, path: str, key: str, text: str, end_id: int | None
         data = f.read()
     tables = docs.sparkSession.sparkContext.broadcast(data)  # the vocabulary file: its size is fixed
     width = id_width(Tokenizer.from_buffer(data).get_vocab_size(with_added_tokens=True))
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
+    tail = b"" if end_id is None else np.array([end_id], dtype=width).tobytes()
     schema = T.StructType([T.StructField("doc_key", T.LongType()), T.StructField("ids", T.BinaryType())])
     name = ("tokens", zlib.crc32(data), len(data))
 
     def run(batches):
-        tokens = cached(name, lambda: Tokens(tables.value))
+        tokens = cached(name, lambda: Tokens(tables.value, width))
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
-                ids = [np.frombuffer(b + tail, dtype="<u4").astype(width).tobytes() for b in tokens.encode(texts)]
+            for at, texts in slices(batch.column(1), TEXT_RUN):
+                ids = [b + tail for b in tokens.encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary())],
                                                  names=["doc_key", "ids"])
 
@@ -118,9 +175,8 @@ def count_ids(tokens: DataFrame, symbols: int) -> DataFrame:
     def run(batches):
         total = np.zeros(symbols, dtype=np.int64)
         for batch in batches:
-            for b in batch.column(0):
-                total += 0 if not len(b.as_buffer()) else np.bincount(np.frombuffer(b.as_buffer(), dtype=width),
-                                                                      minlength=symbols)
+            ids = b"".join(batch.column(0).to_pylist())
+            total += np.bincount(np.frombuffer(ids, dtype=width), minlength=symbols)
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())],
                                          names=["id", "n"])
@@ -154,18 +210,22 @@ class Table:
                 gap += cut
                 i = (i + 1) % len(order)
         self.bits = bits
+        self._fill(freq)
+
+    def _fill(self, freq: np.ndarray) -> None:
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(counts), dtype=np.uint32), freq)
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        # by slot, so that a decoding step is one look-up
+        self.slot_freq = np.repeat(freq, freq).astype(np.uint32)
+        self.slot_rest = (np.arange(len(self.symbol)) - np.repeat(self.start.astype(np.int64), freq)).astype(np.uint32)
 
     def __getstate__(self):
         return {"bits": self.bits, "freq": self.freq}
 
     def __setstate__(self, state):
-        freq = state["freq"].astype(np.int64)
-        self.bits, self.freq = state["bits"], state["freq"]
-        self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.bits = state["bits"]
+        self._fill(state["freq"].astype(np.int64))
 
 
 def encode_stream(ids: np.ndarray, table: Table, lanes: int = LANES,
@@ -211,14 +271,15 @@ def decode_stream(stream: np.ndarray, marks: list[tuple[int, np.ndarray]], n: in
     for r in range(first * every, stop):
         m = min(lanes, n - r * lanes)
         x = state[:m]
-        slot = x & mask
-        sym = table.symbol[slot]
-        out[at:at + m] = sym
+        slot = (x & mask).astype(np.int64)
+        out[at:at + m] = table.symbol[slot]
         at += m
-        x = table.freq[sym] * (x >> bits) + slot - table.start[sym]
+        x = table.slot_freq[slot] * (x >> bits) + table.slot_rest[slot]
         low = x < LOW
         k = int(np.count_nonzero(low))
         if k:
+            if place + k > len(stream):
+                raise ValueError("a token block is damaged: its stream ends before the checksum")
             x[low] = (x[low] << np.uint64(32)) | stream[place:place + k]
             place += k
         state[:m] = x

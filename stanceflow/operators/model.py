@@ -18,11 +18,33 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEXT_FEATURES = 1 << 14
-TARGET_FEATURES = 1 << 10
+#: Hash slots by default. Terms share slots once there are about as many as
+#: slots; pass more for larger vocabularies.
+TEXT_FEATURES = 1 << 16
+TARGET_FEATURES = 1 << 11
+
+
+def ta_features(df: DataFrame, alpha: float = 0.5, key: str = "doc_id", tokens: str = "tokens",
+                target_tokens: str = "target_tokens") -> DataFrame:
+    """M1 without hashing, as long rows (key, term, weight): the text's term
+    counts by inverse document frequency, ln((n + 1) / (df + 1)), plus the
+    target's term counts by 1 + alpha. ``key`` names a row.
+
+    Counts combine on the map side; a term that most texts hold is one row of
+    the frequency table and the key of a plain join."""
+    def counts(col):
+        return df.select(key, F.explode(col).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    text, target = counts(tokens), counts(target_tokens)
+    n = df.agg(F.count(F.lit(1))).scalar()
+    idf = text.groupBy("term").agg(F.count(F.lit(1)).alias("df")) \
+        .select("term", F.log((n + 1) / (F.col("df") + 1)).alias("idf"))
+    weighted = text.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    aimed = target.select(key, "term", (F.col("tf") * F.lit(1.0 + alpha)).alias("weight"))
+    return weighted.unionByName(aimed).groupBy(key, "term").agg(F.sum("weight").alias("weight"))
 
 
 def with_feature_tokens(df: DataFrame, tokens: str = "tokens", target_tokens: str = "target_tokens") -> DataFrame:
@@ -30,26 +52,28 @@ def with_feature_tokens(df: DataFrame, tokens: str = "tokens", target_tokens: st
     return df.withColumn("_overlap", F.array_intersect(F.col(tokens), F.col(target_tokens)))
 
 
-def feature_pipeline(alpha: float = 0.5, tokens: str = "tokens", target_tokens: str = "target_tokens") -> list:
+def feature_pipeline(alpha: float = 0.5, tokens: str = "tokens", target_tokens: str = "target_tokens",
+                     text_features: int = TEXT_FEATURES, target_features: int = TARGET_FEATURES) -> list:
     """M1: hashed text TF-IDF, target TF scaled by 1 + alpha, overlap TF."""
-    scale = Vectors.dense(np.full(TARGET_FEATURES, 1.0 + alpha))
+    scale = Vectors.dense(np.full(target_features, 1.0 + alpha))
     return [
-        HashingTF(inputCol=tokens, outputCol="_tf_text", numFeatures=TEXT_FEATURES),
+        HashingTF(inputCol=tokens, outputCol="_tf_text", numFeatures=text_features),
         IDF(inputCol="_tf_text", outputCol="_idf_text", minDocFreq=1),
-        HashingTF(inputCol=target_tokens, outputCol="_tf_target", numFeatures=TARGET_FEATURES),
+        HashingTF(inputCol=target_tokens, outputCol="_tf_target", numFeatures=target_features),
         ElementwiseProduct(inputCol="_tf_target", outputCol="_w_target", scalingVec=scale),
-        HashingTF(inputCol="_overlap", outputCol="_tf_overlap", numFeatures=TARGET_FEATURES),
+        HashingTF(inputCol="_overlap", outputCol="_tf_overlap", numFeatures=target_features),
         VectorAssembler(inputCols=["_idf_text", "_w_target", "_tf_overlap"], outputCol="features"),
     ]
 
 
 def train_classifier(df: DataFrame, label: str = "y", alpha: float = 0.5, max_iter: int = 50,
-                     reg: float = 0.01, tokens: str = "tokens", target_tokens: str = "target_tokens") -> PipelineModel:
+                     reg: float = 0.01, tokens: str = "tokens", target_tokens: str = "target_tokens",
+                     text_features: int = TEXT_FEATURES, target_features: int = TARGET_FEATURES) -> PipelineModel:
     """M2: three-class cross-entropy (multinomial logistic regression)."""
     lr = LogisticRegression(featuresCol="features", labelCol=label, family="multinomial", maxIter=max_iter,
                             regParam=reg, elasticNetParam=0.0, predictionCol="_pred", probabilityCol="_prob",
                             rawPredictionCol="_raw")
-    pipe = Pipeline(stages=[*feature_pipeline(alpha, tokens, target_tokens), lr])
+    pipe = Pipeline(stages=[*feature_pipeline(alpha, tokens, target_tokens, text_features, target_features), lr])
     return pipe.fit(with_feature_tokens(df, tokens, target_tokens).withColumn(label, F.col(label).cast("double")))
 
 
@@ -61,6 +85,14 @@ def score_classifier(model: PipelineModel, df: DataFrame, tokens: str = "tokens"
     return scored.select(*keep, vector_to_array("_raw").alias("logits"), F.col("_pred").cast("int").alias(out))
 
 
+def log_loss(logits: str = "logits", y: str = "y") -> Column:
+    """Cross-entropy of one row from its logits."""
+    lg = F.col(logits)
+    top = F.array_max(lg)
+    total = F.aggregate(lg, F.lit(0.0), lambda a, v: a + F.exp(v - top))
+    return F.log(total) + top - F.get(lg, F.col(y))
+
+
 def seed_split(df: DataFrame, seed: int, key: str = "doc_id", val_share: int = 5) -> DataFrame:
     """Per-seed train / validation assignment: md5('seed:key') decides, so
     each seed sees a different, repeatable validation fold."""

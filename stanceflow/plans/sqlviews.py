@@ -26,7 +26,8 @@ PREDICTION_VIEW = """prediction_view AS (
   FROM stance_view v, grid g)"""
 
 LOGITS_VIEW = """logits_view AS (
-  SELECT vec_id, CAST(embedding[1:3] AS DOUBLE[]) AS logits, CAST(label % 3 AS INTEGER) AS y
+  SELECT vec_id, list_transform(range(3), lambda c: list_sum(list_transform(range(c, len(embedding), 3),
+           lambda i: CAST(embedding[i + 1] AS DOUBLE)))) AS logits, CAST(label % 3 AS INTEGER) AS y
   FROM embeddings)"""
 
 

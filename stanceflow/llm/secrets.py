@@ -188,13 +188,13 @@ def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """``docs`` with every found secret replaced by its ``[kind]`` mark and
     ``n_chars`` (if there) brought up to date; clean rows are unchanged.
 
-    The findings (only blobs with secrets) are written first, so that Spark
-    knows their size: while small, the texts are not shuffled to meet them."""
+    Rows meet the findings (one row per blob with secrets) in a merge join:
+    they grow with the corpus, so they are broadcast at no size."""
     cols = docs.columns
     blob, spans = free_name("_blob", cols), free_name("_spans", cols)
-    found = staged(scan(docs, [], text).findings, "secrets").select(F.col("blob_id").alias(blob), F.col("spans").alias(spans))
+    found = scan(docs, [], text).findings.select(F.col("blob_id").alias(blob), F.col("spans").alias(spans))
     keyed = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-    out = keyed.join(found, blob, "left")
+    out = keyed.join(found.hint("merge"), blob, "left")
     hit = F.col(spans).isNotNull()
     new = F.when(hit, redact(F.col(text), F.col(spans))).otherwise(F.col(text))
     out = out.withColumn(text, new)

@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,17 +178,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
                   bits: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the
-    smallest key (of repeated rows with that key, any one). Rows without a key
-    stay."""
-    marked = staged(groups(docs, key, text, shingle, bits).groupBy(key, "component_id")
-                    .agg(F.count(F.lit(1)).alias("n")), "marked")
-    gone = marked.where(F.col("component_id") != F.col(key)).select(key)
-    kept = marked.where(F.col("component_id") == F.col(key))
-    # the same key on several rows: those few are told apart by their content
-    again = kept.where(F.col("n") > 1).select(key)
-    alone = docs.join(gone.unionByName(again), key, "left_anti")
-    twice = docs.join(again, key, "left_semi").dropDuplicates([key])
-    return alone.unionByName(twice).select(*docs.columns)
+    smallest key (of several rows with that key, any one). Rows without a key
+    stay.
+
+    Rows meet the list of keys that go (or that are there more than once) in
+    one merge join. That list grows with the corpus, so it is broadcast at no
+    size; the texts are shuffled once."""
+    keys = groups(docs, key, text, shingle, bits).where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("component_id") == F.col(key)).alias("stays"))
+    name, again = free_name("_key", docs.columns), free_name("_again", docs.columns)
+    marked = staged(keys.where(~F.col("stays") | (F.col("n") > 1))
+                    .select(F.col(key).alias(name), F.col("stays").alias(again)), "marked")
+    met = docs.where(F.col(key).isNotNull()).join(marked.hint("merge"), F.col(key) == F.col(name), "left")
+    # the join leaves each key's rows together and in order: no further shuffle
+    place = free_name("_place", docs.columns)
+    first = met.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key))) \
+        .where(F.col(again).isNull() | (F.col(again) & (F.col(place) == 1)))
+    return first.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ class Scanner:
         self.automaton = ahocorasick.Automaton()
         by: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
-            by.setdefault(r.keyword, []).append(i)
+            for word in r.keyword.split("|"):
+                by.setdefault(word, []).append(i)
         for word, which in by.items():
             self.automaton.add_word(word, which)
         self.automaton.make_automaton()

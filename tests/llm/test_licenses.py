@@ -1,5 +1,8 @@
 import re
+from re import _constants as ops
+from re import _parser as parser
 
+import pytest
 from llm_help import EDGES, documents, frame
 
 from stanceflow.llm import licenses
@@ -54,6 +57,53 @@ def test_every_rule_needs_its_keyword():
         assert r.keyword == r.keyword.lower() and re.compile(r.pattern)
 
 
+def samples(parts):
+    """Texts of a pattern that between them take each of its alternatives."""
+    out = []
+    for op, arg in parts:
+        if op is ops.LITERAL:
+            out.append([chr(arg)])
+        elif op is ops.IN:
+            out.append([chr(x if kind is ops.LITERAL else x[0]) for kind, x in arg if kind is not ops.NEGATE])
+        elif op is ops.BRANCH:
+            out.append([t for way in arg[1] for t in samples(way)])
+        elif op is ops.SUBPATTERN:
+            out.append(samples(arg[3]))
+        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT):
+            out.append(samples(arg[2]) + [""] * (arg[0] == 0))
+    most = max(map(len, out), default=1)
+    return ["".join(o[(i + shift * k) % len(o)] for k, o in enumerate(out)) for i in range(most) for shift in (0, 1)]
+
+
+def test_prefilter_loses_no_detection():
+    rules = signatures()
+    some, every = licenses.Scanner(rules), licenses.Scanner([r._replace(keyword=" ") for r in rules])
+    texts = {t for r in rules for t in samples(parser.parse(r.pattern))}
+    assert len(texts) > 1000
+    for t in texts:
+        words = every.words(f"x {t} x")
+        assert some.scan(words) == every.scan(words), t
+
+
+@pytest.mark.parametrize("text, label", [
+    ("released under the GNU GPL", "gpl"), ("Expat License", "mit"), ("Internet Systems Consortium License", "isc"),
+    ("PSF License", "python-2"), ("do what the fuck you want to public license", "wtfpl"),
+    ("Open RAIL-M", "openrail"), ("SPDX-Licence-Identifier: MIT", "mit"),
+    ("https://choosealicense.com/licenses/mit", "mit"),
+    ("All advertising materials mentioning features or use of this software must display", "bsd-4-clause"),
+    ("Neither the name of " + "the long-named institute " * 9 + "may be used to endorse or promote products",
+     "bsd-3-clause")])
+def test_forms_without_the_usual_word(text, label):
+    scanner = licenses.Scanner(signatures())
+    assert [d[2] for d in scanner.scan(scanner.words(text))[1]] == [label]
+
+
+def test_name_of_a_bsd_notice_ends():
+    scanner = licenses.Scanner(signatures())
+    text = "neither the name of x. This software is provided as is. The names may be used to endorse or promote products"
+    assert scanner.scan(scanner.words(text))[1] == []
+
+
 def test_edges(spark):
     out = {r.doc_id: r for r in licenses.digest(frame(spark, EDGES, extra=True)).collect()}
     assert out[1].n_words == 0 and out[1].first_word is None and out[1].score == 0.0

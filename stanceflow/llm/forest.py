@@ -8,9 +8,11 @@ its own. Then it comes up in all trees together: the length falls, the same in
 every tree, until the trees hold at least ``share`` times as many matches as
 there are vectors. What matches at that length is scored exactly.
 
-A tree's array is cut into pieces of at most ``PIECE`` strings by a hash of the
-vector's key; piece and tree make one group, so no task holds a whole tree, and
-all work on queries is against such blocks. Equal vectors are one entry with
+A tree's array is cut into pieces of about ``PIECE`` strings by a hash of the
+vector's key, and the queries likewise into blocks of about ``BLOCK``; tree,
+piece and block make one group, which gives at most ``k`` + 1 candidates per
+query, so a task's size does not grow with the table. Every query meets every
+piece: what is shuffled grows with queries times vectors (README). Equal vectors are one entry with
 their smallest keys, however many there are.
 
 ``share`` trades work for recall and depends on how clustered the vectors are,
@@ -40,6 +42,8 @@ TREES = 24
 BITS = 24
 SHARE = 1.5
 PIECE = 65_536
+#: Queries in a block; as large as a piece, the copies of both sides are fewest.
+BLOCK = 65_536
 SEED = 11
 
 
@@ -84,7 +88,8 @@ def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20,
-           trees: int = TREES, bits: int = BITS, share: float = SHARE, piece: int = PIECE) -> DataFrame:
+           trees: int = TREES, bits: int = BITS, share: float = SHARE, piece: int = PIECE,
+           block: int = BLOCK) -> DataFrame:
     """For each row whose key is divisible by ``every``: query_id, rank,
     vec_id, score of the ``k`` largest inner products found."""
     rows = staged(valid(vectors, key, vector), "vectors")
@@ -99,20 +104,22 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
                 names=["vec", "cid", "asks", "strings"])
 
     base = staged(classes.mapInArrow(add_strings, "vec binary, cid long, asks boolean, strings binary"), "forest")
-    n = base.count()
-    pieces = max(1, -(-n // piece))
+    n, n_asks = base.agg(F.count(F.lit(1)), F.count_if("asks")).first()
+    pieces, blocks = max(1, -(-n // piece)), -(-n_asks // block)
     least = max(int(np.ceil(share * n)), trees * (k + 1))
 
     def entries(batches):
-        """Index: one row per vector and tree."""
+        """Index: one row per vector, tree and block of queries."""
         for batch in batches:
             cids = batch.column(1).to_numpy()
             strings = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i8").reshape(len(cids), trees)
             for t in range(trees):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(cids), t, np.int32)), batch.column(4),
-                     pa.array(strings[:, t]), pa.array(cids), batch.column(0)],
-                    names=["tree", "piece", "string", "cid", "vec"])
+                for b in range(blocks):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(cids), t, np.int32)), batch.column(4),
+                         pa.array(np.full(len(cids), b, np.int32)), pa.array(strings[:, t]), pa.array(cids),
+                         batch.column(0)],
+                        names=[*group, "string", "cid", "vec"])
 
     def asked(batches):
         """Queries: one row per vector, tree and piece."""
@@ -123,13 +130,16 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
                 for p in range(pieces):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(cids), t, np.int32)), pa.array(np.full(len(cids), p, np.int32)),
-                         pa.array(strings[:, t]), batch.column(0), *batch.columns[2:]],
-                        names=["tree", "piece", "string", *[c for c in batch.schema.names if c != "strings"]])
+                         batch.column(2), pa.array(strings[:, t]), batch.column(0), *batch.columns[3:]],
+                        names=[*group, "string", "cid", *batch.schema.names[3:]])
 
-    place = F.pmod(F.xxhash64("cid"), F.lit(pieces)).cast("int")
-    index = base.withColumn("piece", place).mapInArrow(
-        entries, "tree int, piece int, string long, cid long, vec binary")
-    asks = base.where("asks").select("cid", "strings")
+    group = ["tree", "piece", "block"]
+    slots = "tree int, piece int, block int, string long, cid long"
+    index = base.withColumn("piece", F.pmod(F.xxhash64("cid"), F.lit(pieces)).cast("int")).mapInArrow(
+        entries, f"{slots}, vec binary")
+    # another hash than that of the pieces
+    asks = base.where("asks").select("cid", "strings", F.pmod(F.xxhash64("cid", F.lit(SEED)), F.lit(max(1, blocks)))
+                                     .cast("int").alias("block"))
 
     def bounds(own: np.ndarray, strings: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
         """Where the strings with the first ``level`` bits of ``own`` stand."""
@@ -147,8 +157,8 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
         return pa.table(out)
 
     levels = [f"n{level}" for level in range(bits + 1)]
-    matches = asks.mapInArrow(asked, "tree int, piece int, string long, cid long").groupBy("tree", "piece").cogroup(
-        index.select("tree", "piece", "string").groupBy("tree", "piece")).applyInArrow(
+    matches = asks.mapInArrow(asked, slots).groupBy(*group).cogroup(
+        index.select(*group, "string").groupBy(*group)).applyInArrow(
             descend, "cid long, " + ", ".join(f"{c} long" for c in levels))
     total = matches.groupBy("cid").agg(*[F.sum(c).alias(c) for c in levels])
     # matches only grow on the way up: as many levels as still have enough
@@ -171,18 +181,24 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
                     which = rows_[at:at + 256]
                     scores = q[which] @ x[a:b].T
                     keep = min(k + 1, b - a)
-                    # ties at the edge: all that reach the last kept score
+                    # ties at the edge: of all that reach the last kept score, the smallest keys
                     edge = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
                     r, c = np.nonzero(scores >= edge[:, None])
+                    if len(r) > keep * len(which):
+                        by = np.lexsort((cids[a:b][c], -scores[r, c], r))
+                        r, c = r[by], c[by]
+                        good = np.arange(len(r)) - np.searchsorted(r, r) < keep
+                        r, c = r[good], c[good]
                     found["qid"].append(qids[which][r])
                     found["cid"].append(cids[a:b][c])
                     found["score"].append(scores[r, c])
         none = {"qid": np.zeros(0, np.int64), "cid": np.zeros(0, np.int64), "score": np.zeros(0)}
         return pa.table({c: pa.array(np.concatenate(v) if v else none[c]) for c, v in found.items()})
 
-    ready = asks.join(base.select("cid", "vec"), "cid").join(chosen, "cid").select("cid", "strings", "vec", "level")
-    near = ready.mapInArrow(asked, "tree int, piece int, string long, cid long, vec binary, level int") \
-        .groupBy("tree", "piece").cogroup(index.groupBy("tree", "piece")) \
+    ready = asks.join(base.select("cid", "vec"), "cid").join(chosen, "cid") \
+        .select("cid", "strings", "block", "vec", "level")
+    near = ready.mapInArrow(asked, f"{slots}, vec binary, level int") \
+        .groupBy(*group).cogroup(index.groupBy(*group)) \
         .applyInArrow(ascend, "qid long, cid long, score double") \
         .groupBy("qid", "cid").agg(F.max("score").alias("score"))
     by_query = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from llm_help import SF
 
@@ -37,6 +39,25 @@ def test_pieces_give_the_same_answer(spark):
     assert a == b
 
 
+def test_query_blocks_bound_the_groups(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").limit(300)
+    a, b = (forest.search(df, every=2, piece=64, block=n) for n in (65_536, 8))
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in a.collect()) \
+        == sorted((r.query_id, r.rank, r.vec_id) for r in b.collect())
+    # both cogroups are keyed by tree, piece and block of queries
+    plan = b._jdf.queryExecution().analyzed().toString()
+    cogroups = [line for line in plan.split("\n") if "CoGroupsInArrow" in line]
+    assert len(cogroups) == 2 and all(re.search(r"tree#\d+, piece#\d+, block#\d+", line) for line in cogroups)
+
+
+def test_many_ties_at_the_edge(spark):
+    """More equal scores than are kept: the smallest keys stay, in any cut."""
+    rows = [(i, [1.0, float(i)], "x") for i in range(1, 400)] + [(1000, [1.0, 0.0], "x")]
+    for piece, block in ((65_536, 65_536), (32, 1)):
+        got = forest.search(spark.createDataFrame(rows, SCHEMA), every=1000, share=1e6, piece=piece, block=block)
+        assert [r.vec_id for r in got.orderBy("rank").collect()] == list(range(1, 21))
+
+
 def test_ties_repeats_and_unusable_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(60, [0.0, 0.0]), (80, None), (100, [1.0, None]), (160, [2.0]),
             (120, [float("nan"), 1.0]), (140, [0.5, 0.5]), (161, [-1.0, 0.2]), (None, [1.0, 1.0]), (180, [])]

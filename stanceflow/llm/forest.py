@@ -22,9 +22,9 @@ more pairs than there are vectors, over all trees, to be sure of a recall of 0.9
 (README: measured).
 On clustered vectors a small fraction does.
 
-Defined results: vectors that are null, zero, of another length than the
-longest, or hold null or non-finite components take no part; repeated vectors
-tie, smaller keys first; with fewer candidates than asked, all of them; repeated
+Defined results: vectors that are null, zero, or hold null or non-finite
+components take no part; each length is searched among its own vectors, as a
+forest of its own; repeated vectors tie, smaller keys first; with fewer candidates than asked, all of them; repeated
 keys count as separate entries of their vectors; an empty table gives an empty
 frame; extra columns are ignored.
 """
@@ -50,7 +50,9 @@ SEED = 11
 def directions(tree: int, size: int, bits: int = BITS, seed: int = SEED) -> np.ndarray:
     """``bits`` random directions (columns), orthogonal as far as they can be."""
     rng = np.random.default_rng([seed, tree])
-    blocks = [np.linalg.qr(rng.normal(size=(size, size)))[0] for _ in range(-(-bits // size))]
+    # no square of a length far over the number of bits
+    wide = size if size <= 1024 else bits
+    blocks = [np.linalg.qr(rng.normal(size=(size, wide)))[0] for _ in range(-(-bits // size))]
     return np.hstack(blocks)[:, :bits]
 
 
@@ -67,15 +69,20 @@ def unpack(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype="<f8").reshape(len(values), -1) if values else np.zeros((0, 1))
 
 
+def by_size(batch: pa.RecordBatch):
+    """(size, rows) of each vector length in a batch (column ``size``)."""
+    sizes = batch.column("size").to_numpy()
+    for size in np.unique(sizes).tolist():
+        yield size, batch.filter(pa.array(sizes == size))
+
+
 def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(vec_key, vec): usable vectors, components as little-endian doubles."""
-    size = vectors.agg(F.max(F.size(vector))).first()[0] or 0
-
     def run(batches):
         for batch in batches:
             keys, out = [], []
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if k is None or not v.is_valid or len(v.values) != size or v.values.null_count:
+                if k is None or not v.is_valid or v.values.null_count:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype("<f8")
                 if np.isfinite(x).all() and x.any():
@@ -94,52 +101,61 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     vec_id, score of the ``k`` largest inner products found."""
     rows = staged(valid(vectors, key, vector), "vectors")
     query = F.col("vec_key") % every == 0
-    classes = rows.groupBy("vec").agg(F.min("vec_key").alias("cid"), F.max(query).alias("asks"))
+    classes = rows.groupBy("vec").agg(F.min("vec_key").alias("cid"), F.max(query).alias("asks")) \
+        .withColumn("size", (F.octet_length("vec") / 8).cast("int"))
 
     def add_strings(batches):
-        for batch in batches:
-            strings = hash_strings(unpack(batch.column(0)), trees, bits).astype("<i8")
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([r.tobytes() for r in strings], pa.binary())],
-                names=["vec", "cid", "asks", "strings"])
-
-    base = staged(classes.mapInArrow(add_strings, "vec binary, cid long, asks boolean, strings binary"), "forest")
-    n, n_asks = base.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    pieces, blocks = max(1, -(-n // piece)), -(-n_asks // block)
-    least = max(int(np.ceil(share * n)), trees * (k + 1))
+        for whole in batches:
+            for _, batch in by_size(whole):
+                strings = hash_strings(unpack(batch.column(0)), trees, bits).astype("<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array([r.tobytes() for r in strings], pa.binary())],
+                    names=[*batch.schema.names, "strings"])
+
+    base = staged(classes.mapInArrow(add_strings, "vec binary, cid long, asks boolean, size int, strings binary"),
+                  "forest")
+    # one row per vector length: few, as so many different lengths take that much data
+    pieces, blocks, least = {}, {}, {}
+    for size, n, n_asks in base.groupBy("size").agg(F.count(F.lit(1)), F.count_if("asks")).collect():
+        pieces[size], blocks[size] = -(-n // piece), -(-n_asks // block)
+        least[size] = max(int(np.ceil(share * n)), trees * (k + 1))
+
+    def slot(size, tree, piece_, block_, n):
+        """Columns of ``group``: numbers or arrays of them."""
+        return [pa.array(np.broadcast_to(np.asarray(x, np.int32), n)) for x in (size, tree, piece_, block_)]
+
+    def strings_of(batch):
+        return np.frombuffer(b"".join(batch.column("strings").to_pylist()), "<i8").reshape(batch.num_rows, trees)
 
     def entries(batches):
         """Index: one row per vector, tree and block of queries."""
-        for batch in batches:
-            cids = batch.column(1).to_numpy()
-            strings = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i8").reshape(len(cids), trees)
-            for t in range(trees):
-                for b in range(blocks):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(cids), t, np.int32)), batch.column(4),
-                         pa.array(np.full(len(cids), b, np.int32)), pa.array(strings[:, t]), pa.array(cids),
-                         batch.column(0)],
-                        names=[*group, "string", "cid", "vec"])
+        for whole in batches:
+            for size, batch in by_size(whole):
+                strings, place = strings_of(batch), batch.column("hash").to_numpy() % pieces[size]
+                for t in range(trees):
+                    for b in range(blocks[size]):
+                        yield pa.RecordBatch.from_arrays(
+                            [*slot(size, t, place, b, len(place)), pa.array(strings[:, t]), batch.column("cid"),
+                             batch.column("vec")], names=[*group, "string", "cid", "vec"])
 
     def asked(batches):
         """Queries: one row per vector, tree and piece."""
-        for batch in batches:
-            cids = batch.column(0).to_numpy()
-            strings = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(len(cids), trees)
-            for t in range(trees):
-                for p in range(pieces):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(cids), t, np.int32)), pa.array(np.full(len(cids), p, np.int32)),
-                         batch.column(2), pa.array(strings[:, t]), batch.column(0), *batch.columns[3:]],
-                        names=[*group, "string", "cid", *batch.schema.names[3:]])
-
-    group = ["tree", "piece", "block"]
-    slots = "tree int, piece int, block int, string long, cid long"
-    index = base.withColumn("piece", F.pmod(F.xxhash64("cid"), F.lit(pieces)).cast("int")).mapInArrow(
+        for whole in batches:
+            for size, batch in by_size(whole):
+                strings, place = strings_of(batch), batch.column("hash").to_numpy() % blocks[size]
+                rest = batch.schema.names[4:]
+                for t in range(trees):
+                    for p in range(pieces[size]):
+                        yield pa.RecordBatch.from_arrays(
+                            [*slot(size, t, p, place, len(place)), pa.array(strings[:, t]), batch.column("cid"),
+                             *[batch.column(c) for c in rest]], names=[*group, "string", "cid", *rest])
+
+    group = ["size", "tree", "piece", "block"]
+    slots = "size int, tree int, piece int, block int, string long, cid long"
+    index = base.select("cid", "size", "strings", F.xxhash64("cid").alias("hash"), "vec").mapInArrow(
         entries, f"{slots}, vec binary")
     # another hash than that of the pieces
-    asks = base.where("asks").select("cid", "strings", F.pmod(F.xxhash64("cid", F.lit(SEED)), F.lit(max(1, blocks)))
-                                     .cast("int").alias("block"))
+    asks = base.where("asks").select("cid", "size", "strings", F.xxhash64("cid", F.lit(SEED)).alias("hash"))
 
     def bounds(own: np.ndarray, strings: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
         """Where the strings with the first ``level`` bits of ``own`` stand."""
@@ -150,7 +166,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     def descend(queries: pa.Table, entries: pa.Table) -> pa.Table:
         strings = np.sort(entries["string"].to_numpy())
         own = queries["string"].to_numpy()
-        out = {"cid": queries["cid"]}
+        out = {"cid": queries["cid"], "least": pa.array([least[x] for x in queries["size"].to_pylist()], pa.int64())}
         for level in range(bits + 1):
             low, high = bounds(own, strings, level)
             out[f"n{level}"] = pa.array(high - low, pa.int64())
@@ -159,10 +175,10 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     levels = [f"n{level}" for level in range(bits + 1)]
     matches = asks.mapInArrow(asked, slots).groupBy(*group).cogroup(
         index.select(*group, "string").groupBy(*group)).applyInArrow(
-            descend, "cid long, " + ", ".join(f"{c} long" for c in levels))
-    total = matches.groupBy("cid").agg(*[F.sum(c).alias(c) for c in levels])
+            descend, "cid long, least long, " + ", ".join(f"{c} long" for c in levels))
+    total = matches.groupBy("cid").agg(F.max("least").alias("least"), *[F.sum(c).alias(c) for c in levels])
     # matches only grow on the way up: as many levels as still have enough
-    enough = sum((F.when(F.col(c) >= least, 1).otherwise(0) for c in levels[1:]), F.lit(0))
+    enough = sum((F.when(F.col(c) >= F.col("least"), 1).otherwise(0) for c in levels[1:]), F.lit(0))
     chosen = total.select("cid", enough.cast("int").alias("level"))
 
     def ascend(queries: pa.Table, entries: pa.Table) -> pa.Table:
@@ -196,7 +212,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
         return pa.table({c: pa.array(np.concatenate(v) if v else none[c]) for c, v in found.items()})
 
     ready = asks.join(base.select("cid", "vec"), "cid").join(chosen, "cid") \
-        .select("cid", "strings", "block", "vec", "level")
+        .select("cid", "size", "strings", "hash", "vec", "level")
     near = ready.mapInArrow(asked, f"{slots}, vec binary, level int") \
         .groupBy(*group).cogroup(index.groupBy(*group)) \
         .applyInArrow(ascend, "qid long, cid long, score double") \

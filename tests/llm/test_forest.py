@@ -74,3 +74,17 @@ def test_fewer_candidates_than_asked(spark):
     assert forest.search(spark.createDataFrame(rows, SCHEMA)).count() == 11
     assert forest.search(spark.createDataFrame(rows[:0], SCHEMA)).count() == 0
     assert forest.search(spark.createDataFrame(rows[-1:], SCHEMA)).count() == 0
+
+
+def test_each_length_among_its_own(spark):
+    """Longer vectors, usable or not, take nothing from the others."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(i, rng.normal(size=6).tolist())
+                                                                  for i in range(60, 100)]
+    bad = [(200, [1.0, None] + [1.0] * 7), (220, [float("nan")] * 8), (240, [1.0] * 3000)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows + bad], SCHEMA)
+    got = {}
+    for r in forest.search(df, piece=32, block=2, share=1e6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(rows[:60]) | brute(rows[60:])
+    assert len(got) == 5 and got == {q: [j for _, j in v] for q, v in want.items()}

@@ -164,12 +164,18 @@ def forest(table: pa.Table, bits: int) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
-    """Per row: key, fp and component_id (smallest key reachable over links)."""
+def _named(docs: DataFrame, key: str, text: str, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_key, fp), and (fp, first, root): each fingerprint's smallest
+    key and its component."""
     prints = staged(fingerprints(docs, (key,), text, shingle).withColumnRenamed(key, "doc_key"), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_key").alias("first"))
     found = components(links(nodes.select("fp"), bits), "simhash").withColumnRenamed("node", "fp")
-    first = staged(nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "nodes")
+    return prints, staged(nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "nodes")
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
+    """Per row: key, fp and component_id (smallest key reachable over links)."""
+    prints, first = _named(docs, key, text, shingle, bits)
     least = first.groupBy("root").agg(F.min("first").alias("component_id"))
     named = first.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("doc_key").alias(key), "fp", "component_id")
@@ -178,23 +184,31 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
                   bits: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the
-    smallest key (of several rows with that key, any one). Rows without a key
-    stay.
-
-    Rows meet the list of keys that go (or that are there more than once) in
-    one merge join. That list grows with the corpus, so it is broadcast at no
-    size; the texts are shuffled once."""
-    keys = groups(docs, key, text, shingle, bits).where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("component_id") == F.col(key)).alias("stays"))
-    name, again = free_name("_key", docs.columns), free_name("_again", docs.columns)
-    marked = staged(keys.where(~F.col("stays") | (F.col("n") > 1))
-                    .select(F.col(key).alias(name), F.col("stays").alias(again)), "marked")
-    met = docs.where(F.col(key).isNotNull()).join(marked.hint("merge"), F.col(key) == F.col(name), "left")
-    # the join leaves each key's rows together and in order: no further shuffle
-    place = free_name("_place", docs.columns)
-    first = met.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key))) \
+    smallest key (of several such rows, the smallest fingerprint's; of equal
+    ones, any). A row goes only if the kept row is in its own group, also where
+    rows with unrelated texts share a key. Rows without a key stay.
+
+    Rows meet the list of (key, fingerprint) pairs that go, or are there more
+    than once, in one merge join. That list grows with the corpus, so it is
+    broadcast at no size; the texts are shuffled once."""
+    cols = docs.columns
+    print_, name, place = free_name("_fp", cols), free_name("_key", cols), free_name("_place", cols)
+    prints, first = _named(docs, key, text, shingle, bits)
+    kept = first.where(F.col("first").isNotNull()).groupBy("root").agg(
+        F.min(F.struct(F.col("first").alias("doc_key"), "fp")).alias("kept"))
+    pairs = prints.where(F.col("doc_key").isNotNull()).groupBy("doc_key", "fp").agg(F.count(F.lit(1)).alias("n")) \
+        .join(first.join(kept, "root").select("fp", "kept"), "fp")
+    stays = F.struct("doc_key", "fp") == F.col("kept")
+    again, other = free_name("_again", cols), free_name("_marked", cols)
+    marked = staged(pairs.where(~stays | (F.col("n") > 1)).select(
+        F.col("doc_key").alias(name), F.col("fp").alias(other), stays.alias(again)), "marked")
+    printed = fingerprints(docs.where(F.col(key).isNotNull()), tuple(cols), text, shingle)
+    printed = printed.withColumnRenamed(free_name("fp", cols), print_)
+    met = printed.join(marked.hint("merge"), (F.col(key) == F.col(name)) & (F.col(print_) == F.col(other)), "left")
+    # the join leaves each pair's rows together and in order: no further shuffle
+    left = met.withColumn(place, F.row_number().over(Window.partitionBy(key, print_).orderBy(key, print_))) \
         .where(F.col(again).isNull() | (F.col(again) & (F.col(place) == 1)))
-    return first.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    return left.select(*cols).unionByName(docs.where(F.col(key).isNull()))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -110,3 +110,14 @@ def test_edges(spark):
     assert sorted((r.doc_id or -1) for r in out.collect()) == [-1, 1, 4, 5, 6, 7, 8]
     assert simhash.digest(frame(spark, [])).count() == 0
     assert simhash.one_per_group(frame(spark, [])).count() == 0
+
+
+def test_unrelated_texts_of_one_key_all_stay(spark):
+    def words(n):
+        return " ".join(f"w{n}x{i}" for i in range(200))
+
+    # 1 is copied by the second text of 5; the two texts of 7 are met nowhere else, one of them is repeated
+    rows = [(1, words(1)), (5, words(2)), (5, words(1)), (7, words(3)), (7, words(4)), (7, words(4)), (None, words(1))]
+    out = simhash.one_per_group(frame(spark, rows, extra=True)).collect()
+    assert sorted(((r.doc_id or -1), r.text) for r in out) == sorted(
+        [(-1, words(1)), (1, words(1)), (5, words(2)), (7, words(3)), (7, words(4))])

@@ -59,11 +59,11 @@ EXTRA_RULES = (
 )
 RULES = BASE_RULES + EXTRA_RULES
 
-SPAN = "array<struct<start:int,ord:int,kind:string,end:int>>"
+SPAN = "array<struct<start:int,ord:int,kind:string,end:int,rule_version:int>>"
 
 
 def spans_of(text: Column, rule: Rule, ord_: int) -> Column:
-    """Matches of one rule as array<struct<start, ord, kind, end>>."""
+    """Matches of one rule as array<struct<start, ord, kind, end, rule_version>>."""
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     groups = F.regexp_extract_all(text, pattern, F.lit(rule.group))
@@ -75,7 +75,7 @@ def spans_of(text: Column, rule: Rule, ord_: int) -> Column:
         begin = state["pos"] + F.length(s["0"])
         end = begin + F.length(F.coalesce(s["1"], F.lit("")))
         span = F.struct(begin.alias("start"), F.lit(ord_).alias("ord"), F.lit(rule.kind).alias("kind"),
-                        end.alias("end"))
+                        end.alias("end"), F.lit(rule.version).alias("rule_version"))
         good = s["1"].isNotNull() & (F.length(s["2"]) >= rule.least)
         return F.struct(end.alias("pos"),
                         F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
@@ -92,7 +92,8 @@ def spans_of(text: Column, rule: Rule, ord_: int) -> Column:
 class Scan:
     """versions: the input's key columns + blob_id (``blob`` is its name there). findings: blob_id, spans
     (array by start, then rule order; blobs without findings have no row).
-    ledger: blob_id, rule, rule_version of every triple seen so far."""
+    ledger: blob_id, rule, rule_version of the triples seen so far, of rules in their present version only:
+    findings of other versions are not kept, so their return is a new scan."""
 
     versions: DataFrame
     findings: DataFrame
@@ -104,8 +105,11 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule
          ledger: DataFrame | None = None, earlier: DataFrame | None = None) -> Scan:
     """Scan the unseen (blob, rule version) pairs of ``docs``.
 
-    ``ledger`` and ``earlier`` are a former run's ``ledger`` and ``findings``;
+    ``ledger`` and ``earlier`` are a former run's ``ledger`` and ``findings``, of
+    which only what the present rule versions found is kept;
     ``keys`` are the columns that name a path and its version."""
+    if len({(r.kind, r.version) for r in rules}) < len(rules):
+        raise ValueError("two rules of one kind and version: a ledger cannot tell them apart")
     blob = free_name("blob_id", keys)
     body = free_name("_body", [*keys, blob])
     base = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(body)) \
@@ -125,14 +129,22 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule
                 for i, r in enumerate(rules)]
     fresh = todo.select("blob_id", F.concat(*per_rule).alias("spans")).where(F.size("spans") > 0)
     if earlier is not None:
-        current = F.array(*[F.lit(r.kind) for r in rules])
-        old = earlier.select("blob_id", F.filter("spans", lambda s: F.array_contains(current, s["kind"])).alias("spans"))
+        def place(s):
+            """Place of the span's rule among the present ones, null if it is none of them."""
+            return F.coalesce(*[F.when((s["kind"] == r.kind) & (s["rule_version"] == r.version), F.lit(i))
+                                for i, r in enumerate(rules)])
+
+        kept = F.transform(F.filter("spans", lambda s: place(s).isNotNull()), lambda s: F.struct(
+            s["start"].alias("start"), place(s).alias("ord"), s["kind"].alias("kind"), s["end"].alias("end"),
+            s["rule_version"].alias("rule_version")))
+        old = earlier.select("blob_id", kept.alias("spans")).where(F.size("spans") > 0)
         fresh = fresh.unionByName(old).groupBy("blob_id") \
             .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     findings = fresh.select("blob_id", F.sort_array("spans").alias("spans"))
     seen = blobs.select("blob_id", F.inline(wanted))
     if ledger is not None:
-        seen = seen.unionByName(ledger.select("blob_id", "rule", "rule_version")).distinct()
+        present = F.struct("rule", "rule_version").isin(*[F.struct(F.lit(r.kind), F.lit(r.version)) for r in rules])
+        seen = seen.unionByName(ledger.select("blob_id", "rule", "rule_version").where(present)).distinct()
     return Scan(versions, findings, seen, blob)
 
 

@@ -65,6 +65,24 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert {s.kind for r in third.findings.collect() for s in r.spans} == {"hex"}
 
 
+def test_rule_versions_change_and_return(spark):
+    """Each run with the former one's ledger and findings equals a fresh scan."""
+    rows = [(201, PLANTED[0][1]), (202, PLANTED[1][1]), (203, "0123456789abcdef" * 2), (204, "secret=abcdefgh")]
+    narrow = tuple(secrets.Rule("hex", r"[0-9]{30,}", version=2) if r.kind == "hex" else r for r in secrets.RULES)
+    fewer = secrets.RULES[::-1][:-1]  # other places, one kind withdrawn
+    ledger = earlier = None
+
+    def kept(df):
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    for rules in (secrets.RULES, narrow, secrets.RULES, fewer, secrets.RULES):
+        now = secrets.scan(frame(spark, rows), ["doc_id"], rules=rules, ledger=ledger, earlier=earlier)
+        fresh = secrets.scan(frame(spark, rows), ["doc_id"], rules=rules)
+        ledger, earlier = kept(now.ledger), kept(now.findings)
+        assert sorted(map(str, earlier.collect())) == sorted(map(str, fresh.findings.collect()))
+        assert sorted(map(str, ledger.collect())) == sorted(map(str, fresh.ledger.collect()))
+
+
 def test_redaction_cuts_secrets_and_leaves_clean_rows(spark):
     docs = frame(spark, PLANTED[:1] + EDGES, extra=True)
     out = secrets.redact_documents(docs)

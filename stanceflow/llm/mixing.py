@@ -13,14 +13,18 @@ per category, or by default the margin's own token shares to the power
 ``alpha`` (1 keeps the mix, 0 makes it flat), computed from all documents.
 
 Defined results: null categories are a category of their own (shown as empty
-string, like empty ones); a category without a target keeps its weight, one
-with target zero is never drawn; an empty text counts as one token; repeated
+string, like empty ones); a category without a target keeps its own share of
+the tokens, and the targets (of categories that are there) share out the rest;
+one with target zero is never drawn; given targets that cannot be met together
+are an error, default shares that cannot are met as nearly as raking does, with
+a warning; an empty text counts as one token; repeated
 rows draw alike; an empty table gives an empty frame; extra columns are kept.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,14 +59,28 @@ def rake(cells: DataFrame, dims: list[str], tokens: str, targets: dict[str, dict
     """``cells`` (one row per combination of ``dims`` with its ``tokens``) +
     ``raked``: tokens scaled until every margin has its target shares. Margins
     are matched in shape; their common total cancels out of the weights."""
+    def total(shares: DataFrame, *sums: Column) -> list[float]:
+        return [float(x or 0) for x in shares.agg(*sums).first()]
+
     goal = {}
     now = cells.withColumn("raked", F.col(tokens).cast("double"))
     for d in dims:
-        if targets and d in targets:
+        own = F.sum("raked").over(Window.partitionBy(d))
+        if targets and targets.get(d):
             pairs = [F.lit(x) for kv in targets[d].items() for x in (kv[0], float(kv[1]))]
-            now = now.withColumn(f"goal_{d}", F.create_map(*pairs)[F.col(d)])
+            given = F.create_map(*pairs)[F.col(d)]
+            per = cells.groupBy(d).agg(F.sum(tokens).alias("own")).select("own", given.alias("given"))
+            whole, free, named = total(per, F.sum("own"), F.sum(F.when(F.col("given").isNull(), F.col("own"))),
+                                       F.sum("given"))
+            # all goals of a margin add up to 1 (if every target is zero, over the others alone)
+            share = own / ((whole if named else free) or 1.0)
+            scale = (1 - free / whole) / named if named else 0.0
+            now = now.withColumn(f"goal_{d}", F.coalesce(given * scale, share))
         else:
-            now = now.withColumn(f"goal_{d}", F.pow(F.sum("raked").over(Window.partitionBy(d)), F.lit(alpha)))
+            # beside given targets on the same total as they are
+            per = cells.groupBy(d).agg(F.pow(F.sum(tokens), F.lit(alpha)).alias("goal"))
+            whole = total(per, F.sum("goal"))[0] or 1.0 if targets else 1.0
+            now = now.withColumn(f"goal_{d}", F.pow(own, F.lit(alpha)) / whole)
         goal[d] = f"goal_{d}"
     now = staged(now, "cells")
     for _ in range(ROUNDS):
@@ -80,6 +98,11 @@ def rake(cells: DataFrame, dims: list[str], tokens: str, targets: dict[str, dict
         worst = now.where(F.col("raked") > 0).agg(F.greatest(*spread, F.lit(0.0))).first()[0]
         if worst is None or worst < TOLERANCE:
             break
+    else:
+        gap = f"the margins {dims} are not met together: steps still differ by a factor of {math.exp(worst):.6g}"
+        if targets:
+            raise ValueError(gap)
+        warnings.warn(gap, stacklevel=2)
     return now.select(*cells.columns, "raked")
 
 

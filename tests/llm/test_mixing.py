@@ -39,6 +39,25 @@ def test_given_targets(spark):
     assert w["a", "x"] * w["b", "y"] / (w["a", "y"] * w["b", "x"]) == pytest.approx(10 * 20 / (30 * 40))
 
 
+def test_categories_without_target_keep_their_share(spark):
+    rows = [("a", "x", 10), ("a", "y", 30), ("b", "x", 40), ("b", "y", 20), ("c", "x", 500), ("c", "y", 300),
+            (None, "x", 60), (None, "y", 40)]
+    cells = spark.createDataFrame(rows, "source string, lang string, tokens long")
+    goals = {"source": {"a": 0.25, "b": 0.75, "gone": 1.0}}
+    out = mixing.rake(cells, ["source", "lang"], "tokens", goals).collect()
+    whole = sum(r.raked for r in out)
+    for source, share in (("a", 0.025), ("b", 0.075), ("c", 0.8), (None, 0.1)):
+        assert sum(r.raked for r in out if r.source == source) / whole == pytest.approx(share, abs=1e-3)
+    x, y = 610 ** mixing.ALPHA, 390 ** mixing.ALPHA
+    assert sum(r.raked for r in out if r.lang == "x") / whole == pytest.approx(x / (x + y), abs=1e-3)
+
+
+def test_targets_that_contradict_are_an_error(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 30)], "source string, lang string, tokens long")
+    with pytest.raises(ValueError, match="not met"):
+        mixing.rake(cells, ["source", "lang"], "tokens", {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.1, "y": 0.9}})
+
+
 def test_draws_repeat_and_edges(spark):
     docs = frame(spark, EDGES, extra=True)
     a, b = (sorted(map(str, mixing.sampled(docs).collect())) for _ in range(2))

@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanceflow.llm import bpe, classifier, counts, forest, licenses, mixing, rans, rules, secrets, simhash
+from stanceflow.llm import (bpe, classifier, counts, fmindex, forest, licenses, mixing, periods, phrases, rans, rules,
+                            secrets, simhash)
 from stanceflow.llm.common import read_table
 
 ORACLES: dict[str, str] = {}
@@ -72,8 +73,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scans, op2_simhash_near_dedup, op3_bpe, op4_quality_rules, op5_quality_classifier, op6_token_files,
-        op7_license_scans, op8_token_counts, op9_hash_prefix_forest, op10_mixing)
+        op7_license_scans, op8_token_counts, op9_hash_prefix_forest, op10_mixing, op11_phrase_collocations,
+        op12_periodic_runs, op13_decontamination)
 }

@@ -53,7 +53,7 @@ LOWERED = 0.6
 #: Bits of a filter: 16 for each phrase, up to 16 MB whatever the corpus.
 FILTER_BITS = (16, 27)
 #: Bytes of text in a bundle.
-BUNDLE_BYTES = 8_000_000
+BUNDLE_BYTES = 2_500_000
 #: Parts that a language's ranking is first cut down in.
 RANK_PARTS = 256
 

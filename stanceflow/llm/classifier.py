@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stanceflow.llm.bpe import slices
-from stanceflow.llm.common import LOWER_ASCII, Shared, free_name
+from stanceflow.llm.common import LOWER_ASCII, Shared, free_name, release_memory
 
 WORD_SLOTS = 1 << 14
 FACTORS = 8
@@ -216,17 +216,20 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     shared = Shared(docs.sparkSession, model)  # a fixed number of slots
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.DoubleType())])
     n = len(keep)
+    sent = [F.col(c) for c in keep] + ([] if text in keep else [F.col(text)])
+    place = keep.index(text) if text in keep else n
 
     def run(batches):
         for batch in batches:
-            meta = batch.column(n + 1).to_pylist()
+            meta = batch.column(batch.num_columns - 1).to_pylist()
             made: list[float] = []
-            for at, texts in slices(batch.column(n)):
+            for at, texts in slices(batch.column(place)):
                 made += shared().scores([featurize(t, meta[at + i]) for i, t in enumerate(texts)]).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(made, pa.float64())],
                                              names=[*batch.schema.names[:n], out])
+        release_memory()
 
-    body = docs.select(*keep, F.col(text).alias("_text"), _metadata(docs).alias("_meta"))
+    body = docs.select(*sent, _metadata(docs).alias(free_name("_meta", [*keep, text])))
     return body.mapInArrow(run, schema)
 
 

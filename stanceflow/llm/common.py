@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import pickle
 import sys
@@ -10,6 +11,7 @@ import types
 import uuid
 from collections import OrderedDict
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +84,15 @@ def cached(key, make):
     return store[key]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at a task's end: idle workers stay
+    alive beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Shared:
     """A broadcast object of this subpackage. It travels as cloudpickle bytes
     (classes by value, so executors need no copy of the package) and is

@@ -17,6 +17,7 @@ empty table gives empty frames; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,30 +63,69 @@ RULES = BASE_RULES + EXTRA_RULES
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int,rule_version:int>>"
 
 
-def spans_of(text: Column, rule: Rule, ord_: int) -> Column:
-    """Matches of one rule as array<struct<start, ord, kind, end, rule_version>>."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], zero: int, levels: int = 2,
+            block: int = 128) -> Column:
+    """For each integer of an array, ``op`` over all before it (``zero`` for the
+    first). Arrays are built block by block, as appending to one array copies it."""
+    def plain(part):
+        state = F.struct(F.lit(zero).alias("all"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, state, lambda s, x: F.struct(
+            op(s["all"], x).cast("int").alias("all"), F.concat(s["out"], F.array(s["all"])).alias("out")))
+
+    def blocks(v):
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block))
+        return F.transform(starts, lambda b: plain(F.slice(v, (b * block + 1).cast("int"), F.lit(block))))
+
+    def joined(parts):
+        tops = running(F.transform(parts, lambda p: p["all"]), op, zero, levels - 1, block)
+        return F.flatten(F.zip_with(parts, tops, lambda p, top: F.transform(
+            p["out"], lambda x: op(top, x).cast("int"))))
+
+    if levels == 1:
+        return plain(values)["out"]
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), joined)).otherwise(
+        F.array().cast("array<int>")))
+
+
+STEPS = "array<struct<gap:int,hit:int,part:int>>"
+
+
+def steps_of(text: Column, rule: Rule) -> Column:
+    """Per match of a rule the lengths of the gap before it, of the match and of
+    the group that counts (and a last gap without a match)."""
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    groups = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    gaps = F.split(text, rule.pattern, -1)
-    steps = F.arrays_zip(gaps.alias("gap"), matches.alias("hit"), groups.alias("part"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
-
-    def step(state, s):
-        begin = state["pos"] + F.length(s["0"])
-        end = begin + F.length(F.coalesce(s["1"], F.lit("")))
-        span = F.struct(begin.alias("start"), F.lit(ord_).alias("ord"), F.lit(rule.kind).alias("kind"),
-                        end.alias("end"), F.lit(rule.version).alias("rule_version"))
-        good = s["1"].isNotNull() & (F.length(s["2"]) >= rule.least)
-        return F.struct(end.alias("pos"),
-                        F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
-
-    names = F.transform(steps, lambda s: F.struct(s["gap"].alias("0"), s["hit"].alias("1"), s["part"].alias("2")))
-    found = F.aggregate(names, start, step, lambda state: state["out"])
+    groups = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
+    steps = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
+                         F.transform(matches, F.length).alias("hit"), F.transform(groups, F.length).alias("part"))
     test = text.rlike(rule.pattern)
     if rule.needle:
         test = F.contains(text, F.lit(rule.needle)) & test
-    return F.when(test, found).otherwise(F.array().cast(SPAN))
+    return F.when(test, steps).otherwise(F.array().cast(STEPS))
+
+
+def spans_of(text: Column, rules: tuple[Rule, ...], todo: Column) -> Column:
+    """Matches of the rules whose kinds are in ``todo``, rule by rule, as
+    array<struct<start, ord, kind, end, rule_version>>. Linear in the text:
+    places are running sums of the gaps' and matches' lengths."""
+    each = [F.struct(F.when(F.array_contains(todo, r.kind), steps_of(text, r)).otherwise(F.array().cast(STEPS))
+                     .alias("steps"), F.lit(i).alias("ord"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"),
+                     F.lit(r.version).alias("rule_version")) for i, r in enumerate(rules)]
+
+    def placed(r):
+        before = running(F.transform(r["steps"], lambda s: s["gap"] + F.coalesce(s["hit"], F.lit(0))),
+                         lambda x, y: x + y, 0)
+        return F.filter(F.zip_with(r["steps"], before, lambda s, at: F.when(s["part"] >= r["least"], F.struct(
+            (at + s["gap"]).alias("start"), r["ord"].alias("ord"), r["kind"].alias("kind"),
+            (at + s["gap"] + s["hit"]).alias("end"), r["rule_version"].alias("rule_version")))),
+            lambda s: s.isNotNull())
+
+    return F.flatten(F.transform(F.array(*each), placed))
 
 
 @dataclass
@@ -124,10 +164,8 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule
         unseen = pairs.join(ledger, ["blob_id", "rule", "rule_version"], "left_anti") \
             .groupBy("blob_id").agg(F.collect_set("rule").alias("todo"))
         todo = blobs.join(unseen, "blob_id")
-    empty = F.array().cast(SPAN)
-    per_rule = [F.when(F.array_contains("todo", r.kind), spans_of(F.col("body"), r, i)).otherwise(empty)
-                for i, r in enumerate(rules)]
-    fresh = todo.select("blob_id", F.concat(*per_rule).alias("spans")).where(F.size("spans") > 0)
+    spans = spans_of(F.col("body"), tuple(rules), F.col("todo"))
+    fresh = todo.select("blob_id", spans.alias("spans")).where(F.size("spans") > 0)
     if earlier is not None:
         def place(s):
             """Place of the span's rule among the present ones, null if it is none of them."""
@@ -153,10 +191,13 @@ def join_back(result: Scan) -> DataFrame:
     array if none). The findings (one row per blob that has any) are written
     first: Spark then knows their size, and a blob with very many paths is the
     key of a plain join, which adaptive execution can split."""
-    f = staged(result.findings, "findings").withColumnRenamed("blob_id", "_blob").withColumnRenamed("spans", "_spans")
     v = result.versions
-    return v.join(f, v[result.blob] == F.col("_blob"), "left").drop("_blob") \
-        .withColumn("spans", F.coalesce(F.col("_spans"), F.array().cast(SPAN))).drop("_spans")
+    if "spans" in {c.lower() for c in v.columns}:
+        raise ValueError("a key column is named spans")
+    blob, spans = free_name("_blob", v.columns), free_name("_spans", v.columns)
+    f = staged(result.findings, "findings").withColumnsRenamed({"blob_id": blob, "spans": spans})
+    return v.join(f, v[result.blob] == F.col(blob), "left").drop(blob) \
+        .withColumn("spans", F.coalesce(F.col(spans), F.array().cast(SPAN))).drop(spans)
 
 
 def spans_text(spans: Column) -> Column:
@@ -165,22 +206,46 @@ def spans_text(spans: Column) -> Column:
                                                                  s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """``text`` with each maximal run of overlapping spans replaced by one
-    ``[kind]`` mark (the kind of the run's first span)."""
-    state = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["pos"]
-        gap = F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"),
-                        F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]")))
-                        .otherwise(acc["out"]).alias("out"))
+#: Characters in a piece of a text that is being redacted.
+PIECE = 4096
 
-    def rest(acc):
-        return F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.sort_array(spans), state, step, rest))
+def redact(text: Column, spans: Column) -> Column:
+    """``text`` with each maximal run of overlapping spans replaced by one
+    ``[kind]`` mark (the kind of the run's first span).
+
+    Each span's part beyond all earlier ones goes, cut at the borders of pieces
+    of the text; each piece is put together from what stays of it."""
+    def parts(found):
+        reached = running(F.transform(found, lambda s: s["end"]), lambda x, y: F.greatest(x, y), 0)
+
+        def cut(s, till):
+            start = F.greatest(s["start"], till)
+            mark = F.when(s["start"] >= till, F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
+            pieces = F.sequence(F.floor(start / PIECE), F.floor((s["end"] - 1) / PIECE))
+            return F.when(s["end"] > till, F.transform(pieces, lambda p, i: F.struct(
+                p.cast("int").alias("piece"), (F.greatest(start, p * PIECE) - p * PIECE).cast("int").alias("start"),
+                (F.least(s["end"], (p + 1) * PIECE) - p * PIECE).cast("int").alias("end"),
+                F.when(i == 0, mark).otherwise(F.lit("")).alias("mark"))))
+
+        return F.flatten(F.filter(F.zip_with(found, reached, cut), lambda x: x.isNotNull()))
+
+    def put_together(gone):
+        def of_piece(piece, p, owners):
+            first = F.array_position(owners, p.cast("int"))
+            mine = F.filter(F.slice(gone, first.cast("int"), F.lit(PIECE)), lambda g: g["piece"] == p)
+            state = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+            text_ = F.aggregate(mine, state, lambda acc, g: F.struct(g["end"].alias("pos"), F.concat(
+                acc["out"], F.substring(piece, acc["pos"] + 1, g["start"] - acc["pos"]), g["mark"]).alias("out")),
+                lambda acc: F.concat(acc["out"], F.substring(piece, acc["pos"] + 1, F.lit(PIECE))))
+            return F.when(first > 0, text_).otherwise(piece)
+
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        return let(F.transform(gone, lambda g: g["piece"]), lambda owners: F.array_join(
+            F.transform(pieces, lambda piece, p: of_piece(piece, p, owners)), ""))
+
+    return F.when(F.size(spans) == 0, text).otherwise(
+        let(F.sort_array(spans), lambda found: let(parts(found), put_together)))
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,21 +261,66 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                        spans_text(F.col("spans")).alias("spans"))
 
 
+#: Bits (a power of two) of the table that tells which blobs may have findings.
+TABLE_BITS = 20
+
+
+def may_be_found(blob: Column, findings: DataFrame, bits: int = TABLE_BITS) -> Column:
+    """False for most blobs without findings, true for all with some: one bit of
+    a table of fixed size, whatever the number of findings."""
+    spark = findings.sparkSession
+    place = F.xxhash64("blob_id").bitwiseAND(F.lit((1 << bits) - 1))
+    cells = findings.select(F.shiftright(place, 6).alias("cell"), F.expr("1L").alias("one"),
+                            place.bitwiseAND(F.lit(63)).cast("int").alias("at")) \
+        .select("cell", F.expr("shiftleft(one, at)").alias("bits"))
+    every = spark.range(1 << (bits - 6)).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bits"))
+    table = cells.unionByName(every).groupBy("cell").agg(F.bit_or("bits").alias("bits")) \
+        .agg(F.array_sort(F.collect_list(F.struct("cell", "bits"))).alias("t")) \
+        .select(F.transform("t", lambda x: x["bits"]).alias("t"))
+    mine = F.xxhash64(blob).bitwiseAND(F.lit((1 << bits) - 1))
+    word = F.get(table.scalar(), F.shiftright(mine, 6).cast("int"))
+    return F.call_function("getbit", word, mine.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every found secret replaced by its ``[kind]`` mark and
     ``n_chars`` (if there) brought up to date; clean rows are unchanged.
 
-    Rows meet the findings (one row per blob with secrets) in a merge join:
+    Rows whose blob cannot be among the findings go through as they are. The
+    others meet the findings (one row per blob with secrets) in a merge join:
     they grow with the corpus, so they are broadcast at no size."""
     cols = docs.columns
     blob, spans = free_name("_blob", cols), free_name("_spans", cols)
-    found = scan(docs, [], text).findings.select(F.col("blob_id").alias(blob), F.col("spans").alias(spans))
+    found = staged(scan(docs, [], text).findings, "findings")
     keyed = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-    out = keyed.join(found.hint("merge"), blob, "left")
+    maybe = may_be_found(F.col(blob), found)
+    marks = found.select(F.col("blob_id").alias(blob), F.col("spans").alias(spans))
+    out = keyed.where(maybe).join(marks.hint("merge"), blob, "left")
     hit = F.col(spans).isNotNull()
-    new = F.when(hit, redact(F.col(text), F.col(spans))).otherwise(F.col(text))
-    out = out.withColumn(text, new)
+    out = out.withColumn(text, F.when(hit, redact(F.col(text), F.col(spans))).otherwise(F.col(text)))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    return out.select(*cols).unionByName(keyed.where(~maybe).select(*cols))
+
+
+def scan_incremental(docs: DataFrame, keys: list[str], path: str, text: str = "text",
+                     rules: tuple[Rule, ...] = RULES) -> Scan:
+    """``scan`` with a ledger kept under ``path`` (Parquet: findings, ledger), which
+    is made by the first run. A run scans only what the ledger lacks and appends
+    that; the findings come back whole. They are written before the ledger, so a
+    run that dies between is made up for by the next one's scan."""
+    spark = docs.sparkSession
+    parts = {"ledger": "blob_id binary, rule string, rule_version int", "findings": f"blob_id binary, spans {SPAN}"}
+    kept = {}
+    for name, schema in parts.items():
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+        kept[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
+    before = staged(kept["ledger"], "ledger")
+    fresh = scan(docs, keys, text, rules, before)
+    fresh.findings.write.mode("append").parquet(f"{path}/findings")
+    new = fresh.ledger.join(before, ["blob_id", "rule", "rule_version"], "left_anti")
+    new.write.mode("append").parquet(f"{path}/ledger")
+    every = spark.read.schema(parts["findings"]).parquet(f"{path}/findings")
+    known = spark.read.schema(parts["ledger"]).parquet(f"{path}/ledger")
+    return scan(docs, keys, text, rules, known, every)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stanceflow.llm.bpe import slices
-from stanceflow.llm.common import LOWER_ASCII, free_name, staged
+from stanceflow.llm.common import LOWER_ASCII, free_name, release_memory, staged
 from stanceflow.llm.components import components
 
 SEED = 42
@@ -66,15 +66,17 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     """``keep`` columns + fp (the 64 bits as a bigint)."""
     out = free_name("fp", keep)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.LongType())])
-    n = len(keep)
+    n, sent = len(keep), [*keep] if text in keep else [*keep, text]
+    at = sent.index(text)
 
     def run(batches):
         for batch in batches:
-            prints = [fingerprint(t, shingle) for _, texts in slices(batch.column(n)) for t in texts]
+            prints = [fingerprint(t, shingle) for _, texts in slices(batch.column(at)) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(prints, pa.int64())],
                                              names=[*batch.schema.names[:n], out])
+        release_memory()
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def counts(fp: Column) -> Column:

@@ -95,3 +95,57 @@ def test_redaction_cuts_secrets_and_leaves_clean_rows(spark):
 def test_empty_table(spark):
     none = frame(spark, [])
     assert secrets.digest(none).count() == 0 and secrets.redact_documents(none).count() == 0
+
+
+def test_texts_with_very_many_secrets(spark):
+    """20,000 assignments in one text: seconds, and equal to brute force."""
+    text = " ".join(f"token=abcdef{i}" for i in range(20_000)) + " x" * 50_000 + " AKIA" + "B" * 9000
+    rows = [(1, text), (2, "\U0001f600é " * 3000 + text[:9000])]
+    got = sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256)
+                 for r in secrets.digest(frame(spark, rows)).collect())
+    assert got == [(k, *brute(t)) for k, t in rows]
+
+
+def plain_redaction(text, spans):
+    out, pos = "", 0
+    for s in sorted(spans, key=lambda s: (s["start"], s["ord"])):
+        if s["start"] >= pos:
+            out += text[pos:s["start"]] + f"[{s['kind']}]"
+        pos = max(pos, s["end"])
+    return out + text[pos:]
+
+
+def test_redaction_equals_a_plain_loop(spark):
+    """Secrets across piece borders, nested ones, wide characters, many of them."""
+    rows = PLANTED + [(1, "é" * 4090 + " token=abcdefghij " + "\U0001f600" * 4080 + "AKIA" + "C" * 9000 + " end"),
+                      (2, "token=" + "a" * 20_000), (3, " ".join(f"secret:abcdef{i} filler" for i in range(20_000))),
+                      (4, "clean"), (5, None), (6, ""), (3, "clean too")]
+    docs = frame(spark, rows, extra=True)
+    found = {(r.doc_id, r.blob_id_): r.spans for r in secrets.join_back(
+        secrets.scan(docs.select("doc_id", "text", "blob_id"), ["doc_id", "blob_id"])).collect()}
+    assert len(found) == len(rows)
+    by_blob = {bytes(b): s for (_, b), s in found.items()}
+    want = [(k, t if not t else plain_redaction(t, by_blob[hashlib.sha256(t.encode()).digest()])) for k, t in rows]
+    got = secrets.redact_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_kept_ledger(spark, tmp_dir):
+    """The second run over the same texts scans nothing; new texts are added; a
+    new rule version is scanned and its old spans go."""
+    first = secrets.scan_incremental(frame(spark, PLANTED[:2]), ["doc_id"], tmp_dir)
+    spans = sorted(map(str, secrets.join_back(first).collect()))
+    assert spans == sorted(map(str, secrets.join_back(secrets.scan(frame(spark, PLANTED[:2]), ["doc_id"])).collect()))
+    size = spark.read.parquet(f"{tmp_dir}/ledger").count()
+    again = secrets.scan_incremental(frame(spark, PLANTED[:2]), ["doc_id"], tmp_dir)
+    assert sorted(map(str, secrets.join_back(again).collect())) == spans
+    assert spark.read.parquet(f"{tmp_dir}/ledger").count() == size == 2 * len(secrets.RULES)
+    assert spark.read.parquet(f"{tmp_dir}/findings").count() == 2
+    secrets.scan_incremental(frame(spark, PLANTED), ["doc_id"], tmp_dir)
+    assert spark.read.parquet(f"{tmp_dir}/ledger").count() == len(PLANTED) * len(secrets.RULES)
+    from dataclasses import replace
+    newer = tuple(replace(r, version=2, least=8) if r.kind == "assign" else r for r in secrets.RULES)
+    got = secrets.scan_incremental(frame(spark, PLANTED), ["doc_id"], tmp_dir, rules=newer)
+    want = secrets.scan(frame(spark, PLANTED), ["doc_id"], rules=newer)
+    assert sorted(map(str, secrets.join_back(got).collect())) == sorted(map(str, secrets.join_back(want).collect()))

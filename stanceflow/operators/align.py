@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stanceflow.operators.index import with_row_index
+from stanceflow.operators.ordering import indexed
+
 
 def align_by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str,
                       how: str = "inner") -> DataFrame:
-    """Rows of two frames paired by their position in key order; the
-    right-hand columns get an ``r_`` prefix."""
-    li = with_row_index(left, left_order, out="idx")
-    ri = with_row_index(right, right_order, out="idx")
+    """Rows of two frames paired by their position in key order (a key of any
+    orderable type); the right-hand columns get an ``r_`` prefix."""
+    li = indexed(left, left_order, out="idx")
+    ri = indexed(right, right_order, out="idx")
     ri = ri.select("idx", *[F.col(c).alias(f"r_{c}") for c in right.columns])
     return li.join(ri, "idx", how)
 

@@ -100,7 +100,8 @@ def assign_batches(df: DataFrame, batch_size: int, order_col: str, shuffle_seed:
     """Consecutive batches of ``batch_size`` rows (the last one short), in
     key order or, with a seed, in the repeatable order md5('seed:key')."""
     if shuffle_seed is None:
-        indexed = with_row_index(df, order_col, out="_pos")
+        from stanceflow.operators import ordering
+        indexed = ordering.indexed(df, order_col, out="_pos")
     else:
         hashed = df.withColumn("_shuffle_key", hash_order(shuffle_seed, order_col))
         indexed = with_row_index(hashed, "_shuffle_key", out="_pos", tie_break=[order_col],

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stanceflow.functions.labels import DOMAINS, decode_label, encode_label, encode_prediction
+from stanceflow.operators.ordering import IN_ONE_TASK, Key, first_n
 
 
 def encode_labels(df: DataFrame, col: str = "stance", out: str = "y", domain: str = "stance") -> DataFrame:
@@ -38,23 +38,17 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def head_limit(df: DataFrame, n: int, order_by: str | Column | Sequence[str | Column]) -> DataFrame:
+def head_limit(df: DataFrame, n: int, order_by: Key | Sequence[Key], in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """The first n rows in the given order (a true first-n); n <= 0 keeps
-    every row. Nulls sort as in Spark (first ascending, last descending); rows
-    that tie at the edge are any of them.
-
-    An order by one integer column runs as ``idx < n`` over the distributed row
-    index, whatever n is. Other orders are sorted and limited by Spark."""
+    every row. Keys are columns, (column, descending) pairs or sort expressions.
+    Nulls sort as in Spark (first ascending, last descending); rows that tie at
+    the edge are any of them. Large n run as a distributed selection
+    (``ordering.first_n``)."""
     if n <= 0:
         return df
-    keys = list(order_by) if isinstance(order_by, (list, tuple)) else [order_by]
-    whole = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
-    if isinstance(keys[0], str) and isinstance(df.schema[keys[0]].dataType, whole) \
-            and all(isinstance(k, str) for k in keys):
-        from stanceflow.operators.index import with_row_index
-        return with_row_index(df, keys[0], out="_first_n", tie_break=keys[1:]).filter(
-            F.col("_first_n") < n).drop("_first_n")
-    return df.orderBy(*keys).limit(n)
+    one = isinstance(order_by, (str, Column)) or (isinstance(order_by, tuple) and len(order_by) == 2
+                                                  and isinstance(order_by[1], bool))
+    return first_n(df, n, [order_by] if one else list(order_by), in_one_task)
 
 
 def split_valid(df: DataFrame, label_col: str = "stance", domain: str = "stance",

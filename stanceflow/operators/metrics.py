@@ -250,6 +250,51 @@ def f1_by_ranges(df: DataFrame, ranges: Sequence[tuple[str, int, int]], idx: str
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
+#: Ranges that rows find by a search of one array; beyond, by a join on blocks of the index.
+SEARCHED_RANGES = 100_000
+#: An index block spans 2^BLOCK_BITS positions.
+BLOCK_BITS = 16
+
+
+def ranges_by_target(df: DataFrame, target: str = "target") -> DataFrame:
+    """The slices that a file sorted by target falls into, from running counts
+    of the targets: range_name, lo, hi (one row per target)."""
+    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
+    hi = F.sum("_n").over(Window.orderBy(F.col(target).asc_nulls_first()))
+    return counts.select(F.col(target).alias("range_name"), (hi - F.col("_n")).alias("lo"), hi.alias("hi"))
+
+
+def with_range(df: DataFrame, ranges: DataFrame, idx: str = "idx", searched: int = SEARCHED_RANGES) -> DataFrame:
+    """``df`` + range_name, the range [lo, hi) that holds the row's index; rows in
+    none are left out. Ranges do not overlap; there may be any number of them."""
+    ranges = ranges.select("range_name", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    n = ranges.count()
+    at = F.col(idx).cast("long")
+    if not n:
+        return df.withColumn("range_name", F.lit(None).cast(ranges.schema["range_name"].dataType)).where(F.lit(False))
+    if n > searched:
+        blocks = ranges.where("hi > lo").withColumn("_block", F.explode(F.sequence(
+            F.shiftright("lo", BLOCK_BITS), F.shiftright(F.col("hi") - 1, BLOCK_BITS))))
+        return df.withColumn("_block", F.shiftright(at, BLOCK_BITS)).join(blocks, "_block") \
+            .where((at >= F.col("lo")) & (at < F.col("hi"))).drop("_block", "lo", "hi")
+    table = ranges.where("hi > lo").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "range_name"))).alias("t")).scalar()
+    steps = F.array(*[F.lit(1 << b) for b in range(n.bit_length() - 1, -1, -1)])
+    held = F.col("_ranges")
+    # how many ranges start at or before the row: the largest power of two first
+    found = F.aggregate(steps, F.lit(0), lambda pos, step: F.when(
+        F.coalesce(F.get(held, pos + step - 1)["lo"] <= at, F.lit(False)), pos + step).otherwise(pos))
+    mine = df.withColumn("_ranges", table).withColumn("_range", F.get(held, found - 1))
+    return mine.where(at < F.col("_range.hi")).withColumn("range_name", F.col("_range.range_name")).drop("_ranges", "_range")
+
+
+def f1_by_range_table(df: DataFrame, ranges: DataFrame, idx: str = "idx", by: Sequence[str] = (), y: str = "y",
+                      p: str = "p", metric: str = "avg2") -> DataFrame:
+    """R12 for ranges given as a frame (range_name, lo, hi): every row meets its
+    range by search, and one aggregation scores all ranges. Ranges without rows
+    have no row."""
+    return f1_per_target(with_range(df, ranges, idx), "range_name", by, y, p, metric)
+
+
 def error_rows(df: DataFrame, y: str = "y", p: str = "p", domain: str = "polarity",
                only_errors: bool = True) -> DataFrame:
     res = df.withColumn("gold_label", decode_label(y, domain)).withColumn("pred_label", decode_label(p, domain))

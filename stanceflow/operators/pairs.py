@@ -149,10 +149,10 @@ def build_vocab(token_sets: Sequence[DataFrame], tokens: str = "tokens",
 
 def read_vectors(vectors: DataFrame, limit: int = 500_000, rank: str = "rank") -> DataFrame:
     """The first ``limit`` vectors in file order (in no particular order).
-    Only the ranks, unique numbers, are sorted to find the last one that is
-    in; the vectors themselves are filtered where they are."""
-    last = vectors.select(rank).where(F.col(rank).isNotNull()).orderBy(rank).limit(limit)
-    return vectors.where(F.col(rank) <= last.agg(F.max(rank)).scalar())
+    Ranks are unique; rows without one are no vectors. A large ``limit`` runs as
+    a distributed selection that ends in a filter."""
+    from stanceflow.operators.ordering import first_n
+    return first_n(vectors.where(F.col(rank).isNotNull()), limit, [rank])
 
 
 def uniform_fallback(seed: int, token: Column, dims: int, low: float = -0.25, high: float = 0.25) -> Column:

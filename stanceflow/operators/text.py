@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanceflow.functions.text import clean_aspect_tokens, clean_stance_tokens, split_words
@@ -78,6 +78,17 @@ def merge_dicts(base: DataFrame, override: DataFrame, key: str = "slang", value:
     return b.join(o, key, "full_outer").select(key, F.coalesce("_ov", "_bv").alias(value))
 
 
+def merged_hits(tokens: Column, hits: Column) -> Column:
+    """``tokens`` with each hit (position, replacement; sorted by position) put
+    in its place: the stretches between hits and the replacements, in turn.
+    Linear in the tokens."""
+    places = F.concat(F.array(F.lit(-1)), F.transform(hits, lambda h: h["_pos"]))
+    upto = F.zip_with(hits, F.slice(places, F.lit(1), F.size(hits)), lambda h, before: F.concat(
+        F.slice(tokens, before + 2, h["_pos"] - before - 1), h["_rep"]))
+    rest = F.slice(tokens, F.element_at(places, -1) + 2, F.size(tokens))
+    return F.concat(F.flatten(upto), rest)
+
+
 def normalize_tokens_by(df: DataFrame, dictionary: DataFrame, tokens: str = "tokens", out: str = "norm_tokens",
                         slang: str = "slang", expansion: str = "expansion") -> DataFrame:
     """C5 / J5 with a dictionary frame: ``df`` + ``out``, the tokens with each
@@ -94,9 +105,9 @@ def normalize_tokens_by(df: DataFrame, dictionary: DataFrame, tokens: str = "tok
     digest = F.sha2(F.array_join(F.col(tokens), "\u0001"), 256)
     keyed = df.withColumn("_list", digest)
     found = (keyed.select("_list", F.posexplode(tokens).alias("_pos", "_tok")).join(d, "_tok")
-             .groupBy("_list").agg(F.map_from_entries(F.collect_set(F.struct("_pos", "_rep"))).alias("_hits"))
+             .groupBy("_list").agg(F.array_sort(F.collect_set(F.struct("_pos", "_rep"))).alias("_hits"))
              .withColumnRenamed("_list", "_found"))
-    patched = F.flatten(F.transform(F.col(tokens), lambda t, i: F.coalesce(F.element_at("_hits", i), F.array(t))))
+    patched = merged_hits(F.col(tokens), F.col("_hits"))
     return (keyed.join(found, F.col("_list") == F.col("_found"), "left")
             .withColumn(out, F.when(F.col("_hits").isNull(), F.col(tokens)).otherwise(patched))
             .drop("_list", "_found", "_hits"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stanceflow.operators import metrics as M
 from stanceflow.operators.index import with_row_index
+from stanceflow.operators.ordering import number_rows
 from stanceflow.operators.labels import label_profile
 from stanceflow.plans.registry import query, rounded
 from stanceflow.plans.sqlviews import (
@@ -175,6 +176,20 @@ def q_f1_by_ranges(spark, sf):
     return rounded(M.f1_by_ranges(pv, SEMEVAL_RANGES, "idx", RUN))
 
 
+@query("f1_by_ranges_all", BASE + f""", n AS (SELECT target, count(*) AS n FROM stance_view GROUP BY target),
+ranges AS (SELECT target AS range_name, sum(n) OVER (ORDER BY target) - n AS lo, sum(n) OVER (ORDER BY target) AS hi FROM n),
+idx AS (SELECT *, row_number() OVER (PARTITION BY seed, epoch ORDER BY target, doc_id) - 1 AS idx FROM prediction_view)
+SELECT seed, epoch, range_name, n_rows, round(({f1c(0)} + {f1c(2)}) / 2, 6) AS f1
+FROM (SELECT i.seed, i.epoch, g.range_name, {class_counts('i.y', 'i.p')}
+      FROM idx i JOIN ranges g ON i.idx >= g.lo AND i.idx < g.hi GROUP BY i.seed, i.epoch, g.range_name)""")
+def q_f1_by_ranges_all(spark, sf):
+    """Ranges from the data: every row of the view in target order is scored."""
+    sv = stance_view(spark, sf).select("doc_id", "target", "y")
+    sv = M.with_range(number_rows(sv, ["target"], tie_break=["doc_id"]), M.ranges_by_target(sv))
+    pv = sv.select("doc_id", "range_name", "y", seed_epoch_grid()).withColumn("p", prediction_column())
+    return rounded(M.f1_per_target(pv, "range_name", RUN))
+
+
 @query("error_rows", BASE + """
 SELECT doc_id, seed, epoch, y, p,
        CASE y WHEN 0 THEN 'Against' WHEN 1 THEN 'None' WHEN 2 THEN 'Favor' END AS gold_label,

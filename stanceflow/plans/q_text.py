@@ -8,7 +8,9 @@ from stanceflow.functions.labels import decode_label, encode_label
 from stanceflow.functions.text import clean_aspect_tokens, clean_stance_tokens, normalize_tokens
 from stanceflow.operators import labels as L
 from stanceflow.operators import text as T
+from stanceflow.operators.align import align_by_position
 from stanceflow.operators.index import with_row_index
+from stanceflow.operators.ordering import number_rows
 from stanceflow.plans.registry import query, rounded
 from stanceflow.plans.sqlviews import (
     STANCE_VIEW, lit, sql_clean_aspect, sql_clean_stance, sql_normalize, with_views,
@@ -230,6 +232,66 @@ def q_row_index_nulls(spark, sf):
     return df.select("doc_id", "k", "idx", "idx_desc", "idx_target")
 
 
+@query("row_index_string", SV + """
+SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)) DESC) - 1 AS idx,
+       row_number() OVER (PARTITION BY target ORDER BY stance, md5(CAST(doc_id AS VARCHAR))) - 1 AS idx_target
+FROM stance_view""")
+def q_row_index_string(spark, sf):
+    """String keys, descending and repeated, over the whole view."""
+    df = stance_view(spark, sf).select("doc_id", "target", "stance", F.md5(F.col("doc_id").cast("string")).alias("k"))
+    df = number_rows(number_rows(df, [("k", True)]), ["stance"], "idx_target", ["target"], ["k"])
+    return df.select("doc_id", "idx", "idx_target")
+
+
+@query("row_index_decimal", SV + """
+SELECT doc_id, k, row_number() OVER (ORDER BY k NULLS FIRST, doc_id) - 1 AS idx
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN NULL ELSE CAST(1000 - doc_id % 37 AS DECIMAL(20,2)) / 8 END AS k0,
+             CAST(CASE WHEN doc_id % 5 = 2 THEN NULL ELSE (1000 - doc_id % 37) * 12.5 END AS DECIMAL(20,2)) AS k
+      FROM stance_view)""")
+def q_row_index_decimal(spark, sf):
+    """A decimal key with nulls and many repeats."""
+    k = F.when(F.pmod(F.col("doc_id"), F.lit(5)) != 2, (1000 - F.pmod(F.col("doc_id"), F.lit(37))) * F.lit(12.5))
+    df = stance_view(spark, sf).select("doc_id", k.cast("decimal(20,2)").alias("k"))
+    return number_rows(df, ["k"], tie_break=["doc_id"]).select("doc_id", "k", "idx")
+
+
+@query("row_index_sparse", SV + """
+SELECT doc_id, k, row_number() OVER (ORDER BY k) - 1 AS idx
+FROM (SELECT doc_id, (doc_id % 1000) * 9007199254740993 + doc_id AS k FROM stance_view)""")
+def q_row_index_sparse(spark, sf):
+    """Integer keys spread over 63 bits."""
+    k = F.pmod(F.col("doc_id"), F.lit(1000)) * F.lit(9007199254740993) + F.col("doc_id")
+    return number_rows(stance_view(spark, sf).select("doc_id", k.alias("k")), ["k"]).select("doc_id", "k", "idx")
+
+
+@query("row_index_one_value", SV + """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, 'same' AS k FROM stance_view""")
+def q_row_index_one_value(spark, sf):
+    """One key value that all rows share: numbers 0 to n - 1, in any order."""
+    return number_rows(stance_view(spark, sf).select(F.lit("same").alias("k")), ["k"]).select("idx", "k")
+
+
+@query("first_n_half", SV + """, r AS (
+SELECT doc_id, target, md5(CAST(doc_id AS VARCHAR)) AS k, count(*) OVER () AS n,
+       row_number() OVER (ORDER BY target DESC, md5(CAST(doc_id AS VARCHAR))) AS place FROM stance_view)
+SELECT doc_id, target, k FROM r WHERE place <= n // 2""")
+def q_first_n_half(spark, sf):
+    """Half of the rows, by selection: no sort of them anywhere."""
+    sv = stance_view(spark, sf).select("doc_id", "target", F.md5(F.col("doc_id").cast("string")).alias("k"))
+    return L.head_limit(sv, sv.count() // 2, [("target", True), "k"], in_one_task=16)
+
+
+@query("align_by_string", SV + """, l AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) AS i FROM stance_view),
+r AS (SELECT doc_id, target, row_number() OVER (ORDER BY target, stance, doc_id) AS i FROM stance_view)
+SELECT l.doc_id, r.doc_id AS r_doc_id, r.target AS r_target FROM l JOIN r USING (i)""")
+def q_align_by_string(spark, sf):
+    """Two files that belong together by position, in the order of string keys."""
+    sv = stance_view(spark, sf)
+    left = sv.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("k"))
+    right = sv.select("doc_id", "target", F.concat_ws("|", "target", "stance", F.lpad(F.col("doc_id").cast("string"), 20, "0")).alias("k"))
+    return align_by_position(left, right, "k", "k").select("doc_id", "r_doc_id", "r_target")
+
+
 @query("head_limit", SV + """
 SELECT doc_id, target, stance FROM stance_view ORDER BY doc_id LIMIT 100""")
 def q_head_limit(spark, sf):

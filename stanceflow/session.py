@@ -6,7 +6,10 @@ exist for tests, the bench and command-line use.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -38,3 +41,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir() or conf
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back; the
+    files go when the session's JVM ends. A local session without a folder gets
+    a temporary one."""
+    spark = df.sparkSession
+    try:
+        base = checkpoint_dir(spark)
+    except RuntimeError:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stanceflow-"))
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stanceflow.sources.csvlines import read_split_csv
+
 GENERATION_COLUMNS = ("Tweet", "Target", "GT Stance", "Prompt", "Generated Text", "Generated Stance")
 ASPECT_JSON_SCHEMA = "raw_words string, aspects array<struct<term: array<string>, polarity: string>>"
 ASPECT_CELL_SCHEMA = "array<struct<term: string, polarity: string>>"
@@ -21,16 +23,18 @@ NO_ASPECT_TERM, NO_ASPECT_POLARITY = "noaspectterm", "none"
 
 def read_labelled_csv(spark: SparkSession, path: str, names: Sequence[str] = ("text", "target", "stance"),
                       encoding: str = "ISO-8859-1", aux_col: str | None = "target_id",
-                      multiline: bool = False) -> DataFrame:
+                      multiline: bool | str = False) -> DataFrame:
     """S1 + S2: columns 0..len(names)-1 by position, renamed; the optional
     next column becomes ``aux_col`` (int), else the constant 1. Files are split
-    among tasks; only for files with line breaks inside quoted fields set
-    ``multiline`` (one task per file then). A path that ends in .jsonl or
+    among tasks; for files with line breaks inside quoted fields set ``multiline``:
+    "split" keeps large files split (``csvlines``), True takes one task per file. A path that ends in .jsonl or
     .parquet is read as that format, by column position too."""
     if path.rstrip("/").endswith(".parquet"):
         raw = spark.read.parquet(path)
     elif path.rstrip("/").endswith(".jsonl"):
         raw = spark.read.json(path)
+    elif multiline == "split":
+        raw = read_split_csv(spark, path, encoding)
     else:
         raw = (spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
                .option("multiLine", multiline).csv(path))

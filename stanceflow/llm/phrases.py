@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stanceflow.llm.common import Shared, staged
+from stanceflow.llm.common import Shared, release_memory, staged
 from stanceflow.llm.wordarrays import bundles, spread, starts_of, translated
 
 #: Separators of pieces ``[.,;:!?\x0A-\x0D]`` become line ends, a tab a space,
@@ -53,7 +53,7 @@ LOWERED = 0.6
 #: Bits of a filter: 16 for each phrase, up to 16 MB whatever the corpus.
 FILTER_BITS = (16, 27)
 #: Bytes of text in a bundle.
-BUNDLE_BYTES = 2_500_000
+BUNDLE_BYTES = 2_000_000
 #: Parts that a language's ranking is first cut down in.
 RANK_PARTS = 256
 
@@ -237,6 +237,8 @@ def count_phrases(docs: DataFrame, minimum: int, first: int, last: int, known: S
             if totals:
                 yield bundle.totals()
             yield from _counted(bundle, first, last, known and known(), fresh and fresh())
+            del batch, bundle
+            release_memory()
 
     return docs.select("lang", "text").mapInArrow(run, ROWS).groupBy("lang", "phrase", "k") \
         .agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= minimum))

@@ -95,7 +95,13 @@ class Vocabulary:
             self.ids.append(vocab[a + b])
         names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.specials.items()}
         size = max(names) + 1
-        spelt = [names.get(i, "").encode() + b" " for i in range(size)]
+        if self.suffix:
+            spelt = [names.get(i, "").encode() + b" " for i in range(size)]
+        else:  # byte-level: a token spells its bytes, and nothing stands between tokens
+            back = {c: b for b, c in byte_alphabet().items()}
+            special = set(self.specials.values())
+            spelt = [names.get(i, "").encode() if i in special else bytes([back[c] for c in names.get(i, "")])
+                     for i in range(size)]
         self.flat = np.frombuffer(b"".join(spelt), dtype=np.uint8)
         self.offset = np.concatenate([[0], np.cumsum([len(s) for s in spelt])]).astype(np.int64)
         n = len(self.strings)
@@ -182,15 +188,17 @@ class Vocabulary:
         return [ids[r] for r in self.encode_atoms("".join([inner[b] for b in piece[:-1]]) + self.last[piece[-1]])]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """Token strings joined by single spaces (a tokenizer file without a
-        decoder joins them so), as UTF-8."""
+        """Token strings as bytes: joined by single spaces where words have an
+        end mark (a tokenizer file without a decoder joins them so), else as
+        they follow each other."""
         if not len(ids):
             return b""
         start = self.offset[ids]
         size = self.offset[ids + 1] - start
         ends = np.cumsum(size)
         where = np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
-        return self.flat[where].tobytes()[:-1]
+        out = self.flat[where].tobytes()
+        return out[:-1] if self.suffix else out
 
 
 class PreTokens:
@@ -250,8 +258,11 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers; for
-        files that drop white space, so pieces are cut at spaces and line ends."""
+        """Ids of a whole text as little-endian unsigned 32-bit integers. Files
+        with word ends drop white space, so pieces are cut at spaces and line
+        ends; others keep it, and their own pre-tokens are the pieces."""
+        if not self.vocabulary.suffix:
+            return self.encode_spaced(text)
         known = self.known
         pieces = text.replace("\n", " ").split(" ")
         found = list(map(known.get, pieces))
@@ -264,6 +275,24 @@ class Encoder:
                     found[i] = known[p] = known.get(p) or self.pack(p)
         return b"".join(found)
 
+    def encode_spaced(self, text: str) -> bytes:
+        v, known, at = self.vocabulary, self.known, 0
+        if len(known) > PIECE_TABLE:
+            known.clear()
+        out: list[bytes] = []
+        for start, end, name in [*((m.start(), m.end(), m[0]) for m in self.special.finditer(text)),
+                                 (len(text), len(text), None)]:
+            for p in self.pre(text[at:start]):
+                b = known.get(p)
+                if b is None:
+                    ids = v.encode_bytes(p)
+                    b = known[p] = struct.pack(f"<{len(ids)}I", *ids)
+                out.append(b)
+            if name is not None:
+                out.append(struct.pack("<I", v.specials[name]))
+            at = end
+        return b"".join(out)
+
 
 def load(spark, path: str) -> Shared:
     """Broadcast merge tables of a tokenizer file (their size is the file's, a
@@ -291,6 +320,9 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
            decode: bool = True) -> DataFrame:
     """``keep`` columns + n_tokens (long), ids (binary, little-endian unsigned
     32-bit) and, with ``decode``, the text decoded from those ids."""
+    made = {"n_tokens", "ids", "decoded"}
+    if made.intersection(c.lower() for c in keep):
+        raise ValueError(f"columns named {sorted(made)} are the result's own: rename those to keep")
     tables = load(df.sparkSession, path)
     fields = [df.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]

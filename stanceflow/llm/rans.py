@@ -4,22 +4,26 @@ One table of symbol frequencies, counted over the whole corpus and scaled to
 2^``BITS``, is shared by all blocks. A block holds whole documents in key order
 and is coded on its own by ``LANES`` interleaved coders, so blocks are read in
 any order and a block's lanes advance together as vectors. Every
-``CHECKPOINT`` rounds the block notes its place in the stream and all lane
-states, so that reading can start there; a CRC-32 over the ids ends it.
+``CHECKPOINT`` rounds the block notes its place in the stream, all lane states
+and a CRC-32 of the ids up to the next checkpoint, so that reading can start
+and be checked there.
 
 A block's bytes (integers little-endian):
 
-    magic "RTB1" | u32 documents, symbols, lanes, rounds between checkpoints,
-    checkpoints, stream words | u32 crc32 of the ids | documents x (i64 key,
-    u8 has key, u32 ids) | checkpoints x (u32 stream place, lanes x u64 state)
-    | stream words x u32
+    magic "RTB2" | u32 documents, symbols, lanes, rounds between checkpoints,
+    checkpoints, stream words | u32 crc32 of the document list | documents x
+    (i64 key, u8 has key, u32 ids) | checkpoints x (u32 stream place, u32 crc32
+    of the segment's ids, lanes x u64 state) | stream words x u32
 
 Lane l codes the symbols l, l + LANES, ... of the block. States are 64 bits,
 kept in [2^31, 2^63) by 32-bit words.
 
-Blocks are rows (part, block, payload, counts) of a Parquet table in ascending
-key order, so that Spark's commit protocol covers them: a lost task leaves no
-half-written block, and the files live wherever Spark can write.
+A token file is a folder. ``blocks`` is a Parquet table of rows (part, block,
+counts, smallest and largest key, payload) in ascending key order, so that
+Spark's commit protocol covers them: a lost task leaves no half-written block.
+``header``, written last, is one row with all that reading needs: version,
+digest of the tokenizer file, number of symbols, end id, ids in all, and the
+frequency table. A folder without it is unfinished and is not read.
 
 Defined results: a null text is an empty document (its end id alone); rows
 without a key come first, repeated keys follow each other in an order fixed by
@@ -29,6 +33,7 @@ empty table gives an empty file; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -43,14 +48,19 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from stanceflow.llm.bpe import slices
-from stanceflow.llm.common import Shared, cached, staged
+from stanceflow.llm.common import Shared, cached, scratch_path, staged
 
 BITS = 18
 LANES = 2048
 BLOCK_SYMBOLS = 1 << 20
 CHECKPOINT = 256
 LOW = 1 << 31
-MAGIC = b"RTB1"
+MAGIC = b"RTB2"
+VERSION = 2
+
+#: Most ids that one task sorts and codes, on average; the number of parts
+#: follows from the corpus's ids.
+PART_IDS = 1 << 26
 
 
 # ---- tokenizing with the tokenizers library
@@ -212,6 +222,13 @@ class Table:
         self.bits = bits
         self._fill(freq)
 
+    @classmethod
+    def of(cls, freq: np.ndarray, bits: int) -> Table:
+        """The table with these scaled frequencies, as kept in a header."""
+        table = cls.__new__(cls)
+        table.__setstate__({"bits": bits, "freq": np.asarray(freq, dtype=np.int64)})
+        return table
+
     def _fill(self, freq: np.ndarray) -> None:
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
@@ -291,34 +308,71 @@ def decode_stream(stream: np.ndarray, marks: list[tuple[int, np.ndarray]], n: in
 def pack_block(keys: list[int | None], sizes: list[int], ids: np.ndarray, table: Table, lanes: int = LANES,
                every: int = CHECKPOINT) -> bytes:
     stream, marks = encode_stream(ids, table, lanes, every) if len(ids) else (np.zeros(0, "<u4"), [])
-    head = struct.pack("<4s7I", MAGIC, len(keys), len(ids), lanes, every, len(marks), len(stream),
-                       zlib.crc32(ids.astype("<u4").tobytes()))
     docs = b"".join(struct.pack("<qBI", k or 0, k is not None, s) for k, s in zip(keys, sizes, strict=True))
-    return head + docs + b"".join(struct.pack("<I", w) + st.tobytes() for w, st in marks) + stream.tobytes()
-
-
-def read_head(data: bytes):
-    magic, n_docs, n, lanes, every, n_marks, n_words, crc = struct.unpack_from("<4s7I", data)
-    if magic != MAGIC:
-        raise ValueError("not a token block")
-    at = struct.calcsize("<4s7I")
-    docs = list(struct.iter_unpack("<qBI", data[at:at + 13 * n_docs]))
-    at += 13 * n_docs
-    marks = []
-    for _ in range(n_marks):
-        marks.append((struct.unpack_from("<I", data, at)[0], np.frombuffer(data, "<u8", lanes, at + 4)))
-        at += 4 + 8 * lanes
-    return docs, n, lanes, every, marks, np.frombuffer(data, "<u4", n_words, at), crc
+    head = struct.pack("<4s7I", MAGIC, len(keys), len(ids), lanes, every, len(marks), len(stream), zlib.crc32(docs))
+    span = lanes * every
+    crcs = [segment_crc(ids[at:at + span]) for at in range(0, len(ids), span)]
+    return head + docs + b"".join(struct.pack("<2I", w, c) + st.tobytes()
+                                  for (w, st), c in zip(marks, crcs, strict=True)) + stream.tobytes()
+
+
+def segment_crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+class Block:
+    """A block's document list and, by need, its ids."""
+
+    def __init__(self, data: bytes):
+        magic, n_docs, self.n, self.lanes, self.every, n_marks, n_words, crc = struct.unpack_from("<4s7I", data)
+        if magic != MAGIC:
+            raise ValueError("not a token block")
+        at = struct.calcsize("<4s7I")
+        listed = data[at:at + 13 * n_docs]
+        if zlib.crc32(listed) != crc:
+            raise ValueError("a token block's checksum differs (document list)")
+        docs = list(struct.iter_unpack("<qBI", listed))
+        self.keys = [k if has else None for k, has, _ in docs]
+        self.sizes = np.array([s for _, _, s in docs], dtype=np.int64)
+        at += 13 * n_docs
+        self.marks, self.crcs = [], []
+        for _ in range(n_marks):
+            place, crc = struct.unpack_from("<2I", data, at)
+            self.marks.append((place, np.frombuffer(data, "<u8", self.lanes, at + 8)))
+            self.crcs.append(crc)
+            at += 8 + 8 * self.lanes
+        self.stream = np.frombuffer(data, "<u4", n_words, at)
+
+    def ids(self, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Ids at the places ``first`` up to ``last`` (exclusive) of the block.
+        Decoding starts at the checkpoint before and ends at the one after; the
+        checksum of each segment in between is held."""
+        last = self.n if last is None else min(last, self.n)
+        if last <= first:
+            return np.zeros(0, np.uint32)
+        span = self.lanes * self.every
+        low, high = first // span, -(-last // span)
+        ids = decode_stream(self.stream, self.marks, self.n, table, self.lanes, self.every, low, high)
+        for c in range(low, high):
+            if segment_crc(ids[(c - low) * span:(c - low + 1) * span]) != self.crcs[c]:
+                raise ValueError("a token block's checksum differs")
+        return ids[first - low * span:last - low * span]
+
+    def between(self, low: int | None, high: int | None) -> tuple[int, int]:
+        """The documents (first, end) whose keys lie in [low, high]; with a
+        bound given, documents without a key are outside."""
+        if low is None and high is None:
+            return 0, len(self.keys)
+        inside = [i for i, k in enumerate(self.keys)
+                  if k is not None and (low is None or k >= low) and (high is None or k <= high)]
+        return (inside[0], inside[-1] + 1) if inside else (0, 0)
 
 
 def unpack_block(data: bytes, table: Table) -> tuple[list[int | None], list[np.ndarray]]:
-    """(keys, ids of each document); the checksum is held."""
-    docs, n, lanes, every, marks, stream, crc = read_head(data)
-    ids = decode_stream(stream, marks, n, table, lanes, every) if n else np.zeros(0, np.uint32)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-        raise ValueError("a token block's checksum differs")
-    ends = np.cumsum([s for _, _, s in docs])
-    return [k if has else None for k, has, _ in docs], np.split(ids, ends[:-1]) if docs else []
+    """(keys, ids of each document); the checksums are held."""
+    block = Block(data)
+    ends = np.cumsum(block.sizes)
+    return block.keys, np.split(block.ids(table), ends[:-1]) if block.keys else []
 
 
 def blocks_of(rows: Iterable[tuple[int | None, np.ndarray]],
@@ -337,19 +391,21 @@ def blocks_of(rows: Iterable[tuple[int | None, np.ndarray]],
         yield keys, [len(p) for p in parts], np.concatenate(parts)
 
 
-BLOCK_SCHEMA = "part int, block int, n_docs long, n_ids long, payload binary"
+BLOCK_SCHEMA = "part int, block int, n_docs long, n_ids long, low_key long, high_key long, payload binary"
+HEADER_SCHEMA = "version int, tokenizer_sha256 string, symbols int, end_id int, n_ids long, bits int, freq array<int>"
 
 
-def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
-          end_id: int | None = 0) -> tuple[DataFrame, Table]:
-    """Encode ``docs`` with the tokenizer file at ``path`` and write the token
-    file: (its rows as read back from the files, the shared table)."""
+def write(docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text: str = "text",
+          end_id: int | None = 0) -> None:
+    """Encode ``docs`` with the tokenizer file at ``tokenizer`` and write the
+    token file to the new folder ``out``."""
     spark = docs.sparkSession
-    with open(path, "rb") as f:
-        symbols = Tokenizer.from_buffer(f.read()).get_vocab_size(with_added_tokens=True)
+    with open(tokenizer, "rb") as f:
+        data = f.read()
+    symbols = Tokenizer.from_buffer(data).get_vocab_size(with_added_tokens=True)
     symbols = max(symbols, 0 if end_id is None else end_id + 1)
     width = id_width(symbols)
-    tokens = staged(tokenize(docs, path, key, text, end_id), "tokens")
+    tokens = staged(tokenize(docs, tokenizer, key, text, end_id), "tokens")
     counts = np.zeros(symbols, dtype=np.int64)
     for i, n in count_ids(tokens, symbols).collect():  # at most one row per vocabulary entry
         counts[i] = n
@@ -368,22 +424,30 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
         for number, (keys, sizes, ids) in enumerate(blocks_of(rows())):
             payload = pack_block(keys, sizes, ids, shared())
+            named = [k for k in keys if k is not None]
+            values = [part, number, len(keys), len(ids), min(named, default=None), max(named, default=None), payload]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(keys)], pa.int64()),
-                 pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())],
-                names=["part", "block", "n_docs", "n_ids", "payload"])
+                [pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()],
+                                                  strict=True)],
+                names=["part", "block", "n_docs", "n_ids", "low_key", "high_key", "payload"])
 
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = int(counts.sum())
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_IDS))
     # the second sort column splits a key that very many rows share
     order = [F.col("doc_key").asc_nulls_first(), F.xxhash64("ids").asc()]
     ordered = tokens.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    return staged(ordered.mapInArrow(run, BLOCK_SCHEMA), "blocks"), table
-
-
-def read(blocks: DataFrame, table: Table, key: str = "doc_id") -> DataFrame:
-    """Per document from the file: key, start (ids of all documents before it),
-    n_tokens, ids (binary, little-endian unsigned 32-bit)."""
-    shared = Shared(blocks.sparkSession, table)
+    ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{out.rstrip('/')}/blocks")
+    header = (VERSION, hashlib.sha256(data).hexdigest(), symbols, end_id, total, table.bits, table.freq.tolist())
+    spark.createDataFrame([header], HEADER_SCHEMA).coalesce(1).write.parquet(f"{out.rstrip('/')}/header")
+
+
+def opened(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame, Table]:
+    """(blocks, (part, block, start) with each block's place in the whole file,
+    the shared table) of the token file in the folder ``out``."""
+    head = spark.read.schema(HEADER_SCHEMA).parquet(f"{out.rstrip('/')}/header").first()
+    if head is None or head.version != VERSION:
+        raise ValueError(f"no token file of version {VERSION}: {out}")
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{out.rstrip('/')}/blocks")
     # prefix sums in two steps: over the few parts, and over the blocks of each
     sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -391,22 +455,70 @@ def read(blocks: DataFrame, table: Table, key: str = "doc_id") -> DataFrame:
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     places = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("block_start")) \
         .join(parts, "part").select("part", "block", (F.col("part_start") + F.col("block_start")).alias("start"))
+    return blocks, places, Table.of(np.array(head.freq, dtype=np.int64), head.bits)
+
+
+def read(spark: SparkSession, out: str, low: int | None = None, high: int | None = None,
+         key: str = "doc_id") -> DataFrame:
+    """Per document from the file alone: key, start (ids of all documents before
+    it), n_tokens, ids (binary, little-endian unsigned 32-bit).
+
+    With ``low`` or ``high`` only documents with a key in [low, high]: other
+    blocks are pruned by their key columns, and in a block decoding starts at
+    the checkpoint before the first such document."""
+    if key in ("start", "n_tokens", "ids"):
+        raise ValueError(f"the key cannot be named {key}: that is a column of the result")
+    blocks, places, table = opened(spark, out)
+    if low is not None:
+        blocks = blocks.where(F.col("high_key") >= low)
+    if high is not None:
+        blocks = blocks.where(F.col("low_key") <= high)
+    shared = Shared(spark, table)
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("start", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for start, payload in zip(batch.column(0), batch.column(1), strict=True):
-                keys, ids = unpack_block(payload.as_py(), shared())
-                sizes = np.array([len(i) for i in ids], dtype=np.int64)
+                block = Block(payload.as_py())
+                first, end = block.between(low, high)
+                ends = np.cumsum(block.sizes)
+                at = ends[first:end] - block.sizes[first:end]
+                base = int(at[0]) if len(at) else 0
+                ids = block.ids(shared(), base, int(ends[end - 1]) if end else 0).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(start.as_py() + np.cumsum(sizes) - sizes, pa.int64()),
-                     pa.array(sizes, pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())],
+                    [pa.array(block.keys[first:end], pa.int64()), pa.array(start.as_py() + at, pa.int64()),
+                     pa.array(block.sizes[first:end], pa.int64()),
+                     pa.array([ids[a - base:b - base].tobytes() for a, b in zip(at, ends[first:end], strict=True)],
+                              pa.binary())],
                     names=[key, "start", "n_tokens", "ids"])
 
     return blocks.join(places, ["part", "block"]).select("start", "payload").mapInArrow(run, schema)
 
 
+def read_span(spark: SparkSession, out: str, first: int, last: int) -> DataFrame:
+    """The ids at the places ``first`` up to ``last`` (exclusive) of the whole
+    file, across document borders: rows (start, n_tokens, ids), one for each
+    block that holds some. Only those blocks' payloads are read, each from the
+    checkpoint before."""
+    blocks, places, table = opened(spark, out)
+    shared = Shared(spark, table)
+
+    def run(batches):
+        for batch in batches:
+            for start, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = Block(payload.as_py()).ids(shared(), max(0, first - start), last - start)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([max(first, start)], pa.int64()), pa.array([len(ids)], pa.int64()),
+                     pa.array([ids.astype("<u4").tobytes()], pa.binary())], names=["start", "n_tokens", "ids"])
+
+    wanted = blocks.select("part", "block", "n_ids").join(places, ["part", "block"]) \
+        .where((F.col("start") < last) & (F.col("start") + F.col("n_ids") > first)).select("part", "block", "start")
+    return blocks.join(wanted, ["part", "block"]).select("start", "payload") \
+        .mapInArrow(run, "start long, n_tokens long, ids binary")
+
+
 def digest(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    blocks, table = write(docs, path, end_id=0)
-    return read(blocks, table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    out = scratch_path(spark, "token-file")
+    write(docs, out, path, end_id=0)
+    return read(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 A text is reduced to its words once; one Aho-Corasick pass over them finds
-which rules' keywords occur, and only those rules' expressions run. Detections
+which rules' keywords occur, and only those rules' expressions run; the base
+phrases are searched in every text. Detections
 are taken by falling priority (then by place, then the longer one); one whose
 words lie inside those of a detection already taken is suppressed.
 
@@ -74,7 +75,13 @@ class Scanner:
         """Base places (first word, label), and the detections that stand."""
         line = f" {b' '.join(words).decode()} "
         which = {i for _, rules in self.automaton.iter(line) for i in rules}
-        if not which:
+        places = []
+        for phrase, label in BASE:
+            at = line.find(f" {phrase} ")
+            while at >= 0:
+                places.append((at + 1, label))
+                at = line.find(f" {phrase} ", at + 1)
+        if not which and not places:
             return [], []
         spaces = [m.start() for m in SPACE.finditer(line)]
 
@@ -82,12 +89,7 @@ class Scanner:
             """Number of the word that starts at a place of the line."""
             return bisect_left(spaces, place) - 1
 
-        base: list[tuple[int, str]] = []
-        for phrase, label in BASE:
-            at = line.find(f" {phrase} ")
-            while at >= 0:
-                base.append((word_at(at + 1), label))
-                at = line.find(f" {phrase} ", at + 1)
+        base = [(word_at(at), label) for at, label in places]
         hits = []
         for i in sorted(which):
             rule, pattern = self.rules[i]

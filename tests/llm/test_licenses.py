@@ -98,6 +98,12 @@ def test_forms_without_the_usual_word(text, label):
     assert [d[2] for d in scanner.scan(scanner.words(text))[1]] == [label]
 
 
+def test_base_places_do_not_depend_on_the_rules():
+    few = licenses.Scanner([r for r in signatures() if r.label == "zlib"])
+    for text in ("under the MIT license", "under the MIT license, or the zlib license"):
+        assert few.scan(few.words(text))[0] == [(0, "mit")]
+
+
 def test_name_of_a_bsd_notice_ends():
     scanner = licenses.Scanner(signatures())
     text = "neither the name of x. This software is provided as is. The names may be used to endorse or promote products"

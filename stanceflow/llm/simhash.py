@@ -104,11 +104,22 @@ def cells(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = prints.select("fp", F.explode(F.array(*[
         F.struct(F.lit(h).alias("h"), half(c, h).alias("cell")) for h in (0, 1)])).alias("at")) \
         .select(F.col("at.h").alias("h"), F.col("at.cell").alias("cell"), "fp")
+    return own, looked_into(own)
+
+
+def looked_into(rows: DataFrame) -> DataFrame:
+    """Rows (h, cell, ...) once for each cell that they look into: their own
+    (``same``) and those one step up."""
     steps = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << (2 * i)) for i in range(16)])
-    looks = own.select("h", "cell", "fp", F.explode(steps).alias("step")) \
+    rest = [c for c in rows.columns if c not in ("h", "cell")]
+    return rows.select("*", F.explode(steps).alias("step")) \
         .where((F.col("step") == 0) | (F.col("cell").bitwiseAND(F.col("step") * 2) == 0)) \
-        .select("h", (F.col("cell") + F.col("step")).alias("cell"), "fp", (F.col("step") == 0).alias("same"))
-    return own, looks
+        .select("h", (F.col("cell") + F.col("step")).alias("cell"), *rest, (F.col("step") == 0).alias("same"))
+
+
+def _part(ways: str) -> Column:
+    """Number of a fingerprint's block out of ``ways``."""
+    return F.pmod(F.xxhash64("fp"), F.col(ways)).cast("int")
 
 
 def links(prints: DataFrame, bits: int = 3, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
@@ -118,21 +129,24 @@ def links(prints: DataFrame, bits: int = 3, crowd: int = CROWD, block: int = BLO
     if bits > 3:
         raise ValueError("one half within one step is proven for up to 3 bits")
     own, looks = cells(prints)
-    crowded = staged(own.groupBy("h", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd), "crowded")
+    sizes = staged(own.groupBy("h", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    crowded = sizes.where(F.col("n") > crowd)
     mine = own.join(crowded, ["h", "cell"], "left_anti").withColumnRenamed("fp", "b")
     a, b = F.col("a"), F.col("b")
     near = (manhattan(counts(a), counts(b)) <= bits) & (F.bit_count(a.bitwiseXOR(b)) <= bits)
     la, mb = looks.withColumnRenamed("fp", "a").alias("x"), mine.alias("y")
     plain = la.join(mb, (F.col("x.h") == F.col("y.h")) & (F.col("x.cell") == F.col("y.cell"))
                     & (~F.col("same") | (a < b)) & near).select("a", "b")
-    # crowded cells: blocks of members against blocks of lookers
-    ways = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    place = F.pmod(F.xxhash64("fp"), F.col("ways")).cast("int")
-    keyed = crowded.select("h", "cell", ways.alias("ways"))
-    members = own.join(keyed, ["h", "cell"]).select("h", "cell", "fp", place.alias("i"), F.explode(
-        F.sequence(F.lit(0), F.col("ways") - 1)).alias("j"), F.lit(True).alias("member"))
+    # crowded cells: blocks of members against blocks of lookers, each side cut
+    # by its own number; a cell's lookers are the members of the cells around it
+    seen = looked_into(sizes).groupBy("h", "cell").agg(F.sum("n").alias("m"))
+    keyed = staged(crowded.join(seen, ["h", "cell"]).select(
+        "h", "cell", *[F.ceil(F.col(c) / F.lit(block)).cast("int").alias(w) for c, w in (("n", "rows"), ("m", "cols"))]),
+        "crowded")
+    members = own.join(keyed, ["h", "cell"]).select("h", "cell", "fp", _part("rows").alias("i"), F.explode(
+        F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(True).alias("member"))
     lookers = looks.join(keyed, ["h", "cell"]).select("h", "cell", "fp", F.explode(
-        F.sequence(F.lit(0), F.col("ways") - 1)).alias("i"), place.alias("j"), F.lit(False).alias("member"))
+        F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), _part("cols").alias("j"), F.lit(False).alias("member"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     dense = members.unionByName(lookers).groupBy("h", "cell", "i", "j").applyInArrow(
         lambda t: forest(t, bits), schema)

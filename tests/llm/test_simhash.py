@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -70,6 +72,28 @@ def test_crowded_cells_keep_the_components(spark, points, true_links):
     assert merged(points, dense) == merged(points, true_links)
 
 
+def test_lookers_of_a_small_cell_beside_large_ones_are_cut(spark, monkeypatch):
+    """A crowded cell whose neighbours hold many more: no group of its block
+    join is larger than both sides' blocks, and the components stay."""
+    rng = random.Random(3)
+    around = (84, 81, 69, 21)  # halves that are one step below 85
+    points = sorted({(h << 32) | rng.getrandbits(32) for h in (*around, 85) for _ in range(10 if h == 85 else 300)})
+    points += [p ^ 1 for p in points[::7]]
+    points = sorted(set(points))
+    df = spark.createDataFrame([(p,) for p in points], "fp long")
+    plain, limit = simhash.forest, 2 * 16 + 40
+
+    def checked(table, bits):
+        if table.num_rows > limit:
+            raise ValueError(f"a group of {table.num_rows} rows")
+        return plain(table, bits)
+
+    monkeypatch.setattr(simhash, "forest", checked)
+    dense = [(r.a, r.b) for r in simhash.links(df, crowd=3, block=16).collect()]
+    want = [(a, b) for i, a in enumerate(points) for b in points[:i] if (a ^ b).bit_count() <= 3]
+    assert merged(points, dense) == merged(points, want)
+
+
 def test_manhattan_bound_is_a_lower_bound(spark, points):
     from pyspark.sql import functions as F
     rows = list(zip(points, points[7:], strict=False))

@@ -8,6 +8,7 @@ from stanceflow.operators import align as J
 from stanceflow.operators import parse as PL
 from stanceflow.operators import perturb as T
 from stanceflow.operators.index import with_row_index
+from stanceflow.operators.keywords import explicit_flag_many
 from stanceflow.plans.q_generation import GV, _free_sql
 from stanceflow.plans.registry import query
 from stanceflow.plans.sqlviews import STANCE_VIEW, lit, with_views
@@ -123,3 +124,23 @@ def q_explicit_split(spark, sf):
     sv = stance_view(spark, sf).select("doc_id", "target", "text")
     kw = T.literal_frame(spark, KEYWORDS, "target", "keywords", "array<string>")
     return T.explicit_flag(sv, kw).select("doc_id", "target", "explicit")
+
+
+_LAST = "list_aggregate(list_filter(string_split(text, ' '), lambda w: w <> '')[-3:], 'string_agg', ' ')"
+
+
+@query("explicit_phrases", SV + f""",
+kw AS (SELECT DISTINCT target, {_LAST} AS phrase FROM stance_view WHERE stance = 'AGAINST'),
+hit AS (SELECT DISTINCT s.doc_id FROM stance_view s JOIN kw ON kw.target = s.target AND contains(s.text, kw.phrase))
+SELECT doc_id, target, doc_id IN (SELECT doc_id FROM hit) AS explicit FROM stance_view""")
+def q_explicit_phrases(spark, sf):
+    """T4 with long lists: a target's keywords are the last three words of each
+    of its AGAINST texts."""
+    sv = stance_view(spark, sf).select("doc_id", "target", "text", "stance")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    phrase = F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " ")
+    against = sv.where(F.col("stance") == "AGAINST").select("target", phrase.alias("k"))
+    some = against.groupBy("target").agg(F.collect_set("k").alias("keywords"))
+    kw = sv.select("target").distinct().join(some, "target", "left") \
+        .select("target", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    return explicit_flag_many(sv.drop("stance"), kw).select("doc_id", "target", "explicit")

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stanceflow.functions.text import clean_stance_tokens
+from stanceflow.operators import joint as JT
 from stanceflow.operators import metrics as M
 from stanceflow.operators import model as MD
 from stanceflow.operators.labels import aux_frame
@@ -130,3 +131,66 @@ def q_batch_score(spark, sf):
     emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
     scored = M.predict_label(MD.score_batches(emb, model, ["embedding"], batch_size=1024), "logits")
     return rounded(scored.select("vec_id", *[F.get("logits", F.lit(c)).alias(f"logit_{c}") for c in range(3)], "p"))
+
+
+JOINT_WIDTH = 4
+JOINT_RATE = 2.0
+
+
+def joint_frame(spark, sf):
+    """Task 0: text and target to the stance; task 1: the text alone to the
+    target's id, without rows of class 1."""
+    ids = F.create_map(*[F.lit(x) for kv in TARGET_IDS.items() for x in kv])
+    data = model_frame(spark, sf).withColumn("target_id", ids[F.col("target")])
+    both = data.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("task"))
+    return both.where((F.col("task") == 0) | (F.col("y") != 1)).select(
+        (F.col("doc_id") * 2 + F.col("task")).alias("row_id"), "tokens",
+        F.when(F.col("task") == 0, F.col("target_tokens")).otherwise(F.array().cast("array<string>")).alias("target_tokens"),
+        "task", F.when(F.col("task") == 0, F.col("y")).otherwise(F.col("target_id")).alias("label"))
+
+
+def _joint_sql() -> str:
+    start = ", ".join(f"-0.25 + ('0x' || substr(md5('1:' || term || ':{j}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 0.5"
+                      f" AS e{j}" for j in range(JOINT_WIDTH))
+    hidden = ", ".join(f"coalesce(sum(u.w * t.e{j}), 0) AS h{j}" for j in range(JOINT_WIDTH))
+    # heads start at zero: every class has the same probability in the first step
+    slopes = ", ".join(f"{JOINT_RATE!r} * sum(h{j} * ((label = c)::INTEGER - 1.0::DOUBLE / k)) / count(*) AS a{j}"
+                       for j in range(JOINT_WIDTH))
+    logit = " + ".join(f"h.h{j} * g.a{j}" for j in range(JOINT_WIDTH))
+    return SV + f""",
+r0 AS (SELECT doc_id * 2 + task AS row_id, CAST(task AS INTEGER) AS task, text, target_text,
+              CASE WHEN task = 0 THEN y ELSE CASE target {_IDS} END END AS label, CASE WHEN task = 0 THEN 3 ELSE 4 END AS k
+       FROM stance_view, range(2) t(task) WHERE task = 0 OR y <> 1),
+x AS (SELECT row_id, unnest({sql_clean_stance('text')}) AS term FROM r0),
+gx AS (SELECT row_id, unnest({sql_clean_stance('target_text')}) AS term FROM r0 WHERE task = 0),
+tf AS (SELECT row_id, term, count(*) AS tf FROM x GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT count(*) AS n FROM r0),
+w AS (SELECT row_id, term, sum(weight) AS weight FROM (
+        SELECT row_id, term, tf * ln((n + 1)::DOUBLE / (df + 1)) AS weight FROM tf JOIN df USING (term), n
+        UNION ALL SELECT row_id, term, count(*) * 1.5::DOUBLE FROM gx GROUP BY row_id, term) GROUP BY ALL),
+u AS (SELECT row_id, term, weight / coalesce(nullif(sqrt(sum(weight * weight) OVER (PARTITION BY row_id)), 0), 1) AS w FROM w),
+t AS (SELECT DISTINCT term, {start} FROM w),
+h AS (SELECT r0.row_id, r0.task, r0.label, r0.k, {hidden}
+      FROM r0 LEFT JOIN u ON u.row_id = r0.row_id LEFT JOIN t ON t.term = u.term GROUP BY ALL),
+cl AS (SELECT h.*, c FROM h, range(4) c(c) WHERE c < k),
+g AS (SELECT task, c, {slopes},
+             {JOINT_RATE!r} * sum((label = c)::INTEGER - 1.0::DOUBLE / k) / count(*) AS b FROM cl GROUP BY task, c, k),
+z AS (SELECT h.row_id, h.task, h.label, h.k, g.c, {logit} + g.b AS z FROM h JOIN g ON g.task = h.task),
+l AS (SELECT row_id, task, any_value(k) AS k, ln(sum(exp(z))) - max(z) FILTER (WHERE c = label) AS loss
+      FROM z GROUP BY row_id, task)
+SELECT task, count(*) AS n_rows, round(ln(any_value(k)::DOUBLE), 6) AS loss_0, round(avg(loss), 6) AS loss_1, true AS falls
+FROM l GROUP BY task"""
+
+
+@query("joint_two_head", _joint_sql())
+def q_joint_two_head(spark, sf):
+    """M5: both heads on one shared matrix. Per task: rows, the mean loss before
+    and after the first step (both follow from the features, the matrix's first
+    values and the gradient), and whether the last loss is below the first."""
+    rows, index = JT.prepare(joint_frame(spark, sf), "row_id", terms=1 << 20, width=JOINT_WIDTH)
+    _, told = JT.fit(rows, index, (3, len(TARGET_IDS)), steps=6, rate=JOINT_RATE)
+    first, second = (F.when(F.col("task") == 0, F.lit(told[i][0])).otherwise(F.lit(told[i][1])) for i in (0, 1))
+    falls = F.when(F.col("task") == 0, F.lit(told[-1][0] < told[0][0])).otherwise(F.lit(told[-1][1] < told[0][1]))
+    return rounded(rows.groupBy("task").agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "task", "n_rows", first.alias("loss_0"), second.alias("loss_1"), falls.alias("falls")))

@@ -6,7 +6,7 @@ import pytest
 from conftest import SF_SMALL
 from stanceflow.plans.queries import QUERIES
 
-MODEL_KEYS = {"train_classifier", "score_classifier", "two_head"}   # fit at construction time
+MODEL_KEYS = {"train_classifier", "score_classifier", "two_head", "joint_two_head"}   # fit at construction time
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "RoundRobinPartitioning")
 
 

@@ -151,6 +151,8 @@ def fit(rows: DataFrame, index: DataFrame, classes: tuple[int, int], steps: int
         blocks = table.mapInArrow(run, "block int, part binary").groupBy("block").applyInPandas(
             added, "block int, part binary").collect()  # one gradient
         whole = np.concatenate([np.frombuffer(b.part) for b in sorted(blocks, key=lambda b: b.block)])
+        if not np.isfinite(whole).all():
+            raise ValueError(f"the fit diverges at rate {rate}: take a smaller one")
         told.append(tuple(float(x / max(1, n.get(t, 0))) for t, x in enumerate(whole[:2])))
         model = model.like(model.flat() - rate * whole[2:])
         sent.unpersist()

@@ -75,6 +75,20 @@ def q_alignment_audit(spark, sf):
                              expected_subset=58)
 
 
+@query("alignment_differences", SV + f""", {REF_SQL},
+la AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM stance_view),
+ra AS (SELECT doc_id AS r_doc_id, post, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM ref WHERE seen = 1)
+SELECT coalesce(la.idx, ra.idx) AS idx, doc_id AS left_key, r_doc_id AS right_key,
+       CASE WHEN ra.idx IS NULL THEN 'left only' WHEN la.idx IS NULL THEN 'right only' ELSE 'text' END AS kind
+FROM la FULL OUTER JOIN ra ON la.idx = ra.idx
+WHERE ra.idx IS NULL OR la.idx IS NULL OR text IS DISTINCT FROM post""")
+def q_alignment_differences(spark, sf):
+    """Positions at which the second file, without its unseen rows, differs."""
+    ref = reference_file(spark, sf).where(F.col("seen") == 1)
+    return J.differing_positions(stance_view(spark, sf).select("doc_id", "text"), ref, "doc_id", "doc_id", "text", "post",
+                                 levels=2, chunk=32)
+
+
 @query("mask_targets", SV + """
 SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN '' ELSE target END AS target, target AS orig_target,
        CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split

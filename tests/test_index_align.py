@@ -86,6 +86,32 @@ def test_alignment_audit_flags(spark):
     assert r["n_mismatch"] == 2 and not r["length_ok"] and r["subset_ok"]
 
 
+def test_differing_positions(spark):
+    n = 3000
+    rows = [(i, None if i == 70 else "t%d" % i) for i in range(n)]
+    other = [(i, {5: "x", 2900: None, 2901: "y"}.get(i, t)) for i, t in rows] + [(n, "more")]
+    left = spark.createDataFrame(rows, "k long, text string")
+    right = spark.createDataFrame(other, "q long, post string")
+    got = sorted(tuple(r) for r in J.differing_positions(left, right, "k", "q", "text", "post", chunk=16).collect())
+    assert got == [(5, 5, 5, "text"), (2900, 2900, 2900, "text"), (2901, 2901, 2901, "text"), (n, None, n, "right only")]
+    ign = spark.createDataFrame([(5,), (n,)], "idx long")
+    rest = J.differing_positions(left, right, "k", "q", "text", "post", ignore=ign, levels=3, chunk=4)
+    assert sorted(r.idx for r in rest.collect()) == [2900, 2901]
+    assert J.differing_positions(left, left, "k", "k", "text", "text").count() == 0
+    none = J.differing_positions(left.limit(0), right.limit(2), "k", "q", "text", "post")
+    assert sorted(tuple(r) for r in none.collect()) == [(0, None, 0, "right only"), (1, None, 1, "right only")]
+
+
+def test_equal_chunks_are_skipped(spark):
+    left = spark.range(4096).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("t"))
+    right = left.withColumn("t", F.when(F.col("idx").isin(17, 3000), "x").otherwise(F.col("t")))
+    for levels in (1, 2, 3):
+        assert sorted(r.c for r in J.differing_chunks(left, right, levels, 16).collect()) == [1, 187]
+    # two rows that change places differ, although the chunk holds the same texts
+    moved = left.withColumn("t", F.when(F.col("idx") == 1, "2").when(F.col("idx") == 2, "1").otherwise(F.col("t")))
+    assert [r.c for r in J.differing_chunks(left, moved, 2, 16).collect()] == [0]
+
+
 def test_zero_shot_subset_renumbers(spark):
     parsed = spark.createDataFrame([(10 + i, "s%d" % i) for i in range(6)], "doc long, stance string")
     ref = spark.createDataFrame([(i, i % 2) for i in range(6)], "k long, seen int")

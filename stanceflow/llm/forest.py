@@ -8,12 +8,15 @@ its own. Then it comes up in all trees together: the length falls, the same in
 every tree, until the trees hold at least ``share`` times as many matches as
 there are vectors. What matches at that length is scored exactly.
 
-A tree's array is cut into pieces of about ``PIECE`` strings by a hash of the
-vector's key, and the queries likewise into blocks of about ``BLOCK``; tree,
-piece and block make one group, which gives at most ``k`` + 1 candidates per
-query, so a task's size does not grow with the table. Every query meets every
-piece: what is shuffled grows with queries times vectors (README). Equal vectors are one entry with
-their smallest keys, however many there are.
+The vectors are cut into pieces of at most about ``PIECE`` by a hash of the
+vector's key, and the queries likewise into blocks of about ``BLOCK``; a piece
+and a block make one group, which holds the arrays of all trees over one copy
+of the vectors and gives at most ``k`` + 1 candidates per query, so a task's
+size does not grow with the table. Smaller tables are cut into up to ``SPREAD``
+pieces of ``LEAST`` or more, to be dealt to several tasks; results do not depend
+on the cut. Every query meets every piece: what is shuffled grows with queries
+times vectors (README). Equal vectors are one entry with their smallest keys,
+however many there are.
 
 ``share`` trades work for recall and depends on how clustered the vectors are,
 not on their number. The default is for nearly unstructured vectors, where the
@@ -44,6 +47,10 @@ SHARE = 1.5
 PIECE = 65_536
 #: Queries in a block; as large as a piece, the copies of both sides are fewest.
 BLOCK = 65_536
+SPREAD = 16
+LEAST = 4_096
+#: Queries whose matches in all trees are merged at a time.
+CHUNK = 1_024
 SEED = 11
 
 
@@ -104,10 +111,12 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     classes = rows.groupBy("vec").agg(F.min("vec_key").alias("cid"), F.max(query).alias("asks")) \
         .withColumn("size", (F.octet_length("vec") / 8).cast("int"))
 
+    kind = "<i4" if bits < 32 else "<i8"
+
     def add_strings(batches):
         for whole in batches:
             for _, batch in by_size(whole):
-                strings = hash_strings(unpack(batch.column(0)), trees, bits).astype("<i8")
+                strings = hash_strings(unpack(batch.column(0)), trees, bits).astype(kind)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array([r.tobytes() for r in strings], pa.binary())],
                     names=[*batch.schema.names, "strings"])
@@ -117,45 +126,43 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     # one row per vector length: few, as so many different lengths take that much data
     pieces, blocks, least = {}, {}, {}
     for size, n, n_asks in base.groupBy("size").agg(F.count(F.lit(1)), F.count_if("asks")).collect():
-        pieces[size], blocks[size] = -(-n // piece), -(-n_asks // block)
+        pieces[size] = max(-(-n // piece), min(SPREAD, -(-n // LEAST)))
+        blocks[size] = -(-n_asks // block)
         least[size] = max(int(np.ceil(share * n)), trees * (k + 1))
 
-    def slot(size, tree, piece_, block_, n):
+    def slot(size, piece_, block_, n):
         """Columns of ``group``: numbers or arrays of them."""
-        return [pa.array(np.broadcast_to(np.asarray(x, np.int32), n)) for x in (size, tree, piece_, block_)]
+        return [pa.array(np.broadcast_to(np.asarray(x, np.int32), n)) for x in (size, piece_, block_)]
 
-    def strings_of(batch):
-        return np.frombuffer(b"".join(batch.column("strings").to_pylist()), "<i8").reshape(batch.num_rows, trees)
+    def strings_of(column) -> np.ndarray:
+        """(rows, trees) from the binary column."""
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, trees).astype(np.int64)
 
     def entries(batches):
-        """Index: one row per vector, tree and block of queries."""
+        """Index: one row per vector and block of queries."""
         for whole in batches:
             for size, batch in by_size(whole):
-                strings, place = strings_of(batch), batch.column("hash").to_numpy() % pieces[size]
-                for t in range(trees):
-                    for b in range(blocks[size]):
-                        yield pa.RecordBatch.from_arrays(
-                            [*slot(size, t, place, b, len(place)), pa.array(strings[:, t]), batch.column("cid"),
-                             batch.column("vec")], names=[*group, "string", "cid", "vec"])
+                place = batch.column("hash").to_numpy() % pieces[size]
+                for b in range(blocks[size]):
+                    yield pa.RecordBatch.from_arrays(
+                        [*slot(size, place, b, len(place)), *[batch.column(c) for c in batch.schema.names[2:]]],
+                        names=[*group, *batch.schema.names[2:]])
 
     def asked(batches):
-        """Queries: one row per vector, tree and piece."""
+        """Queries: one row per vector and piece."""
         for whole in batches:
             for size, batch in by_size(whole):
-                strings, place = strings_of(batch), batch.column("hash").to_numpy() % blocks[size]
-                rest = batch.schema.names[4:]
-                for t in range(trees):
-                    for p in range(pieces[size]):
-                        yield pa.RecordBatch.from_arrays(
-                            [*slot(size, t, p, place, len(place)), pa.array(strings[:, t]), batch.column("cid"),
-                             *[batch.column(c) for c in rest]], names=[*group, "string", "cid", *rest])
-
-    group = ["size", "tree", "piece", "block"]
-    slots = "size int, tree int, piece int, block int, string long, cid long"
-    index = base.select("cid", "size", "strings", F.xxhash64("cid").alias("hash"), "vec").mapInArrow(
-        entries, f"{slots}, vec binary")
+                place = batch.column("hash").to_numpy() % blocks[size]
+                for p in range(pieces[size]):
+                    yield pa.RecordBatch.from_arrays(
+                        [*slot(size, p, place, len(place)), *[batch.column(c) for c in batch.schema.names[2:]]],
+                        names=[*group, *batch.schema.names[2:]])
+
+    group = ["size", "piece", "block"]
+    slots = "size int, piece int, block int, strings binary, cid long"
+    keyed = base.select("size", F.xxhash64("cid").alias("hash"), "strings", "cid", "vec")
     # another hash than that of the pieces
-    asks = base.where("asks").select("cid", "size", "strings", F.xxhash64("cid", F.lit(SEED)).alias("hash"))
+    asks = base.where("asks").select("size", F.xxhash64("cid", F.lit(SEED)).alias("hash"), "strings", "cid")
 
     def bounds(own: np.ndarray, strings: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
         """Where the strings with the first ``level`` bits of ``own`` stand."""
@@ -164,57 +171,82 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
         return np.searchsorted(strings, low), np.searchsorted(strings, low + (1 << rest))
 
     def descend(queries: pa.Table, entries: pa.Table) -> pa.Table:
-        strings = np.sort(entries["string"].to_numpy())
-        own = queries["string"].to_numpy()
+        counts = np.zeros((bits + 1, queries.num_rows), np.int64)
+        if queries.num_rows and entries.num_rows:
+            own, all_strings = strings_of(queries["strings"]), strings_of(entries["strings"])
+            for t in range(trees):
+                strings = np.sort(all_strings[:, t])
+                for level in range(bits + 1):
+                    low, high = bounds(own[:, t], strings, level)
+                    counts[level] += high - low
         out = {"cid": queries["cid"], "least": pa.array([least[x] for x in queries["size"].to_pylist()], pa.int64())}
-        for level in range(bits + 1):
-            low, high = bounds(own, strings, level)
-            out[f"n{level}"] = pa.array(high - low, pa.int64())
-        return pa.table(out)
+        return pa.table(out | {f"n{level}": pa.array(c) for level, c in enumerate(counts)})
 
     levels = [f"n{level}" for level in range(bits + 1)]
     matches = asks.mapInArrow(asked, slots).groupBy(*group).cogroup(
-        index.select(*group, "string").groupBy(*group)).applyInArrow(
+        keyed.drop("vec").mapInArrow(entries, slots).groupBy(*group)).applyInArrow(
             descend, "cid long, least long, " + ", ".join(f"{c} long" for c in levels))
     total = matches.groupBy("cid").agg(F.max("least").alias("least"), *[F.sum(c).alias(c) for c in levels])
     # matches only grow on the way up: as many levels as still have enough
     enough = sum((F.when(F.col(c) >= F.col("least"), 1).otherwise(0) for c in levels[1:]), F.lit(0))
     chosen = total.select("cid", enough.cast("int").alias("level"))
 
+    def top(scores, cids):
+        """(row, place) of the ``k`` + 1 best of each row; ties at the edge: of
+        all that reach the last kept score, the smallest keys."""
+        keep = min(k + 1, scores.shape[1])
+        edge = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
+        r, c = np.nonzero(scores >= edge[:, None])
+        if len(r) > keep * len(scores):
+            by = np.lexsort((cids[c], -scores[r, c], r))
+            r, c = r[by], c[by]
+            good = np.arange(len(r)) - np.searchsorted(r, r) < keep
+            r, c = r[good], c[good]
+        return r, c
+
+    def merged(rows_, cids, scores):
+        """The best ``k`` + 1 different partners of each row over all trees."""
+        by = np.lexsort((-scores, cids, rows_))
+        rows_, cids, scores = rows_[by], cids[by], scores[by]
+        new = np.ones(len(rows_), bool)
+        new[1:] = (rows_[1:] != rows_[:-1]) | (cids[1:] != cids[:-1])
+        rows_, cids, scores = rows_[new], cids[new], scores[new]
+        by = np.lexsort((cids, -scores, rows_))
+        rows_, cids, scores = rows_[by], cids[by], scores[by]
+        good = np.arange(len(rows_)) - np.searchsorted(rows_, rows_) <= k
+        return rows_[good], cids[good], scores[good]
+
     def ascend(queries: pa.Table, entries: pa.Table) -> pa.Table:
-        strings = entries["string"].to_numpy()
-        order = np.argsort(strings, kind="stable")
-        strings, cids = strings[order], entries["cid"].to_numpy()[order]
-        found = {"qid": [], "cid": [], "score": []}
-        if queries.num_rows and len(cids):
-            x, q = unpack(entries["vec"])[order], unpack(queries["vec"])
-            low, high = bounds(queries["string"].to_numpy(), strings, queries["level"].to_numpy().astype(np.int64))
-            qids = queries["cid"].to_numpy()
-            # queries with one prefix share one stretch of the array
-            for a, b in {*zip(low.tolist(), high.tolist(), strict=True)}:
-                rows_ = np.nonzero((low == a) & (high == b))[0]
-                for at in range(0, len(rows_) if b > a else 0, 256):
-                    which = rows_[at:at + 256]
-                    scores = q[which] @ x[a:b].T
-                    keep = min(k + 1, b - a)
-                    # ties at the edge: of all that reach the last kept score, the smallest keys
-                    edge = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                    r, c = np.nonzero(scores >= edge[:, None])
-                    if len(r) > keep * len(which):
-                        by = np.lexsort((cids[a:b][c], -scores[r, c], r))
-                        r, c = r[by], c[by]
-                        good = np.arange(len(r)) - np.searchsorted(r, r) < keep
-                        r, c = r[good], c[good]
-                    found["qid"].append(qids[which][r])
-                    found["cid"].append(cids[a:b][c])
-                    found["score"].append(scores[r, c])
-        none = {"qid": np.zeros(0, np.int64), "cid": np.zeros(0, np.int64), "score": np.zeros(0)}
-        return pa.table({c: pa.array(np.concatenate(v) if v else none[c]) for c, v in found.items()})
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if queries.num_rows and entries.num_rows:
+            x, cids, strings = unpack(entries["vec"]), entries["cid"].to_numpy(), strings_of(entries["strings"])
+            q, own = unpack(queries["vec"]), strings_of(queries["strings"])
+            level, qids = queries["level"].to_numpy().astype(np.int64), queries["cid"].to_numpy()
+            orders = np.argsort(strings, axis=0, kind="stable")
+            arrays = np.take_along_axis(strings, orders, axis=0)
+            for start in range(0, len(q), CHUNK):
+                chunk, found = slice(start, start + CHUNK), []
+                for t in range(trees):
+                    low, high = bounds(own[chunk, t], arrays[:, t], level[chunk])
+                    # queries with one prefix share one stretch of the array
+                    for a, b in {*zip(low.tolist(), high.tolist(), strict=True)}:
+                        if b == a:
+                            continue
+                        which, at = np.nonzero((low == a) & (high == b))[0], orders[a:b, t]
+                        near = x[at]
+                        for some in np.array_split(which, -(-len(which) // 256)):
+                            scores = q[chunk][some] @ near.T
+                            r, c = top(scores, cids[at])
+                            found.append((some[r], cids[at][c], scores[r, c]))
+                if found:
+                    r, c, scores = merged(*map(np.concatenate, zip(*found, strict=True)))
+                    best.append((qids[chunk][r], c, scores))
+        return pa.table(dict(zip(("qid", "cid", "score"), map(np.concatenate, zip(*best, strict=True)), strict=True)))
 
     ready = asks.join(base.select("cid", "vec"), "cid").join(chosen, "cid") \
-        .select("cid", "size", "strings", "hash", "vec", "level")
+        .select("size", "hash", "strings", "cid", "vec", "level")
     near = ready.mapInArrow(asked, f"{slots}, vec binary, level int") \
-        .groupBy(*group).cogroup(index.groupBy(*group)) \
+        .groupBy(*group).cogroup(keyed.mapInArrow(entries, f"{slots}, vec binary").groupBy(*group)) \
         .applyInArrow(ascend, "qid long, cid long, score double") \
         .groupBy("qid", "cid").agg(F.max("score").alias("score"))
     by_query = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")

@@ -44,10 +44,10 @@ def test_query_blocks_bound_the_groups(spark):
     a, b = (forest.search(df, every=2, piece=64, block=n) for n in (65_536, 8))
     assert sorted((r.query_id, r.rank, r.vec_id) for r in a.collect()) \
         == sorted((r.query_id, r.rank, r.vec_id) for r in b.collect())
-    # both cogroups are keyed by tree, piece and block of queries
+    # both cogroups are keyed by piece and block of queries, with all trees inside
     plan = b._jdf.queryExecution().analyzed().toString()
     cogroups = [line for line in plan.split("\n") if "CoGroupsInArrow" in line]
-    assert len(cogroups) == 2 and all(re.search(r"tree#\d+, piece#\d+, block#\d+", line) for line in cogroups)
+    assert len(cogroups) == 2 and all(re.search(r"size#\d+, piece#\d+, block#\d+", line) for line in cogroups)
 
 
 def test_many_ties_at_the_edge(spark):

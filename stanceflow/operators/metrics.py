@@ -423,7 +423,8 @@ def evaluate(df: DataFrame, dataset: str, aux_eval: bool = False, metric: str =
     not aux: (F1_0 + F1_2)/2, or the three-class mean for Covid19.
     aux (VAST): micro or macro F1 (fixed labels 0-2 when ``fixed_labels``,
     else every class / present classes). per_target: per-target values,
-    except VAST, which reports per-class F1 named Against/None/Favor.
+    except VAST, which reports per-class F1 named Against/None/Favor in the
+    aux case and nothing more otherwise.
 
     The data is aggregated once, to counters per (by, target); the overall
     values are roll-ups of that small table. Pass ``counts`` (from
@@ -452,7 +453,7 @@ def evaluate(df: DataFrame, dataset: str, aux_eval: bool = False, metric: str =
         value = F.when(n_present > 0, tot / n_present).otherwise(F.lit(0.0))
     result = w.select(*by, F.lit("overall").alias("scope"), F.lit(metric if aux_eval else avg).alias("name"),
                       value.alias("value"))
-    if per_target:
+    if per_target and (aux_eval or dataset != "vast"):
         if dataset == "vast":
             rows = [F.struct(F.lit(n).alias("name"), _f1c(c).alias("value"))
                     for c, n in zip(CLASSES, STANCE_CLASS_NAMES)]

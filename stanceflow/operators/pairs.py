@@ -107,6 +107,20 @@ def head_mask_bias(spans: DataFrame, specs: Sequence[str], key: Sequence[str] =
         *key, "mask", "layer", "head", "on", (F.col("on") * F.col("mass")).alias("bias_mass"))
 
 
+def head_mask_mass(spans: DataFrame, specs: Sequence[str], key: Sequence[str] = ("doc_id",), layers: int = 12,
+                   heads: int = 12) -> DataFrame:
+    """``head_mask_bias`` without its cells: one row per row and mask. The heads
+    that are on form a rectangle, ``layers_on`` x ``heads_on``; each carries
+    ``mass``, together ``total_mass``."""
+    masks = []
+    for spec in specs:
+        lf, hf = parse_mask_spec(spec)
+        on = [sum(i < part * n - 1e-9 for i in range(n)) for part, n in ((lf, layers), (hf, heads))]
+        masks.append(F.struct(F.lit(spec).alias("mask"), F.lit(on[0]).alias("layers_on"), F.lit(on[1]).alias("heads_on")))
+    per = spans.select(*key, (F.col("alpha") * F.col("n_cells")).alias("mass"), F.inline(F.array(*masks)))
+    return per.withColumn("total_mass", F.col("mass") * F.col("layers_on") * F.col("heads_on"))
+
+
 # E8 ------------------------------------------------------------------------
 
 def update_by_ids(df: DataFrame, updates: DataFrame, id_col: str, value_col: str,

@@ -45,8 +45,13 @@ def shuffle_targets(df: DataFrame, key: str, target: str = "target", seed: int =
 def negate_targets(df: DataFrame, negations: DataFrame, target: str = "target", y: str = "y",
                    split_col: str | None = None, split: str | None = None) -> DataFrame:
     """Replace the target through the negation dictionary (unmapped
-    targets unchanged) and flip labels 2 <-> 0 on every row, mapped or not."""
-    neg = negations.select(F.col("target").alias("_t"), F.col("negated").alias("_neg"))
+    targets unchanged) and flip labels 2 <-> 0 on every row, mapped or not.
+    Repeated entries count once; a target with two different negations is an
+    error, raised inside the plan."""
+    low, high = F.min("negated"), F.max("negated")
+    neg = negations.groupBy(F.col("target").alias("_t")).agg(
+        F.when(low == high, low).when(low != high, F.raise_error(F.concat(
+            F.lit("two negations of target "), F.first("target")))).alias("_neg"))
     cond = _only(split_col, split)
     out = df.join(neg, F.col(target) == F.col("_t"), "left").withColumn("orig_target", F.col(target))
     flipped = F.when(F.col(y) == 2, F.lit(0)).when(F.col(y) == 0, F.lit(2)).otherwise(F.col(y))
@@ -58,9 +63,11 @@ def negate_targets(df: DataFrame, negations: DataFrame, target: str = "target",
 
 def explicit_flag(df: DataFrame, keywords: DataFrame, text: str = "text", target: str = "target") -> DataFrame:
     """T4: ``explicit`` is true for rows that mention a keyword of their target
-    (case-sensitive substring). A target without keywords is an error, raised
-    inside the plan when such a row is met."""
-    kw = keywords.select(F.col("target").alias("_t"), F.col("keywords").alias("_kw"))
+    (case-sensitive substring). The lists of a repeated target count together.
+    A target without keywords is an error, raised inside the plan when such a
+    row is met."""
+    kw = keywords.groupBy(F.col("target").alias("_t")).agg(
+        F.when(F.count("keywords") > 0, F.flatten(F.collect_list("keywords"))).alias("_kw"))
     j = df.join(kw, F.col(target) == F.col("_t"), "left")
     hit = F.exists("_kw", lambda k: F.col(text).contains(k))
     flag = F.when(F.col("_kw").isNull(),

@@ -134,6 +134,18 @@ def q_head_mask_bias(spark, sf):
     return rounded(E.head_mask_bias(spans, MASK_SPECS))
 
 
+# Twelve layers and heads: a quarter is 3, a half 6, three quarters 9.
+@query("head_mask_mass", TOKS + spans_sql((128,)) + f""",
+m(mask, layers_on, heads_on) AS (VALUES ('0.50l_0.25h', 6, 3), ('0.50l_0.50h', 6, 6), ('0.50l_1.00h', 6, 12),
+                                       ('1.00l_0.25h', 12, 3), ('1.00l_0.50h', 12, 6))
+SELECT sp.doc_id, m.mask, m.layers_on, m.heads_on, round(mass, 6) AS mass,
+       round(mass * m.layers_on * m.heads_on, 6) AS total_mass
+FROM (SELECT doc_id, {ALPHA}::DOUBLE * coalesce(span_end - span_start, 0) * coalesce(span_end - span_start, 0) AS mass
+      FROM sp) sp, m""")
+def q_head_mask_mass(spark, sf):
+    return rounded(E.head_mask_mass(E.ta_bias(encoded(spark, sf, 128), ALPHA), MASK_SPECS))
+
+
 # --- E8 / E9 -------------------------------------------------------------------
 
 def _updates(spark, sf):

@@ -16,7 +16,7 @@ from stanceflow.plans.sqlviews import (
     STANCE_VIEW, lit, sql_clean_aspect, sql_clean_stance, sql_normalize, with_views,
 )
 from stanceflow.plans.views import DICT_BASE, DICT_OVERRIDE, dictionary_frames, nested_view, stance_view, table
-from stanceflow.sources.readers import flatten_aspects, parse_aspect_cell, split_by_key
+from stanceflow.sources.readers import flatten_aspects, parse_aspect_cell, split_aspect_cells, split_by_key
 
 
 def merged_pairs():
@@ -346,6 +346,33 @@ SELECT conv_id,
        role <> 'system' AS has_aspect
 FROM conversations""")
 def q_aspect_cell(spark, sf):
+    return parse_aspect_cell(aspect_cells(spark, sf), "cell", keep=["conv_id"])
+
+
+# Every third conversation's cell is cut off, every third has no cell at all.
+@query("aspect_cell_quarantine", """
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'no list' ELSE 'missing cell' END AS reason
+FROM conversations GROUP BY conv_id HAVING conv_id % 3 <> 2""")
+def q_aspect_cell_quarantine(spark, sf):
+    third = F.col("conv_id") % 3
+    cells = aspect_cells(spark, sf).withColumn("cell", F.when(third == 0, F.expr("left(cell, length(cell) - 2)"))
+                                               .when(third == 2, F.col("cell")))
+    return split_aspect_cells(cells, "cell", keep=["conv_id"])[1].select("conv_id", "reason")
+
+
+@query("aspect_cell_readable", """
+SELECT conv_id,
+       CASE WHEN role = 'system' THEN NULL ELSE lower(array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ')) END AS aspect,
+       CASE WHEN role = 'system' THEN 'none' WHEN role = 'user' THEN 'positive' ELSE 'negative' END AS polarity,
+       role <> 'system' AS has_aspect
+FROM conversations WHERE conv_id % 3 <> 0""")
+def q_aspect_cell_readable(spark, sf):
+    cells = aspect_cells(spark, sf).withColumn(
+        "cell", F.when(F.col("conv_id") % 3 == 0, F.expr("left(cell, length(cell) - 2)")).otherwise(F.col("cell")))
+    return split_aspect_cells(cells, "cell", keep=["conv_id"])[0]
+
+
+def aspect_cells(spark, sf):
     conv = table(spark, sf, "conversations")
     term = F.when(F.col("role") == "system", F.lit("noaspectterm")).otherwise(
         F.lower(F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), " ")))
@@ -354,6 +381,5 @@ def q_aspect_cell(spark, sf):
     item = F.concat(F.lit("{'term': '"), term, F.lit("', 'polarity': '"), pol, F.lit("'}"))
     # one literal-list cell per conversation, items in turn order
     items = F.array_sort(F.collect_list(F.struct("turn", item.alias("item"))))
-    cells = conv.groupBy("conv_id").agg(
+    return conv.groupBy("conv_id").agg(
         F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["item"]), ", "), F.lit("]")).alias("cell"))
-    return parse_aspect_cell(cells, "cell", keep=["conv_id"])

@@ -79,10 +79,29 @@ def flatten_aspects(df: DataFrame, raw: str = "raw_words", aspects: str = "aspec
                      F.col("_a.polarity").alias("polarity"))
 
 
+def _aspects_of(cell: str):
+    return F.from_json(F.col(cell), ASPECT_CELL_SCHEMA, {"allowSingleQuotes": "true"})
+
+
+def split_aspect_cells(df: DataFrame, cell: str, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(aspect rows of the readable cells, unreadable cells with a reason).
+
+    A null cell, one that is no list of literals (cut off, empty string) and one
+    with an item that lacks its term or polarity are kept whole in the second
+    frame, with all columns of ``df``; an empty list gives no rows."""
+    parsed = _aspects_of(cell)
+    bad_item = F.exists(parsed, lambda a: a.isNull() | a["term"].isNull() | a["polarity"].isNull())
+    tagged = df.withColumn("reason", F.when(F.col(cell).isNull(), "missing cell").when(parsed.isNull(), "no list")
+                           .when(bad_item, "item without term or polarity"))
+    good = tagged.filter(F.col("reason").isNull() & (F.size(parsed) > 0))
+    return parse_aspect_cell(good, cell, keep), tagged.filter(F.col("reason").isNotNull())
+
+
 def parse_aspect_cell(df: DataFrame, cell: str, keep: Sequence[str] = ()) -> DataFrame:
     """A string cell holding a list literal with single quotes -> one row
-    per aspect; the sentinel term marks a row without aspect (term null)."""
-    parsed = F.from_json(F.col(cell), ASPECT_CELL_SCHEMA, {"allowSingleQuotes": "true"})
+    per aspect; the sentinel term marks a row without aspect (term null). A cell
+    that cannot be read is a row of nulls; ``split_aspect_cells`` sets it aside."""
+    parsed = _aspects_of(cell)
     ex = df.select(*keep, F.explode_outer(parsed).alias("_a"))
     sentinel = (F.col("_a.term") == NO_ASPECT_TERM) & (F.col("_a.polarity") == NO_ASPECT_POLARITY)
     return ex.select(*keep, F.when(sentinel, F.lit(None)).otherwise(F.col("_a.term")).alias("aspect"),

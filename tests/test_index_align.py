@@ -68,6 +68,16 @@ def test_negate_flips_every_row(spark):
     neg = spark.createDataFrame([("en", "not en")], "target string, negated string")
     got = {r["k"]: (r["target"], r["y"]) for r in T.negate_targets(df, neg).collect()}
     assert got == {1: ("not en", 0), 2: ("xx", 2), 3: ("not en", 1)}
+    # repeated entries double no row, different ones are an error
+    assert T.negate_targets(df, neg.union(neg)).count() == 3
+    with pytest.raises(Exception, match="two negations of target en"):
+        T.negate_targets(df, neg.union(spark.createDataFrame([("en", "un-en")], neg.schema))).collect()
+
+
+def test_repeated_keyword_lists_count_together(spark):
+    df = spark.createDataFrame([(1, "a cat", "t"), (2, "a dog", "t"), (3, "a cow", "t")], "k long, text string, target string")
+    kw = spark.createDataFrame([("t", ["cat"]), ("t", ["dog"])], "target string, keywords array<string>")
+    assert {r["k"]: r["explicit"] for r in T.explicit_flag(df, kw).collect()} == {1: True, 2: True, 3: False}
 
 
 def test_mask_targets_test_split_only(spark):

@@ -106,6 +106,8 @@ def test_evaluate_policies(spark):
     assert ("overall", "avg3") in got and ("target", "a") in got
     vast = {r["name"] for r in M.evaluate(df, "vast", aux_eval=True, metric="macro", per_target=True).collect()}
     assert {"Against", "None", "Favor", "macro"} <= vast
+    plain = M.evaluate(df, "vast", per_target=True).collect()
+    assert [(r["scope"], r["name"]) for r in plain] == [("overall", "avg2")]
 
 
 def test_score_tables_drop_independently(spark):

@@ -87,3 +87,15 @@ def test_head_mask_multiplies_each_row(spark):
     assert len(rows) == 288
     assert sum(r["bias_mass"] for r in rows if r["doc_id"] == 1) == 18 * 0.5 * 9
     assert all(r["bias_mass"] == 0 for r in rows if r["doc_id"] == 2 or not r["on"])
+
+
+def test_head_mask_mass_sums_the_cells(spark):
+    df = E.ta_bias(spark.createDataFrame([(1, 3, 6), (2, 4, None)], "doc_id long, span_start int, span_end int"), 0.5)
+    specs = ["0.50l_0.25h", "1.00l_1.00h", "0.00l_1.00h", "0.30l_0.10h"]
+    cells = {}
+    for r in E.head_mask_bias(df, specs).collect():
+        on, mass = cells.get((r["doc_id"], r["mask"]), (0, 0.0))
+        cells[r["doc_id"], r["mask"]] = (on + r["on"], mass + r["bias_mass"])
+    got = {(r["doc_id"], r["mask"]): (r["layers_on"] * r["heads_on"], r["total_mass"])
+           for r in E.head_mask_mass(df, specs).collect()}
+    assert got == cells and len(got) == 8

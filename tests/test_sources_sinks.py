@@ -65,6 +65,19 @@ def test_literal_list_cells(spark):
         (0, "bed", True), (0, "room", True), (1, None, False)]
 
 
+def test_unreadable_aspect_cells_are_set_aside(spark):
+    item = "{'term': 'bed', 'polarity': 'positive'}"
+    cells = [f"[{item}]", f"[{item}, {{'term'", "", None, "[]", "nonsense", f"[{item}, {{'term': 'x'}}]",
+             "[{'term': 'noaspectterm', 'polarity': 'none'}]", f"[{item}", "[null]", "5"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, cell string")
+    rows, bad = S.split_aspect_cells(df, "cell", keep=["i"])
+    assert sorted((r["i"], r["aspect"]) for r in rows.collect()) == [(0, "bed"), (7, None)]
+    item_reason = "item without term or polarity"
+    assert {r["i"]: (r["cell"], r["reason"]) for r in bad.collect()} == {
+        i: (cells[i], why) for i, why in {1: "no list", 2: "no list", 3: "missing cell", 5: "no list", 6: item_reason,
+                                          8: "no list", 9: item_reason, 10: "no list"}.items()}
+
+
 def test_generation_round_trip_and_parsed_sink(spark, tmp_dir):
     df = spark.createDataFrame([("t1", "x", "FAVOR", "p1", "[/INST] NONE"), ("t2", "x", "NONE", "p2", None)],
                                "text string, target string, stance string, prompt string, generated_text string")

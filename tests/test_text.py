@@ -104,3 +104,28 @@ def test_clean_stance_takes_a_dictionary_frame(spark):
 def test_long_literal_dictionary_is_refused(spark):
     with pytest.raises(ValueError, match="DataFrame"):
         normalize_tokens("t", [(str(i), "x") for i in range(100)])
+
+
+def test_dictionary_rows_stay_where_they_are(spark, monkeypatch):
+    """A dictionary that fits is looked up in place; joined or looked up, the
+    lists are those of a plain loop."""
+    lists = [["a", "b", "a"], [], None, [None, "a"], ["a"], ["zz", "b", "c"], ["é", "b"], ["a", "b", "a"]]
+    entries = [("a", "x y"), ("a", "x  z"), ("b", " "), ("c", None), (None, "q"), ("é", "\U0001f600"), ("nowhere", "n")]
+    d = spark.createDataFrame(entries, "slang string, expansion string")
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, t array<string>").repartition(3)
+    known = {"a": ["x", "z"], "b": [], "c": [], "é": ["\U0001f600"]}
+    want = {i: None if x is None else [w for t in x for w in known.get(t, [t])] for i, x in enumerate(lists)}
+
+    def got(frame):
+        return {r.id: r.n for r in frame.collect()}
+
+    sent = T.normalize_tokens_by(df, d, "t", "n")
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1       # the repartition above
+    assert got(sent) == want
+    monkeypatch.setattr(T, "SENT_CHARS", 0)
+    joined = T.normalize_tokens_by(df, d, "t", "n")
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert got(joined) == want
+    none = d.where("slang = 'absent'")
+    assert got(T.normalize_tokens_by(df, none, "t", "n")) == dict(enumerate(lists))

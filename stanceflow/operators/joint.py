@@ -40,8 +40,9 @@ def term_index(features: DataFrame, terms: int, width: int, seed: int) -> DataFr
 
 def sparse_rows(features: DataFrame, index: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with idx (array<int>, ascending) and weight (array<double>, of
-    length 1): their indexed terms. A row without any has empty arrays."""
-    met = features.join(index.select("term", "idx"), "term").groupBy(key).agg(
+    length 1): their indexed terms. A row without any has empty arrays. The
+    index goes to every task: ``terms`` bounds it."""
+    met = features.join(F.broadcast(index.select("term", "idx")), "term").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_cells"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
     norm = F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(F.lit(1.0))

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, VectorAssembler
@@ -20,6 +22,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stanceflow.session import staged
 
 #: Hash slots by default. Terms share slots once there are about as many as
 #: slots; pass more for larger vocabularies.
@@ -33,18 +38,49 @@ def ta_features(df: DataFrame, alpha: float = 0.5, key: str = "doc_id", tokens:
     counts by inverse document frequency, ln((n + 1) / (df + 1)), plus the
     target's term counts by 1 + alpha. ``key`` names a row.
 
-    Counts combine on the map side; a term that most texts hold is one row of
-    the frequency table and the key of a plain join."""
-    def counts(col):
-        return df.select(key, F.explode(col).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-    text, target = counts(tokens), counts(target_tokens)
-    n = df.agg(F.count(F.lit(1))).scalar()
-    idf = text.groupBy("term").agg(F.count(F.lit(1)).alias("df")) \
-        .select("term", F.log((n + 1) / (F.col("df") + 1)).alias("idf"))
-    weighted = text.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    aimed = target.select(key, "term", (F.col("tf") * F.lit(1.0 + alpha)).alias("weight"))
-    return weighted.unionByName(aimed).groupBy(key, "term").agg(F.sum("weight").alias("weight"))
+    Terms are counted where the rows are and the counts written once; only a
+    ``key`` that several rows share moves them (their counts add up). The
+    frequency that most terms have, that of rare ones, needs no table; Spark
+    broadcasts the table of the others when it is small. Runs jobs when called."""
+    held = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    counts = term_counts(df, key, tokens, target_tokens)
+    if (held["most"] or 0) > 1:
+        counts = counts.groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.sum("aimed").alias("aimed"))
+    counts = staged(counts, "term-counts")
+    in_text = (F.col("tf") > 0) & F.col("term").isNotNull()
+    held_by = staged(counts.where(in_text).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-frequencies")
+    usual = held_by.groupBy("df").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "df").first()
+    usual = usual["df"] if usual else 0
+    others = staged(held_by.where(F.col("df") != usual), "term-frequencies")
+    df_of = F.when(in_text, F.coalesce("df", F.lit(usual)))
+    idf = F.log(((held["n"] or 0) + 1) / (df_of + 1))
+    weight = F.coalesce(F.col("tf") * idf, F.lit(0.0)) + F.col("aimed") * F.lit(1.0 + alpha)
+    return counts.join(others, "term", "left").where((F.col("aimed") > 0) | in_text) \
+        .select(key, "term", weight.alias("weight"))
+
+
+def term_counts(df: DataFrame, key: str, tokens: str, target_tokens: str) -> DataFrame:
+    """(key, term, tf, aimed): per row of ``df``, how often each of its terms
+    stands in the text and in the target."""
+    field = df.schema[key]
+    schema = T.StructType([field, T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()),
+                           T.StructField("aimed", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.columns[1:]
+            rows = np.concatenate([np.repeat(np.arange(len(x)), pc.fill_null(pc.list_value_length(x), 0)) for x in lists])
+            words = pa.chunked_array([x.flatten() for x in lists]).combine_chunks()
+            words = words.dictionary_encode(null_encoding="encode")
+            known = max(1, len(words.dictionary))
+            met, which = np.unique(rows.astype(np.int64) * known + words.indices.to_numpy(), return_inverse=True)
+            in_text = len(lists[0].flatten())
+            tf, aimed = (np.bincount(w, minlength=len(met)) for w in (which[:in_text], which[in_text:]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(met // known)), words.dictionary.take(pa.array(met % known)),
+                 pa.array(tf, pa.int64()), pa.array(aimed, pa.int64())], names=[batch.schema.names[0], "term", "tf", "aimed"])
+
+    return df.select(key, tokens, target_tokens).mapInArrow(run, schema)
 
 
 def with_feature_tokens(df: DataFrame, tokens: str = "tokens", target_tokens: str = "target_tokens") -> DataFrame:

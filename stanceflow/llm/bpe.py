@@ -43,6 +43,10 @@ from stanceflow.llm.common import Shared, cached
 #: Entries of a worker's table of encoded pieces; the table is emptied when full.
 PIECE_TABLE = 500_000
 
+#: Pairs of neighbouring tokens, and pre-tokens, whose results a worker keeps.
+PAIR_TABLE = 300_000
+WORD_TABLE = 200_000
+
 #: Text handled by one output batch (characters).
 BATCH_CHARS = 4_000_000
 
@@ -105,6 +109,7 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(spelt), dtype=np.uint8)
         self.offset = np.concatenate([[0], np.cumsum([len(s) for s in spelt])]).astype(np.int64)
         n = len(self.strings)
+        self.keeps: dict[int, bool] = {}
         self.alone = [True] * n
         self._tables()
         self.alone = [self.encode_atoms(s) == [r] for r, s in enumerate(self.strings)]
@@ -125,10 +130,11 @@ class Vocabulary:
         self.automaton.make_automaton()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "keeps")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
+        self.keeps = {}
         self._tables()
 
     def compatible(self, a: int, b: int) -> bool:
@@ -157,7 +163,9 @@ class Vocabulary:
         """Ranks of the tokens of a string of atoms."""
         n = len(word)
         longest = [-1] * (n + 1)
-        length = self.length
+        length, keeps = self.length, self.keeps
+        if len(keeps) > PAIR_TABLE:
+            keeps.clear()
         for end, r in self.automaton.iter(word):
             longest[end + 1 - length[r]] = r
         shorter, compatible = self.shorter, self.compatible
@@ -168,8 +176,14 @@ class Vocabulary:
             before = out[-1] if out else -1
             while token >= 0:
                 end = pos + length[token]
-                if not dead[end] and (before < 0 or compatible(before, token)):
-                    break
+                if not dead[end]:
+                    if before < 0:
+                        break
+                    kept = keeps.get(before << 32 | token)
+                    if kept is None:
+                        kept = keeps[before << 32 | token] = compatible(before, token)
+                    if kept:
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
@@ -185,7 +199,7 @@ class Vocabulary:
         """Vocabulary ids of one pre-token given as bytes."""
         inner = self.inner
         ids = self.ids
-        return [ids[r] for r in self.encode_atoms("".join([inner[b] for b in piece[:-1]]) + self.last[piece[-1]])]
+        return [ids[r] for r in self.encode_atoms("".join(map(inner.__getitem__, piece[:-1])) + self.last[piece[-1]])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Token strings as bytes: joined by single spaces where words have an
@@ -221,9 +235,10 @@ class PreTokens:
 
     def __call__(self, text: str) -> list[bytes]:
         if PLAIN(text):
-            if self.lower and text:
-                text = unicodedata.normalize("NFC", text)
-                text = "".join([c.lower() for c in text]) if not text.isascii() else text.lower()
+            if self.lower and text.isascii():
+                text = text.lower()
+            elif self.lower:
+                text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
             return [p.encode() for p in self.find(text)]
         if self.lower:
             text = self.tokenizer.normalizer.normalize_str(text)
@@ -240,17 +255,32 @@ class Encoder:
         self.pre = PreTokens(vocabulary)
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.specials, key=len, reverse=True))) or r"(?!)")
         self.known: dict[str, bytes] = {}
+        self.words: dict[bytes, tuple[int, ...]] = {}
+
+    def add_words(self, out: list[int], text: str) -> None:
+        """Append the ids of a text without special strings. Pieces share their
+        pre-tokens: marks, and words that differ in case or marks only."""
+        words = self.words
+        if len(words) > WORD_TABLE:
+            words.clear()
+        for p in self.pre(text):
+            ids = words.get(p)
+            if ids is None:
+                ids = words[p] = tuple(self.vocabulary.encode_bytes(p))
+            out += ids
 
     def ids_of(self, text: str) -> list[int]:
         """Ids of a text by pre-tokens, special strings recognised."""
-        v, out, at = self.vocabulary, [], 0
+        out: list[int] = []
+        at = 0
+        if self.special.search(text) is None:  # most pieces
+            self.add_words(out, text)
+            return out
         for m in self.special.finditer(text):
-            for p in self.pre(text[at:m.start()]):
-                out += v.encode_bytes(p)
-            out.append(v.specials[m[0]])
+            self.add_words(out, text[at:m.start()])
+            out.append(self.vocabulary.specials[m[0]])
             at = m.end()
-        for p in self.pre(text[at:]):
-            out += v.encode_bytes(p)
+        self.add_words(out, text[at:])
         return out
 
     def pack(self, piece: str) -> bytes:

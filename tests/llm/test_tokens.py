@@ -205,3 +205,29 @@ def test_rans_is_near_the_entropy_and_checked():
     block[-9] ^= 1
     with pytest.raises(ValueError, match="checksum"):
         rans.unpack_block(bytes(block), table)
+
+
+def test_words_of_many_pieces_are_encoded_once():
+    """op3: pieces that differ in case or marks share their words' encodings."""
+    with open(WORD, "rb") as f:
+        data = f.read()
+    encoder = bpe.Encoder(bpe.Vocabulary(data))
+    met, plain = [], encoder.vocabulary.encode_bytes
+    encoder.vocabulary.encode_bytes = lambda p: met.append(p) or plain(p)
+    text = "Thorwenst thorwenst. THORWENST, thorwenst; <|startoftext|>thorwenst. İthorwenst É é é"
+    got = np.frombuffer(encoder.encode(text), "<u4").tolist()
+    assert len(met) == len(set(met)) and met.count(b"thorwenst") == 1
+    assert got == Tokenizer.from_buffer(data).encode(text, add_special_tokens=False).ids
+
+
+def test_marked_words_are_put_together(monkeypatch):
+    """op6: a word that ends in a mark is not encoded again."""
+    with open(BYTE, "rb") as f:
+        data = f.read()
+    tokens, asked = rans.Tokens(data), []
+    plain = tokens.library
+    monkeypatch.setattr(tokens, "library", lambda text: asked.append(text) or plain(text))
+    texts = ["Whonha whonha. whonha, whonha\nwhonha. it's its. 'tis. a.b. 12. é. . ?!", "whonha; .\nwhonha! whonha."]
+    want = [np.array(Tokenizer.from_buffer(data).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokens.encode(texts) == want
+    assert sum(t.count("whonha") for t in asked) == 2        # after a space and after a line end

@@ -141,6 +141,10 @@ def first_n(df: DataFrame, n: int, order: Sequence[Key], in_one_task: int = IN_O
         if not left:
             return done
         if rest <= in_one_task:
+            back = [sorted_by((c, not d)) for c, d in named]
+            edge = tuple(inside(narrow).orderBy(*sort).limit(left).orderBy(*back).first()[c] for c, _ in named)
+            if inside(narrow).where(_upto(keys, edge)).count() == left:  # no tie there: a filter does it
+                return df.where(_upto(keys, edge))
             return reduce(DataFrame.unionByName, [x for x in (done, inside(df).orderBy(*sort).limit(left)) if x])
         if rest == size:  # one key that all remaining rows share: any of them
             place = _free("_first_n", df.columns)

@@ -38,17 +38,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from stanceflow.llm.common import Shared, cached
+from stanceflow.llm.common import Shared, cached, release_memory
 
-#: Entries of a worker's table of encoded pieces; the table is emptied when full.
+#: Entries of a worker's table of counted pieces; the table is emptied when full.
 PIECE_TABLE = 500_000
 
-#: Pairs of neighbouring tokens, and pre-tokens, whose results a worker keeps.
-PAIR_TABLE = 300_000
-WORD_TABLE = 200_000
+#: Encoded pieces and pre-tokens in each half of a worker's two tables, and pairs
+#: of neighbouring tokens whose results it keeps. An entry of a table takes some
+#: 200 bytes: 90 MB in all, as a worker shares its executor's memory with those of
+#: the other cores and with the JVM.
+HALF_ENCODED = 120_000
+HALF_WORDS = 100_000
+PAIR_TABLE = 200_000
 
-#: Text handled by one output batch (characters).
+#: Text handled by one output batch (characters); with its ids and decoded text
+#: an encoder's batch takes several times that.
 BATCH_CHARS = 4_000_000
+ENCODED_CHARS = 1_000_000
 
 #: Characters on which the ``regex`` module and the tokenizer's own engine agree
 #: by test; pieces with any other go through the tokenizer's pre-tokeniser.
@@ -223,7 +229,10 @@ class PreTokens:
 
     def __init__(self, vocabulary: Vocabulary):
         spec = json.loads(vocabulary.data)
-        self.tokenizer = Tokenizer.from_buffer(vocabulary.data)
+        # cutting and normalising need no vocabulary, which takes the library 40 MB
+        bare = {**spec, "model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [],
+                "post_processor": None, "decoder": None}
+        self.tokenizer = Tokenizer.from_str(json.dumps(bare))
         self.lower = spec["normalizer"] is not None
         if self.lower:
             pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -234,6 +243,8 @@ class PreTokens:
         self.back = {ord(c): b for b, c in byte_alphabet().items()}
 
     def __call__(self, text: str) -> list[bytes]:
+        if text.isalpha() and text.isascii():  # letters are never cut
+            return [(text.lower() if self.lower else text).encode()]
         if PLAIN(text):
             if self.lower and text.isascii():
                 text = text.lower()
@@ -246,6 +257,28 @@ class PreTokens:
         return [bytes([back[ord(c)] for c in p]) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
 
+class Halves(dict):
+    """A bounded table: when it is full its entries become the old half, and
+    those that are asked for again move back."""
+
+    def __init__(self, half: int):
+        super().__init__()
+        self.half = half
+        self.old: dict = {}
+
+    def trim(self) -> None:
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+    def again(self, key):
+        """The old half's value, now kept; none if it is not there."""
+        value = self.old.pop(key, None)
+        if value is not None:
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Encodes texts piece by piece with a bounded table of known pieces.
     ``pack``: what is kept per piece, from its list of ids."""
@@ -254,17 +287,18 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pre = PreTokens(vocabulary)
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.specials, key=len, reverse=True))) or r"(?!)")
-        self.known: dict[str, bytes] = {}
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        self.known = Halves(HALF_ENCODED)  # piece: packed ids
+        self.words = Halves(HALF_WORDS)  # pre-token: ids
 
     def add_words(self, out: list[int], text: str) -> None:
         """Append the ids of a text without special strings. Pieces share their
         pre-tokens: marks, and words that differ in case or marks only."""
         words = self.words
-        if len(words) > WORD_TABLE:
-            words.clear()
+        words.trim()
         for p in self.pre(text):
             ids = words.get(p)
+            if ids is None:
+                ids = words.again(p)
             if ids is None:
                 ids = words[p] = tuple(self.vocabulary.encode_bytes(p))
             out += ids
@@ -297,23 +331,28 @@ class Encoder:
         pieces = text.replace("\n", " ").split(" ")
         found = list(map(known.get, pieces))
         if None in found:
-            if len(known) > PIECE_TABLE:
-                known.clear()
+            known.trim()
             for i, b in enumerate(found):
                 if b is None:
                     p = pieces[i]
-                    found[i] = known[p] = known.get(p) or self.pack(p)
+                    b = known.get(p)
+                    if b is None:
+                        b = known.again(p)
+                    if b is None:
+                        b = known[p] = self.pack(p)
+                    found[i] = b
         return b"".join(found)
 
     def encode_spaced(self, text: str) -> bytes:
         v, known, at = self.vocabulary, self.known, 0
-        if len(known) > PIECE_TABLE:
-            known.clear()
+        known.trim()
         out: list[bytes] = []
         for start, end, name in [*((m.start(), m.end(), m[0]) for m in self.special.finditer(text)),
                                  (len(text), len(text), None)]:
             for p in self.pre(text[at:start]):
                 b = known.get(p)
+                if b is None:
+                    b = known.again(p)
                 if b is None:
                     ids = v.encode_bytes(p)
                     b = known[p] = struct.pack(f"<{len(ids)}I", *ids)
@@ -359,18 +398,23 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                           + ([T.StructField("decoded", T.StringType())] if decode else []))
     n = len(keep)
 
+    def encoded(encoder, batch):
+        for at, texts in slices(batch.column(n), ENCODED_CHARS):
+            packed = [encoder.encode(t) for t in texts]
+            arrays = [batch.column(i).slice(at, len(texts)) for i in range(n)]
+            arrays += [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+            names = [*batch.schema.names[:n], "n_tokens", "ids"]
+            if decode:
+                made = [encoder.vocabulary.decode(np.frombuffer(p, dtype="<u4").astype(np.int64)) for p in packed]
+                arrays.append(pa.array(made, pa.binary()).cast(pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
     def run(batches):
         encoder = cached(("encoder", tables.key), lambda: Encoder(tables()))
         for batch in batches:
-            for at, texts in slices(batch.column(n)):
-                packed = [encoder.encode(t) for t in texts]
-                arrays = [batch.column(i).slice(at, len(texts)) for i in range(n)]
-                arrays += [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
-                names = [*batch.schema.names[:n], "n_tokens", "ids"]
-                if decode:
-                    made = [tables().decode(np.frombuffer(p, dtype="<u4").astype(np.int64)) for p in packed]
-                    arrays.append(pa.array(made, pa.binary()).cast(pa.string()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield from encoded(encoder, batch)
+            del batch  # else it stays beside the next one
+        release_memory()
 
     return df.select(*keep, text).mapInArrow(run, schema)

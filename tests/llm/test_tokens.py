@@ -231,3 +231,36 @@ def test_marked_words_are_put_together(monkeypatch):
     want = [np.array(Tokenizer.from_buffer(data).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert tokens.encode(texts) == want
     assert sum(t.count("whonha") for t in asked) == 2        # after a space and after a line end
+
+
+def test_an_encoder_keeps_little(monkeypatch):
+    """pipeline, bpe: a worker's tables are halved when full, results stay; the
+    library's own vocabulary is not loaded."""
+    for name in ("HALF_ENCODED", "HALF_WORDS"):
+        monkeypatch.setattr(bpe, name, 5)
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeÉ'.") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    texts = [" ".join(r.choices(words, k=9)) for _ in range(80)] + ["<|endoftext|> a b", "\n\n x  y"]
+    for path in (WORD, BYTE):
+        with open(path, "rb") as f:
+            data = f.read()
+        encoder, tok = bpe.Encoder(bpe.Vocabulary(data)), Tokenizer.from_buffer(data)
+        assert encoder.pre.tokenizer.get_vocab_size() == 0
+        for text in texts:
+            got = np.frombuffer(encoder.encode(text), "<u4").tolist()
+            assert got == tok.encode(text, add_special_tokens=False).ids, text
+            assert all(len(t) <= 40 and len(t.old) <= 40 for t in (encoder.known, encoder.words))
+        assert encoder.known.old
+
+
+def test_a_bpe_output_batch_is_small(spark):
+    """pipeline, bpe: ids and decoded texts leave in batches of a million characters."""
+    rows = [(i, "word " * 60_000) for i in range(10)]
+    tok = len(Tokenizer.from_file(WORD).encode(rows[0][1], add_special_tokens=False).ids)
+    seen = []
+    column = spark.createDataFrame(rows, "doc_id long, text string").toArrow().column("text")
+    for at, texts in bpe.slices(column, bpe.ENCODED_CHARS):
+        seen.append((at, sum(map(len, texts))))
+    assert sum(n for _, n in seen) == 3_000_000 and max(n for _, n in seen) <= 1_000_000
+    got = bpe.encode(frame(spark, rows), WORD).collect()
+    assert sorted(r.doc_id for r in got) == list(range(10)) and {r.n_tokens for r in got} == {tok}

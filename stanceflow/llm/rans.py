@@ -43,13 +43,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from stanceflow.llm.bpe import slices
-from stanceflow.llm.common import Shared, cached, scratch_path, staged
+from stanceflow.llm.common import Shared, cached, release_memory, scratch_path, staged
 
 BITS = 18
 LANES = 2048
@@ -79,6 +79,10 @@ class Tokens:
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # words get here once, so the library's own table of words only costs time
+        resize = getattr(self.tokenizer.model, "_resize_cache", None)
+        if resize is not None:
+            resize(0)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         # a line end of one token can separate the pieces of one call
@@ -90,6 +94,13 @@ class Tokens:
         cut = json.loads(data).get("pre_tokenizer") or {}
         by_pattern = cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
         self.marks = {m: self.library(m).tobytes() for m in MARKS} if by_pattern else {}
+        # and before every space: the tokens that stand at a piece's start are
+        # those with a space in front (U+0120 there) and the line end
+        self.starts = None
+        if by_pattern and self.line_end is not None:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.starts = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.starts[[i for s, i in vocab.items() if s[0] == "\u0120"] + [self.line_end]] = True
 
     def library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids,
@@ -106,71 +117,120 @@ class Tokens:
             self.learn_whole(pieces)
 
     def learn_whole(self, pieces: list[str]) -> None:
-        """Encode pieces, many in one call: each starts with a line end there,
-        which is part of it only if it is the piece's own."""
+        """Encode pieces, many in one call: each starts with its space or line
+        end there. Without the byte-level pattern a line end goes before each,
+        which is part of a piece only if it is its own."""
         self.young["\n"] = self.single  # beside another one it would not stand alone
         pieces = [p for p in pieces if p != "\n"]
+        own = self.starts is not None
+        before = " " if own else "\n "
         for at in range(0, len(pieces), JOINED):
             part = pieces[at:at + JOINED]
-            ids = self.library("".join([p if p[:1] == "\n" else "\n " + p for p in part]))
+            ids = self.library("".join([p if p[:1] == "\n" else before + p for p in part]))
             size = ids.itemsize
-            starts = (size * np.flatnonzero(ids == self.line_end)).tolist()
+            starts = (size * np.flatnonzero(self.starts[ids] if own else ids == self.line_end)).tolist()
             if len(starts) != len(part):
                 raise ValueError("the tokenizer joins line ends with other text")
             data = ids.tobytes()
-            self.young.update(zip(part, [data[a if p[:1] == "\n" else a + size:b] for p, a, b in zip(
-                part, starts, [*starts[1:], len(data)], strict=True)], strict=True))
+            ends = [*starts[1:], len(data)]
+            if own:
+                found = [data[a:b] for a, b in zip(starts, ends, strict=True)]
+            else:
+                found = [data[a if p[:1] == "\n" else a + size:b] for p, a, b in zip(part, starts, ends, strict=True)]
+            self.young.update(zip(part, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of the table's width."""
+        return self.encode_column(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> pa.Array:
+        """The same for a column, each text followed by ``end_id``. Texts are
+        cut and their pieces numbered as columns, so that the table is asked
+        once for each distinct piece."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.line_end is None:
+            return self.encode_whole(texts, end_id)
+        odd = pc.match_substring_regex(texts, IRREGULAR)
+        if not pc.any(odd).as_py():
+            return self.encode_pieces(texts, end_id)
+        odd = odd.to_numpy(zero_copy_only=False)
+        both = pa.concat_arrays([self.encode_pieces(texts.filter(pa.array(~odd)), end_id),
+                                 self.encode_whole(texts.filter(pa.array(odd)), end_id)])
+        return both.take(pa.array(np.argsort(np.argsort(odd, kind="stable"))))
+
+    def encode_whole(self, texts: pa.Array, end_id: int | None) -> pa.Array:
+        tail = b"" if end_id is None else np.array([end_id], dtype=self.width).tobytes()
+        return pa.array([self.library(t).tobytes() + tail for t in texts.to_pylist()], pa.binary())
+
+    def encode_pieces(self, texts: pa.Array, end_id: int | None) -> pa.Array:
         if len(self.young) > HALF_TABLE:
             self.old, self.young = self.young, {}
-        young, cut = self.young, []
-        for text in texts:
-            if self.line_end is None or irregular(text):
-                cut.append(None)
-                continue
-            # a piece "w" stands for " w", a piece "\nw" for itself; the first
-            # word borrows a line end, which is dropped again below
-            parts = ("\n" + text.replace("\n", " \n")).split(" ")
-            cut.append(parts)
-        # the large table is asked once for each distinct piece of the run
-        here = list(set().union(*[parts for parts in cut if parts is not None]))
-        new = set(here).difference(young)
-        known = new.intersection(self.old)
-        young.update((p, self.old[p]) for p in known)
-        self.learn(list(new - known))
-        ids = dict(zip(here, map(young.__getitem__, here), strict=True)).__getitem__
-        lent = len(self.single)
-        return [self.library(t).tobytes() if parts is None else b"".join(map(ids, parts))[lent:]
-                for t, parts in zip(texts, cut, strict=True)]
-
-
-#: Marks that end a word of ASCII letters.
+        # a piece "w" stands for " w", a piece "\nw" for itself; the first word
+        # borrows a line end, which is dropped again below
+        parts = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        coded = parts.flatten().dictionary_encode()
+        here = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        young, old = self.young, self.old
+        new = [p for p in here if p not in young]
+        young.update([(p, old[p]) for p in new if p in old])
+        self.learn([p for p in new if p not in old])
+        found = list(map(young.__getitem__, here))
+        offsets, data = binary_parts(binary_array(np.fromiter(map(len, found), np.int64, len(found)), b"".join(found))
+                                     .take(coded.indices))
+        flat = data.view(self.width)
+        cuts = offsets[parts.offsets.to_numpy()] // flat.itemsize  # places of the borrowed line ends, and the end
+        if end_id is None:
+            flat, cuts = np.delete(flat, cuts[:-1]), cuts - np.arange(len(cuts))
+        else:  # the next text's line end gives its place to the end
+            flat = np.append(flat, flat.dtype.type(end_id))
+            flat[cuts] = end_id
+            flat = flat[1:]
+        return binary_array(np.diff(cuts) * flat.itemsize, np.ascontiguousarray(flat))
+
+
+#: Marks that end a word of Latin letters.
 MARKS = ".,;:!?"
-WORD = re.compile(r"\n?[A-Za-z]+").fullmatch
+WORD = re.compile(r"\n?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 
 #: Pieces in each half of a worker's table, and in one call of the library.
-HALF_TABLE = 350_000
+HALF_TABLE = 400_000
 JOINED = 1_000
 
-#: Characters of text handled at a time.
-TEXT_RUN = 4_000_000
+#: Bytes of text handled at a time.
+TEXT_RUN = 16_000_000
 
-#: White space other than the space and the line end.
-OTHER_SPACE = re.compile(r"[^\S \n]").search
-CONTROL_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Text with white space that is not one space or line end between other
+#: characters, or with a special string's bracket: the library gets it whole.
+IRREGULAR = (r"\A[ \n]|[ \n]\z|[ \n][ \n]|<\||[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 
-def irregular(text: str) -> bool:
-    """Whether a text has white space that is not one space or line end
-    between other characters, or a special string's bracket: the library then
-    gets the whole text."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "<|" in text:
-        return True
-    if text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
-        return bool(text)
-    return any(c in text for c in CONTROL_SPACE) or not text.isascii() and bool(OTHER_SPACE(text))
+def binary_array(sizes: np.ndarray, data) -> pa.Array:
+    """Binary values of these sizes that follow each other in ``data``."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    if offsets[-1] >= 1 << 31:
+        raise OverflowError("over 2 GB of ids in one run of texts")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes) of a binary column without nulls."""
+    if not len(column):
+        return np.zeros(1, np.int32), np.zeros(0, np.uint8)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset)
+    low, high = int(offsets[0]), int(offsets[-1])
+    return offsets - low, np.frombuffer(data, np.uint8, high - low, low) if high > low else np.zeros(0, np.uint8)
+
+
+def runs(column: pa.Array, most: int = TEXT_RUN) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) in runs of at most ``most`` bytes or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, column.slice(at, stop - at)
+        at = stop
 
 
 def tokenize(docs: DataFrame, path: str, key: str, text: str, end_id: int | None) -> DataFrame:
@@ -179,17 +239,16 @@ def tokenize(docs: DataFrame, path: str, key: str, text: str, end_id: int | None
         data = f.read()
     tables = docs.sparkSession.sparkContext.broadcast(data)  # the vocabulary file: its size is fixed
     width = id_width(Tokenizer.from_buffer(data).get_vocab_size(with_added_tokens=True))
-    tail = b"" if end_id is None else np.array([end_id], dtype=width).tobytes()
     schema = T.StructType([T.StructField("doc_key", T.LongType()), T.StructField("ids", T.BinaryType())])
     name = ("tokens", zlib.crc32(data), len(data))
 
     def run(batches):
         tokens = cached(name, lambda: Tokens(tables.value, width))
         for batch in batches:
-            for at, texts in slices(batch.column(1), TEXT_RUN):
-                ids = [b + tail for b in tokens.encode(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary())],
-                                                 names=["doc_key", "ids"])
+            for at, texts in runs(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)),
+                                                  tokens.encode_column(texts, end_id)], names=["doc_key", "ids"])
+        release_memory()
 
     return docs.select(F.col(key).cast("long").alias("doc_key"), text).mapInArrow(run, schema)
 
@@ -205,8 +264,8 @@ def count_ids(tokens: DataFrame, symbols: int) -> DataFrame:
     def run(batches):
         total = np.zeros(symbols, dtype=np.int64)
         for batch in batches:
-            ids = b"".join(batch.column(0).to_pylist())
-            total += np.bincount(np.frombuffer(ids, dtype=width), minlength=symbols)
+            _, ids = binary_parts(batch.column(0).cast(pa.binary()))
+            total += np.bincount(ids.view(width), minlength=symbols)
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())],
                                          names=["id", "n"])

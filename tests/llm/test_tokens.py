@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -264,3 +265,25 @@ def test_a_bpe_output_batch_is_small(spark):
     assert sum(n for _, n in seen) == 3_000_000 and max(n for _, n in seen) <= 1_000_000
     got = bpe.encode(frame(spark, rows), WORD).collect()
     assert sorted(r.doc_id for r in got) == list(range(10)) and {r.n_tokens for r in got} == {tok}
+
+
+@pytest.mark.parametrize("end", [None, 0])
+def test_columns_of_texts_are_encoded_whole(vocabularies, monkeypatch, end):
+    """op6: regular texts go by columns, the others whole, in the rows' order;
+    the library gets pieces with one space between, no line ends for each."""
+    tok = Tokenizer.from_file(BYTE)
+    texts = odd_texts(400, seed=9) + [t for _, t in EDGES] + [f"x{chr(c)}y é." for c in range(1, 0x300)]
+    tokens, asked = rans.Tokens(vocabularies[BYTE].data, "<u2"), []
+    plain = tokens.library
+    monkeypatch.setattr(tokens, "library", lambda text: asked.append(text) or plain(text))
+    column = pa.array(texts, pa.string())
+    for some in (column, column.slice(11, 300), column.slice(5, 0)):
+        want = [tok.encode(t or "", add_special_tokens=False).ids + ([] if end is None else [end]) for t in some.to_pylist()]
+        got = [np.frombuffer(b, "<u2").tolist() for b in tokens.encode_column(some, end).to_pylist()]
+        assert got == want
+    asked.clear()
+    assert tokens.encode(["oneq twoq threeq\nfourq", "threeq twoq."]) == [
+        np.array(tok.encode(t).ids, "<u2").tobytes() for t in ("oneq twoq threeq\nfourq", "threeq twoq.")]
+    assert sum(t.count("\n") for t in asked) == 3 and sum(t.count("twoq") for t in asked) == 1
+    cut = [(at, run.to_pylist()) for at, run in rans.runs(pa.array(["aaaaa", None, "", "b" * 9, "cc", "d"]), 6)]
+    assert cut == [(0, ["aaaaa", None, ""]), (3, ["b" * 9]), (4, ["cc", "d"])]
